@@ -145,7 +145,7 @@ def split_terms(raw: Column) -> Column:
 
 
 def _boundary_regex(term: Column) -> Column:
-    left = F.when(term.rlike("^" + WORD), F.lit(f"(?:^|{NON_WORD})")).otherwise(F.lit(WORD))
+    left = F.when(term.rlike("^" + WORD),F.lit(f"(?:^|{NON_WORD})")).otherwise(F.lit(WORD))
     right = F.when(term.rlike(WORD + "$"), F.lit(f"(?:{NON_WORD}|$)")).otherwise(F.lit(WORD))
     return F.concat(left, F.lit("\\Q"), term, F.lit("\\E"), right)
 
@@ -162,8 +162,8 @@ def on_target(body: Column, terms: Column) -> Column:
 
     def hit(t: Column) -> Column:
         lt = F.lower(t)
-        return F.when(F.instr(lt, " ") > 0, F.instr(low_body, lt) > 0) \
-            .otherwise(low_body.rlike(_boundary_regex(lt)))
+        return F.when(lt.contains(" "), low_body.contains(lt)) \
+            .otherwise(F.rlike(low_body, _boundary_regex(lt)))
 
     return (F.size(cleaned) == 0) | F.exists(cleaned, hit)
 

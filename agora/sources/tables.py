@@ -236,7 +236,7 @@ FROM v_post_title p JOIN ({sql_target_entities('title', 'post_id', 'v_post_title
         "v_thread": f"""
 SELECT conv_id * 100 + turn + 1 AS id, conv_id AS story_id, turn,
   CAST(CASE WHEN turn < 2 THEN conv_id * 100 ELSE conv_id * 100 + (turn // 2 - 1) + 1 END AS BIGINT) AS parent,
-  role AS by, text, {COMMENT_EPOCH} + conv_id * 3600 + turn * 60 AS time,
+  role AS "by", text, {COMMENT_EPOCH} + conv_id * 3600 + turn * 60 AS time,
   CAST(length(text) % 50 AS INTEGER) AS score
 FROM conversations""",
         "v_vector": f"""

@@ -271,6 +271,10 @@ def with_views(sql: str, views: list[str]) -> str:
     ordered = [v for v in _VIEW_ORDER if v in need]
     ctes = ",\n".join(f"{v} AS ({defs[v]})" for v in ordered)
     body = sql.strip()
+    if not ctes:
+        return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

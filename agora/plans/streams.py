@@ -1 +1,49 @@
-"""Catalogue module."""
+"""Catalogue: streaming queries (run to completion with availableNow and
+read back; each must equal its batch twin)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agora.functions.scalar import round6
+from agora.plans.analytics import _DAILY_SQL
+from agora.plans.registry import query
+from agora.plans.textops import _split_sql, _sql_term_hit
+from agora.sources import tables as T
+from agora.sources.tables import with_views
+from agora.streaming import streams as S
+
+
+@query("stream_daily_stats", "T1 T3 T6 A1", with_views(_DAILY_SQL, ["v_classified"]))
+def stream_daily_stats(spark, sf):
+    ev = S.stream_table(spark, sf, "events")
+    partials = S.run_update(S.daily_partials(T.classified_from_events(ev)), "daily",
+                            ["topic_id", "date", "stance"])
+    d = S.finish_daily(partials)
+    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+
+
+@query("stream_dedup", "T2 U4", with_views("""
+SELECT DISTINCT event_id, user_id, event_type, value FROM events""", []))
+def stream_dedup(spark, sf):
+    """The same event file arrives twice (two sources); each event is kept once."""
+    a = S.stream_table(spark, sf, "events")
+    b = S.stream_table(spark, sf, "events")
+    both = a.unionByName(b).withColumn("event_time", F.col("ts").cast("timestamp"))
+    d = S.dedup_stream(both, ["event_id"], "event_time")
+    out = S.run_append(d.select("event_id", "event_time", "user_id", "event_type", "value"),
+                       "dedup")
+    return out.select("event_id", "user_id", "event_type", "value")
+
+
+@query("stream_gate", "T7 P5 J7", with_views(f"""
+WITH j AS (SELECT c.comment_id, c.post_id, c.body, {_split_sql('p.target_terms')} AS terms
+           FROM v_comment c LEFT JOIN v_post p ON p.post_id = c.post_id)
+SELECT comment_id, post_id, CAST(len(terms) AS INTEGER) AS n_terms,
+  len(terms) = 0 OR list_bool_or(list_transform(terms, lambda t:
+      {_sql_term_hit("lower(coalesce(body, ''))", 'lower(t)')})) AS on_target
+FROM j""", ["v_comment", "v_post"]))
+def stream_gate(spark, sf):
+    docs = S.stream_table(spark, sf, "documents")
+    gated = S.gate_stream(T.comments_from_documents(docs), T.v_post(spark, sf))
+    return S.run_append(gated, "gate")

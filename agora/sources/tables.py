@@ -48,7 +48,11 @@ def v_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     stance from event_type (signup -> an unknown label), toxicity NULL for
     every 7th event, otherwise value/500 capped at 1.
     """
-    ev = table(spark, sf_dir, "events")
+    return classified_from_events(table(spark, sf_dir, "events"))
+
+
+def classified_from_events(ev: DataFrame) -> DataFrame:
+    """v_classified over any events DataFrame (batch or stream)."""
     return ev.select(
         F.col("event_id").alias("comment_id"),
         (F.col("user_id") % N_EVENT_TOPICS).alias("topic_id"),
@@ -66,7 +70,11 @@ def v_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments from ``documents``: topic = source, one post per topic."""
-    d = table(spark, sf_dir, "documents")
+    return comments_from_documents(table(spark, sf_dir, "documents"))
+
+
+def comments_from_documents(d: DataFrame) -> DataFrame:
+    """v_comment over any documents DataFrame (batch or stream)."""
     topic = F.substring("source", 4, 64).cast("bigint")
     return d.select(
         F.col("doc_id").alias("comment_id"),

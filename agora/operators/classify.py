@@ -30,63 +30,93 @@ def _weights_map(weights: dict[str, float]) -> Column:
     return F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
-def lexicon_toxicity_output(body: Column, weights=None) -> tuple[Column, Column]:
+def lexicon_toxicity_output(tokens: Column, weights=None) -> tuple[Column, Column]:
     """Raw toxicity output (label, score) of the lexicon scorer.
 
     w = highest weight of any token; LABEL_1 with score w when w >= 0.5,
     else LABEL_0 with score 1 - w (a benign label, inverted by the M3
     contract)."""
     m = _weights_map(weights or lexicon.TOXIC_WEIGHTS)
-    w = F.aggregate(word_tokens(body), F.lit(0.0),
+    w = F.aggregate(tokens, F.lit(0.0),
                     lambda acc, t: F.greatest(acc, F.coalesce(F.try_element_at(m, t), F.lit(0.0))))
     label = F.when(w >= 0.5, F.lit("LABEL_1")).otherwise(F.lit("LABEL_0"))
     score = F.when(w >= 0.5, w).otherwise(F.lit(1.0) - w)
     return label, score
 
 
-def _hits(tokens: Column, words) -> Column:
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(tokens, lambda t: F.array_contains(arr, t)))
+def polarity_counts(tokens: Column, positive=None, negative=None) -> Column:
+    """struct(p, n): positive / negative lexicon hits, one pass over tokens."""
+    m = F.create_map(*[x for w in (positive or lexicon.POSITIVE_WORDS)
+                       for x in (F.lit(w), F.lit(1))],
+                     *[x for w in (negative or lexicon.NEGATIVE_WORDS)
+                       if w not in (positive or lexicon.POSITIVE_WORDS)
+                       for x in (F.lit(w), F.lit(-1))])
+    init = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"))
 
+    def step(acc, t):
+        v = F.try_element_at(m, t)
+        return F.struct((acc["p"] + F.when(v == 1, 1).otherwise(0)).alias("p"),
+                        (acc["n"] + F.when(v == -1, 1).otherwise(0)).alias("n"))
 
-def lexicon_sentiment_output(body: Column, positive=None, negative=None) -> tuple[Column, Column]:
+    return F.aggregate(tokens, init, step)
+
+
+def lexicon_sentiment_output(pn: Column) -> tuple[Column, Column]:
     """Raw sentiment output: x = (pos - neg) / (pos + neg); label by sign,
     confidence 0.5 + |x| / 2; no hits -> ('NEUTRAL', 0)."""
-    toks = word_tokens(body)
-    p = _hits(toks, positive or lexicon.POSITIVE_WORDS)
-    n = _hits(toks, negative or lexicon.NEGATIVE_WORDS)
+    p, n = pn["p"], pn["n"]
     x = F.try_divide((p - n).cast("double"), (p + n).cast("double"))
     label = F.when(x > 0, "POSITIVE").when(x < 0, "NEGATIVE").otherwise("NEUTRAL")
     score = F.coalesce(F.lit(0.5) + F.abs(x) / 2, F.lit(0.0))
     return label, score
 
 
-def lexicon_stance_index(body: Column, positive=None, negative=None) -> Column:
+def lexicon_stance_index(pn: Column) -> Column:
     """Winning hypothesis index: only positive words -> 0 (supports), only
     negative -> 1 (opposes), both -> 2 (mixed), none -> 3 (unrelated)."""
-    toks = word_tokens(body)
-    p = _hits(toks, positive or lexicon.POSITIVE_WORDS)
-    n = _hits(toks, negative or lexicon.NEGATIVE_WORDS)
+    p, n = pn["p"], pn["n"]
     return (F.when((p > 0) & (n == 0), 0).when((n > 0) & (p == 0), 1)
             .when((p > 0) & (n > 0), 2).otherwise(3))
 
 
+def score_columns(df: DataFrame, body: str = "body", skip: str | None = None) -> DataFrame:
+    """Add stance / sentiment / toxicity of the default scorers.
+
+    The body is tokenised once into a column; Spark keeps that projection
+    separate (it does not inline an expensive expression used several
+    times), so each text is scanned by the regex only once."""
+    toks = word_tokens(F.col(body))
+    if skip is not None:  # rows flagged ``skip`` are never tokenised
+        toks = F.when(F.col(skip), F.array().cast("array<string>")).otherwise(toks)
+    t = df.withColumn("_toks", toks).withColumn("_blank", is_blank(F.col(body)))
+    t = t.withColumn("_pn", polarity_counts(F.col("_toks")))
+    tl, ts = lexicon_toxicity_output(F.col("_toks"))
+    sl, ss = lexicon_sentiment_output(F.col("_pn"))
+    blank = F.col("_blank")
+    return t.select(
+        *df.columns,
+        F.when(blank, F.lit("NEUTRAL")).otherwise(
+            stance_from_index(lexicon_stance_index(F.col("_pn")))).alias("p_stance"),
+        F.when(blank, F.lit("NEUTRAL")).otherwise(sentiment_from_output(sl, ss)).alias("p_sentiment"),
+        F.when(blank, F.lit(0.0)).otherwise(toxicity_from_output(tl, ts)).alias("p_toxicity"))
+
+
 def score_toxicity(body: Column) -> Column:
     """M3: toxicity in [0, 1]; blank text -> 0.0 without scoring."""
-    label, score = lexicon_toxicity_output(body)
+    label, score = lexicon_toxicity_output(word_tokens(body))
     return F.when(is_blank(body), F.lit(0.0)).otherwise(toxicity_from_output(label, score))
 
 
 def score_sentiment(body: Column) -> Column:
     """M2: POSITIVE / NEUTRAL / NEGATIVE; blank text -> NEUTRAL."""
-    label, score = lexicon_sentiment_output(body)
+    label, score = lexicon_sentiment_output(polarity_counts(word_tokens(body)))
     return F.when(is_blank(body), F.lit("NEUTRAL")).otherwise(sentiment_from_output(label, score))
 
 
 def score_stance(body: Column) -> Column:
     """M1: stance label by hypothesis index (Q7: index, not substring)."""
     return F.when(is_blank(body), F.lit("NEUTRAL")).otherwise(
-        stance_from_index(lexicon_stance_index(body)))
+        stance_from_index(lexicon_stance_index(polarity_counts(word_tokens(body)))))
 
 
 def classify(comments: DataFrame, posts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -101,12 +131,16 @@ def classify(comments: DataFrame, posts: DataFrame, existing: DataFrame | None =
     if existing is not None:
         todo = todo.join(existing.select("comment_id"), "comment_id", "left_anti")
     j = todo.join(posts.select("post_id", "target_terms"), "post_id", "left")
-    gated = ~on_target(F.col("body"), split_terms(F.col("target_terms")))
-    return j.select(
+    j = j.withColumn("_gated", ~on_target(F.col("body"), split_terms(F.col("target_terms"))))
+    # one pass: gated rows skip tokenising and scoring (cheap before expensive)
+    scored = score_columns(j.select("comment_id", "topic_id", "post_id", "body", "_gated"),
+                           skip="_gated")
+    gated = F.col("_gated")
+    return scored.select(
         "comment_id", "topic_id", "post_id",
-        F.when(gated, F.lit("NEUTRAL")).otherwise(score_stance(F.col("body"))).alias("stance"),
-        F.when(gated, F.lit("NEUTRAL")).otherwise(score_sentiment(F.col("body"))).alias("sentiment"),
-        F.when(gated, F.lit(0.0)).otherwise(score_toxicity(F.col("body"))).alias("toxicity"),
+        F.when(gated, F.lit("NEUTRAL")).otherwise(F.col("p_stance")).alias("stance"),
+        F.when(gated, F.lit("NEUTRAL")).otherwise(F.col("p_sentiment")).alias("sentiment"),
+        F.when(gated, F.lit(0.0)).otherwise(F.col("p_toxicity")).alias("toxicity"),
         F.when(gated, F.lit("rule")).otherwise(F.lit("model")).alias("classified_by"))
 
 

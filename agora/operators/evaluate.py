@@ -32,7 +32,7 @@ def classification_report(pairs: DataFrame, task: str) -> DataFrame:
     """One row per label over the union of true and predicted
     labels, plus macro, micro and accuracy rows; values rounded to 4 dp;
     0.0 on empty denominators."""
-    cm = confusion(pairs)
+    cm = confusion(pairs).persist()
     rows = cm.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
     cols = cm.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
     diag = cm.where(F.col("y_true") == F.col("y_pred")).select(
@@ -55,9 +55,11 @@ def classification_report(pairs: DataFrame, task: str) -> DataFrame:
     mr = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     micro = tot.select(F.lit("micro").alias("label"), mp.alias("precision"), mr.alias("recall"))
     micro = micro.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
-    acc = pairs.agg(F.lit("accuracy").alias("label"),
-                    _ratio(F.count_if(F.col("y_true") == F.col("y_pred")), F.count(F.lit(1)))
-                    .alias("precision"))
+    # accuracy from the (small) confusion table too: the labelled rows are
+    # scanned and scored once, every metric derives from ``cm``
+    acc = cm.agg(F.lit("accuracy").alias("label"),
+                 _ratio(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
+                              .otherwise(F.lit(0))), F.sum("n")).alias("precision"))
     acc = acc.select("label", F.col("precision"), F.col("precision").alias("recall"),
                      F.col("precision").alias("f1"))
     kind = {"macro": "macro", "micro": "micro", "accuracy": "accuracy"}

@@ -117,17 +117,16 @@ JOIN v_label l USING (comment_id)"""
 
 
 def _tox_pairs(spark, sf):
-    c = _labelled(spark, sf)
-    s = C.score_toxicity(F.col("body"))
+    c = C.score_columns(_labelled(spark, sf))
     return c.select(F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN").alias("y_true"),
-                    F.when(s >= 0.5, "TOXIC").otherwise("CLEAN").alias("y_pred"))
+                    F.when(F.col("p_toxicity") >= 0.5, "TOXIC").otherwise("CLEAN").alias("y_pred"))
 
 
 def _sent_pairs(spark, sf):
-    c = _labelled(spark, sf)
+    c = C.score_columns(_labelled(spark, sf))
     truth = (F.when(F.col("toxic") == 1, "NEGATIVE").when(F.col("quality") == 1, "POSITIVE")
              .otherwise("NEUTRAL"))
-    return c.select(truth.alias("y_true"), C.score_sentiment(F.col("body")).alias("y_pred"))
+    return c.select(truth.alias("y_true"), F.col("p_sentiment").alias("y_pred"))
 
 
 _PAIRS_SQL = f"""

@@ -208,3 +208,51 @@ def relevance_top(points: DataFrame, queries: DataFrame, n: int = 5) -> DataFram
     w = Window.partitionBy(*BUCKET).orderBy(F.desc("sim"), "comment_id")
     return (j.select(*BUCKET, "comment_id", sim.alias("sim"))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
+
+
+def cluster_input(comments: DataFrame, classifications: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Comments x classification x embedding, for all topics at once."""
+    return (comments.select("comment_id", "topic_id")
+            .join(classifications.select("comment_id", "stance"), "comment_id")
+            .join(vectors.select("comment_id", "embedding"), "comment_id")
+            .where(F.col("embedding").isNotNull()))
+
+
+def replace_clusters(old: DataFrame, new: DataFrame, processed_topics: DataFrame) -> DataFrame:
+    """Every processed topic's clusters are fully replaced (Q12: a
+    stance that now has no cluster loses its old ones too); other topics'
+    clusters are kept. Anti join + union, not a partition overwrite."""
+    kept = old.join(processed_topics.select("topic_id"), "topic_id", "left_anti")
+    return kept.unionByName(new)
+
+
+def cluster_job(comments: DataFrame, classifications: DataFrame, vectors: DataFrame,
+                k: int = lexicon.N_CLUSTERS_PER_STANCE, max_iter: int = 20,
+                min_size: int = lexicon.MIN_CLUSTER_SIZE) -> dict[str, DataFrame]:
+    """J3 -> M6 -> M9 -> M7 / M8 / W2 for every (topic, stance).
+
+    Returns clusters (with representative and keywords), assignments (NULL
+    cluster for members of removed clusters) and top quotes."""
+    from agora.operators.keywords import keywords
+    pts = cluster_input(comments, classifications, vectors)
+    clusters, assigned = kmeans(pts, k=k, max_iter=max_iter)
+    kept = size_gate(clusters, min_size)
+    key = BUCKET + ["cluster"]
+    members = assigned.join(kept.select(*key), key, "left_semi")
+    reps = representative(members.join(prepare(pts).select("comment_id", "vec"), "comment_id"),
+                          kept, comments)
+    docs = members.join(comments.select("comment_id", F.col("body").alias("text")), "comment_id") \
+        .select(F.concat_ws("/", F.col("topic_id").cast("string"), "stance",
+                            F.col("cluster").cast("string")).alias("ckey"),
+                F.col("comment_id").alias("doc_id"), "text")
+    kw = (keywords(docs, "ckey").groupBy("ckey")
+          .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
+                                        lambda x: x["term"]), ",").alias("keywords")))
+    ckey = F.concat_ws("/", F.col("topic_id").cast("string"), "stance", F.col("cluster").cast("string"))
+    out = (kept.withColumn("ckey", ckey).join(kw, "ckey", "left").drop("ckey")
+           .join(reps.select(*key, "representative_id"), key, "left"))
+    assignments = assigned.join(kept.select(*key, F.lit(True).alias("_k")), key, "left") \
+        .select(*BUCKET, "comment_id",
+                F.when(F.col("_k"), F.col("cluster")).alias("cluster"))
+    quotes = top_quotes(members.join(comments.select("comment_id", "body", "score"), "comment_id"), key)
+    return {"clusters": out, "assignments": assignments, "quotes": quotes}

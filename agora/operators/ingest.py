@@ -183,3 +183,24 @@ def topic_names(stories: DataFrame, title_col: str = "title", id_col: str = "sto
     return (t.join(firsts, "title")
             .select(id_col, "title", F.when(F.col(id_col) == F.col("_first"), F.col("title"))
                     .otherwise(renamed).alias("name")))
+
+
+def lookup_ordered(ids: DataFrame, items: DataFrame) -> DataFrame:
+    """Ordered batch lookup - (request_id, ids array) -> one row per
+    position with the item's columns, NULLs for a miss, ordered by position."""
+    exploded = ids.select("request_id", F.posexplode("ids").alias("pos", "id"))
+    return exploded.join(items, "id", "left").orderBy("request_id", "pos")
+
+
+def to_posts(stories: DataFrame, platform: str = lexicon.PLATFORM) -> DataFrame:
+    """Story items -> post rows with the null defaults
+    (title '', text '', score 0, time 0) and comma-joined target terms."""
+    from agora.functions.text import target_entities
+    title = F.substring(F.coalesce("title", F.lit("")), 1, lexicon.TITLE_MAX)
+    ext = F.col("id").cast("string")
+    return stories.select(
+        F.lit(platform).alias("platform"), ext.alias("external_id"), title.alias("title"),
+        F.coalesce("text", F.lit("")).alias("selftext"), author_hash(F.col("by")).alias("author_hash"),
+        F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("time", F.lit(0)).alias("created_utc"),
+        permalink(ext).alias("permalink"),
+        F.array_join(target_entities(title), ",").alias("target_terms"))

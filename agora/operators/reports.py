@@ -158,3 +158,8 @@ def classified_gate(comments: DataFrame, classifications: DataFrame,
 def recent_posts(posts: DataFrame, n: int = 10) -> DataFrame:
     """K7: the n most recent posts (top-k is the feature)."""
     return posts.orderBy(F.desc("created_utc"), F.desc("post_id")).limit(n)
+
+
+def topic_by_id(topics: DataFrame, topic_id) -> DataFrame:
+    """One topic by id (empty when it does not exist)."""
+    return topics.where(F.col("topic_id") == topic_id)

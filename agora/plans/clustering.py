@@ -153,3 +153,16 @@ def relevance_sort(spark, sf):
     r = CL.relevance_top(v, q, 5)
     return r.select(*CL.BUCKET, "comment_id", round6(F.col("sim")).alias("sim"),
                     F.col("rank").cast("int"))
+
+
+@query("cluster_job", "M10 J3 M6 M9 M7 M8 W2")
+def cluster_job(spark, sf):
+    """The whole clustering job over every (topic, stance) bucket: vectors of
+    classified comments, k-means, size gate, representative and keywords."""
+    v = T.v_vector(spark, sf)
+    cls = v.select("comment_id", "stance")
+    comments = T.v_comment(spark, sf).select("comment_id", "body", "score").join(
+        v.select("comment_id", "topic_id"), "comment_id")
+    out = CL.cluster_job(comments, cls, v.select("comment_id", "embedding"), max_iter=10)
+    return out["clusters"].select("topic_id", "stance", "cluster", "size", "keywords",
+                                  "representative_id")

@@ -9,6 +9,7 @@ holding a large share of all documents does not end up whole in one task.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +32,8 @@ def tf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
     """Most frequent ``[a-z]{2,}`` tokens per group, stop words
     (English + extra) removed; ties keep first occurrence order."""
     stop = list(stop or lexicon.english_stop_words()) + lexicon.KEYWORD_EXTRA_STOP
-    m = _stop_map(stop)
     toks = docs.select(group, "doc_id", F.posexplode(tf_tokens(F.col("text"))).alias("pos", "term"))
-    toks = toks.where(F.try_element_at(m, F.col("term")).isNull())
+    toks = toks.where(~F.col("term").isin(*dict.fromkeys(stop)))  # hash-set lookup
     counted = toks.groupBy(group, "term").agg(
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("first"))
     w = Window.partitionBy(group).orderBy(F.desc("cnt"), F.asc("first"))
@@ -56,14 +56,13 @@ def tfidf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
     extra stop word are skipped after ranking; ties by term descending.
     Groups whose vocabulary is empty produce no rows (callers fall back).
     """
-    m = _stop_map(stop or lexicon.english_stop_words())
     extra = F.array(*[F.lit(w) for w in (extra_stop or lexicon.KEYWORD_EXTRA_STOP)])
-    uni = F.filter(tfidf_tokens(F.col("text")), _not_stop(m))
-    k = F.greatest(F.size("uni") - 1, F.lit(0))
-    bi = F.zip_with(F.slice("uni", 1, k), F.slice("uni", 2, k),
-                    lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = (docs.select(group, "doc_id", uni.alias("uni"))
-             .select(group, "doc_id", F.explode(F.concat(F.col("uni"), bi)).alias("term")))
+    # Spark ML built-ins: stop words out first, then bigrams of what is left
+    toks = docs.select(group, "doc_id", tfidf_tokens(F.col("text")).alias("toks"))
+    uni = StopWordsRemover(inputCol="toks", outputCol="uni", caseSensitive=True,
+                           stopWords=list(stop or lexicon.english_stop_words())).transform(toks)
+    grams = NGram(n=2, inputCol="uni", outputCol="bi").transform(uni)
+    terms = grams.select(group, "doc_id", F.explode(F.concat("uni", "bi")).alias("term"))
     tf = terms.groupBy(group, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"))
     stats = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

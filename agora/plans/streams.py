@@ -47,3 +47,15 @@ def stream_gate(spark, sf):
     docs = S.stream_table(spark, sf, "documents")
     gated = S.gate_stream(T.comments_from_documents(docs), T.v_post(spark, sf))
     return S.run_append(gated, "gate")
+
+
+@query("stream_caps", "T8 W1", with_views("""
+SELECT conv_id, turn, role, CAST(running AS BIGINT) AS running FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS running
+  FROM conversations) WHERE running <= 5""", []))
+def stream_caps(spark, sf):
+    """Turns of each conversation arrive as a stream; at most 5 per
+    conversation are kept, counted across micro-batches."""
+    conv = S.stream_table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    out = S.run_capped(conv, "caps", "conv_id", ["turn"], cap=5)
+    return out.select("conv_id", "turn", "role", F.col("running").cast("bigint"))

@@ -111,3 +111,42 @@ def gate_stream(comments: DataFrame, posts: DataFrame) -> DataFrame:
     terms = split_terms(F.col("target_terms"))
     return j.select("comment_id", "post_id", F.size(terms).alias("n_terms"),
                     on_target(F.col("body"), terms).alias("on_target"))
+
+
+def run_capped(stream: DataFrame, name: str, key: str, order: list[str], cap: int) -> DataFrame:
+    """Running per-key caps across micro-batches.
+
+    State is a small counts table (one row per key) kept as a snapshot per
+    batch next to the output: batch N reads snapshot N-1, ranks its own rows
+    per key in ``order``, keeps those within ``cap`` of the running count and
+    writes output N and snapshot N with overwrite, so a retried batch gives
+    the same result. Only new rows and the counts are touched per batch.
+    """
+    from pyspark.sql import Window
+
+    spark = stream.sparkSession
+    work = _workdir(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        prior_path = f"{work}/counts/batch_id={batch_id - 1}"
+        try:
+            prior = s.read.parquet(prior_path)
+        except Exception:  # noqa: BLE001 - first batch: no snapshot yet
+            prior = s.createDataFrame([], f"{key} long, seen long")
+        w = Window.partitionBy(key).orderBy(*order)
+        ranked = (batch.withColumn("rn", F.row_number().over(w))
+                  .join(prior, key, "left")
+                  .withColumn("running", F.col("rn") + F.coalesce("seen", F.lit(0))))
+        ranked.where(F.col("running") <= cap).drop("seen", "rn") \
+            .write.mode("overwrite").parquet(f"{work}/out/batch_id={batch_id}")
+        counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        snap = (prior.join(counts, key, "full_outer")
+                .select(key, (F.coalesce("seen", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("seen")))
+        snap.write.mode("overwrite").parquet(f"{work}/counts/batch_id={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(write)
+         .option("checkpointLocation", f"{work}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{work}/out").drop("batch_id")

@@ -10,8 +10,10 @@ aggregate, so a huge bucket is reduced map-side). The centroid table is
 small and is checkpointed to the session's checkpoint directory each
 iteration to cut lineage; points are persisted once.
 
-Seeding is deterministic - the k lowest-id distinct vectors of a bucket -
-so assignments are reproducible but differ from a seeded k-means++.
+Seeding is deterministic: farthest-first traversal per bucket by default
+(spread like k-means++, but greedy instead of sampled), or the k lowest-id
+distinct vectors (used by the one-step queries that have an SQL oracle).
+Assignments are reproducible but differ from a seeded k-means++.
 """
 
 from __future__ import annotations
@@ -60,6 +62,45 @@ def seed_centroids(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE) ->
             .select(*BUCKET, F.col("cluster").cast("int"), "vec"))
 
 
+def farthest_first_seeds(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE) -> DataFrame:
+    """Deterministic spread-out seeds: per bucket, the lowest-id point, then
+    repeatedly the point farthest from every seed chosen so far (ties by
+    id), up to min(k, n) seeds; duplicates of a seed are never chosen.
+
+    The greedy counterpart of k-means++ seeding, run for all buckets at
+    once: each round is one join of the points with their bucket's newest
+    seed and one max_by aggregate (partial, skew-safe), k rounds in total.
+    """
+    sizes = points.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    pts = points.join(sizes, BUCKET, "left_semi").select(*BUCKET, "comment_id", "vec")
+    first = pts.groupBy(*BUCKET).agg(F.min_by(F.struct("comment_id", "vec"), "comment_id").alias("s"))
+    seeds = [first.select(*BUCKET, F.lit(0).alias("cluster"), F.col("s.vec").alias("vec"))]
+    mind = (pts.join(first.select(*BUCKET, F.col("s.vec").alias("svec")), BUCKET)
+            .select(*BUCKET, "comment_id", "vec", sq_dist(F.col("vec"), F.col("svec")).alias("d")))
+    mind = mind.persist(StorageLevel.MEMORY_AND_DISK)
+    for j in range(1, k):
+        nxt = (mind.where(F.col("d") > 0).join(sizes.where(F.col("n") > j), BUCKET, "left_semi")
+               .groupBy(*BUCKET)
+               .agg(F.max_by(F.col("vec"), F.struct(F.col("d"), -F.col("comment_id"))).alias("nvec")))
+        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        if nxt.isEmpty():
+            nxt.unpersist()
+            break
+        seeds.append(nxt.select(*BUCKET, F.lit(j).alias("cluster"), F.col("nvec").alias("vec")))
+        new = (mind.join(nxt, BUCKET, "left")
+               .select(*BUCKET, "comment_id", "vec",
+                       F.when(F.col("nvec").isNull(), F.col("d"))
+                       .otherwise(F.least(F.col("d"), sq_dist(F.col("vec"), F.col("nvec")))).alias("d"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        new.count()
+        mind.unpersist()
+        mind = new
+    out = seeds[0]
+    for sd in seeds[1:]:
+        out = out.unionByName(sd)
+    return out.select(*BUCKET, F.col("cluster").cast("int"), "vec")
+
+
 def _packed(centroids: DataFrame) -> DataFrame:
     """One row per bucket with its (<= k) centroids as an array."""
     return centroids.groupBy(*BUCKET).agg(
@@ -84,7 +125,8 @@ def update(assigned: DataFrame) -> DataFrame:
 
 
 def kmeans(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE, max_iter: int = 20,
-           tol: float = 1e-9, normalize: bool = False) -> tuple[DataFrame, DataFrame]:
+           tol: float = 1e-9, normalize: bool = False,
+           seeding: str = "farthest") -> tuple[DataFrame, DataFrame]:
     """M6: grouped Lloyd iterations until no centroid moves more than tol.
 
     Returns (centroids with size, assignments). ``normalize`` scales every
@@ -97,7 +139,8 @@ def kmeans(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE, max_iter:
         pts = pts.withColumn("vec", F.transform("vec", lambda x: F.coalesce(
             F.try_divide(x, norm(F.col("vec"))), F.lit(0.0))))
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    cents = seed_centroids(pts, k).checkpoint(eager=True)
+    seeder = farthest_first_seeds if seeding == "farthest" else seed_centroids
+    cents = seeder(pts, k).checkpoint(eager=True)
     for _ in range(max_iter):
         new = update(assign(pts, cents)).checkpoint(eager=True)
         moved = (new.join(cents.select(*BUCKET, "cluster", F.col("vec").alias("old")),

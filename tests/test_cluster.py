@@ -98,3 +98,16 @@ def test_inertia_does_not_rise(spark):
         return sum(np.sum((vecs[r.comment_id] - cents[r.cluster]) ** 2) for r in assigned.collect())
 
     assert inertia(3) <= inertia(1) + 1e-9
+
+
+def test_farthest_first_finds_separated_groups(spark):
+    rng = np.random.default_rng(42)
+    centres = np.eye(8)[:4] * 5
+    vecs = np.vstack([c + rng.normal(0, 0.1, size=(15, 8)) for c in centres])
+    clusters, _ = CL.kmeans(_pts(spark, vecs), k=4, max_iter=20)
+    assert sorted(r["size"] for r in clusters.collect()) == [15, 15, 15, 15]
+
+
+def test_farthest_first_skips_duplicates(spark):
+    seeds = CL.farthest_first_seeds(CL.prepare(_pts(spark, [[1, 0], [1, 0], [0, 1]])), k=10)
+    assert seeds.count() == 2

@@ -78,23 +78,24 @@ def farthest_first_seeds(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STAN
     mind = (pts.join(first.select(*BUCKET, F.col("s.vec").alias("svec")), BUCKET)
             .select(*BUCKET, "comment_id", "vec", sq_dist(F.col("vec"), F.col("svec")).alias("d")))
     mind = mind.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [mind]
     for j in range(1, k):
         nxt = (mind.where(F.col("d") > 0).join(sizes.where(F.col("n") > j), BUCKET, "left_semi")
                .groupBy(*BUCKET)
                .agg(F.max_by(F.col("vec"), F.struct(F.col("d"), -F.col("comment_id"))).alias("nvec")))
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
-            nxt.unpersist()
-            break
+        # one row per bucket; checkpointed so the next round's plan refers to
+        # ``mind`` once (otherwise the plan doubles every round)
+        nxt = nxt.checkpoint(eager=True)
         seeds.append(nxt.select(*BUCKET, F.lit(j).alias("cluster"), F.col("nvec").alias("vec")))
         new = (mind.join(nxt, BUCKET, "left")
                .select(*BUCKET, "comment_id", "vec",
                        F.when(F.col("nvec").isNull(), F.col("d"))
                        .otherwise(F.least(F.col("d"), sq_dist(F.col("vec"), F.col("nvec")))).alias("d"))
                .persist(StorageLevel.MEMORY_AND_DISK))
-        new.count()
-        mind.unpersist()
+        cached.append(new)
         mind = new
+    for df in cached:  # the seeds only depend on the checkpointed rounds
+        df.unpersist()
     out = seeds[0]
     for sd in seeds[1:]:
         out = out.unionByName(sd)

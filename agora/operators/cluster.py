@@ -62,6 +62,12 @@ def seed_centroids(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE) ->
             .select(*BUCKET, F.col("cluster").cast("int"), "vec"))
 
 
+def _small_parts(df: DataFrame) -> int:
+    """Partition count for per-bucket tables (one row per bucket/cluster):
+    the cluster's default parallelism, not the shuffle partition count."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def farthest_first_seeds(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE) -> DataFrame:
     """Deterministic spread-out seeds: per bucket, the lowest-id point, then
     repeatedly the point farthest from every seed chosen so far (ties by
@@ -85,7 +91,7 @@ def farthest_first_seeds(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STAN
                .agg(F.max_by(F.col("vec"), F.struct(F.col("d"), -F.col("comment_id"))).alias("nvec")))
         # one row per bucket; checkpointed so the next round's plan refers to
         # ``mind`` once (otherwise the plan doubles every round)
-        nxt = nxt.checkpoint(eager=True)
+        nxt = nxt.coalesce(_small_parts(nxt)).checkpoint(eager=True)
         seeds.append(nxt.select(*BUCKET, F.lit(j).alias("cluster"), F.col("nvec").alias("vec")))
         new = (mind.join(nxt, BUCKET, "left")
                .select(*BUCKET, "comment_id", "vec",
@@ -143,7 +149,8 @@ def kmeans(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE, max_iter:
     seeder = farthest_first_seeds if seeding == "farthest" else seed_centroids
     cents = seeder(pts, k).checkpoint(eager=True)
     for _ in range(max_iter):
-        new = update(assign(pts, cents)).checkpoint(eager=True)
+        upd = update(assign(pts, cents))
+        new = upd.coalesce(_small_parts(upd)).checkpoint(eager=True)
         moved = (new.join(cents.select(*BUCKET, "cluster", F.col("vec").alias("old")),
                           BUCKET + ["cluster"], "left")
                  .agg(F.max(F.coalesce(sq_dist(F.col("vec"), F.col("old")), F.lit(1.0)))

@@ -7,11 +7,6 @@ being reproduced and are kept verbatim, in their natural order.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reproduced behaviour; do not edit)
 # ---------------------------------------------------------------------------
@@ -155,22 +150,22 @@ NEGATIVE_WORDS = [
 ]
 
 
-@functools.lru_cache(maxsize=1)
+# Spark ML's English stop words, the default list of the keyword operators (a
+# parameter; a scikit-learn user's list differs). Fixed values.
+ENGLISH_STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+her hers herself it its itself they them their theirs themselves what which who whom this that
+these those am is are was were be been being have has had having do does did doing a an the and
+but if or because as until while of at by for with about against between into through during
+before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own
+same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll
+i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+""".split())
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the mllib jar.
-
-    Used as the TF-IDF / term-frequency stop list (a parameter; the list a
-    scikit-learn user gets differs). Read without a JVM so the same list can
-    be put into oracle SQL text.
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as zf:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in zf.namelist():
-                words = zf.read(name).decode("utf-8").split()
-                return tuple(dict.fromkeys(w.strip() for w in words if w.strip()))
-    raise RuntimeError("spark-mllib jar with English stop words not found")
+    return ENGLISH_STOP_WORDS

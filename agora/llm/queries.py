@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, html_extract, packing, token_counts
+from agora.llm import bpe, html_extract, packing, quality_classifier, quality_rules, token_counts
+from agora.llm.common import crc_mod
 
 SEQUENCE = 4096
 
@@ -23,6 +24,22 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "distance2")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on labelled rows with crc32(doc_id) mod 5 other than 0, scored on every row."""
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    documents = table(spark, sf_dir, "documents")
+    weights = quality_classifier.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality_classifier.score(documents, weights)
+    return out.select("doc_id", held_out.alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -42,5 +59,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op4_bpe, op5_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

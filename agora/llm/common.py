@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.session import ensure_checkpoint_dir
+
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """What an operator needs of a session: a checkpoint folder, and this package on the executors."""
+    ensure_checkpoint_dir(spark)
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="agora-"), "agora.zip")  # Spark sends it to the executors
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("agora", os.path.relpath(path, top)))
+    spark.sparkContext.addPyFile(target)
+
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just (id, text) under fixed names, so no other column can clash; null text -> ''."""
@@ -40,6 +65,8 @@ def byte_slices(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
                 schema: str, target: int = 4 << 20) -> DataFrame:
     """mapInArrow over byte-balanced batches; ``make()`` builds the per-task function."""
+    prepare(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  (registers pa.compute)
         f = make()

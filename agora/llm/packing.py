@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from agora.llm.common import WordCache, byte_slices, id_text, strings
+from agora.llm.common import WordCache, byte_slices, id_text, prepare, strings
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
@@ -149,6 +149,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
                         ("ids", pa.binary()), ("doc_tokens", pa.int64()),
                         ("sequence_id", pa.int64()), ("offset", pa.int64())])
     end = end_id.to_bytes(4, "little")
+    prepare(df.sparkSession)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import WordCache, id_text, map_batches, strings
+from agora.llm.common import WordCache, id_text, map_batches, prepare, strings
 
 SCHEMA = "doc_id long, score double"
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -113,6 +113,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[n
 def fit(documents: DataFrame, labels: DataFrame, admitted: Column, s: Settings = Settings(),
         label_col: str = "quality") -> np.ndarray:
     """Weights from the labelled documents that ``admitted`` (a condition on doc_id) lets in."""
+    prepare(documents.sparkSession)
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & admitted)
               .groupBy("doc_id").agg(F.min("label").alias("label"))

@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import map_batches, strings
-from agora.session import ensure_checkpoint_dir
+from agora.llm.common import map_batches, prepare, strings
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = "#*$%&|<>"
@@ -163,7 +162,7 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(g_lang, g_source, mean, precision): the estimate of every group, already drawn to the wider ones."""
-    ensure_checkpoint_dir(stats.sparkSession)
+    prepare(stats.sparkSession)
     vectors = (stats.select(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"),
                             *[v.alias(x) for v, x in zip(vector_columns(), X)]).distinct())
     levels = F.array(F.struct(F.col("l").alias("g_lang"), F.col("s").alias("g_source")),
@@ -240,7 +239,7 @@ def _drawn(own: DataFrame, prior: float) -> DataFrame:
 
 def judge(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """doc_id, STATS, base_failed, distance2 and kept for every row of ``documents``."""
-    ensure_checkpoint_dir(documents.sparkSession)
+    prepare(documents.sparkSession)
     stats = document_stats(documents).checkpoint()
     estimates = fit(stats, s)
     placed = stats.select("doc_id", *STATS, F.coalesce("lang", F.lit("")).alias("g_lang"),

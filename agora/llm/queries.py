@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, html_extract, packing, quality_classifier, quality_rules, token_counts
+from agora.llm import bpe, html_extract, itq, packing, quality_classifier, quality_rules, token_counts
 from agora.llm.common import crc_mod
 
 SEQUENCE = 4096
@@ -53,6 +53,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"),
                                     public_tokenizers.path("piece_bpe_32k.model"))
@@ -60,5 +64,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op9_token_counts)}
+    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op8_embedding_dedup, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -16,8 +16,9 @@ start. In every band bucket the smallest id is the leader: candidates are
 (leader, member), one row per member and band at most, tested by the weighted
 Jaccard similarity of the whole texts and joined to components. What this
 cannot settle, buckets that still hold several components, is compared member
-by member across components in blocks of ``block`` signatures, with no cap;
-candidates whose signatures agree enough are tested as before.
+by member across components in blocks of ``block`` texts, with no cap: pairs
+whose signatures agree enough are tested by the whole texts where they meet,
+and only links that join two components leave the task.
 
 Null or empty text: no words, so such texts are copies of each other. Rows of
 the same id and words are one row of the result. A null id is never a
@@ -208,17 +209,18 @@ def _signatures(documents: DataFrame, shared) -> DataFrame:
 
 
 def _bands(texts: DataFrame, s: Settings) -> DataFrame:
-    """(key, rep) for every band of every text's signature."""
+    """(band, key, rep) for every band of every text's signature."""
     def run(batches):
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u8").reshape(-1, s.bands, s.rows)
             key = np.arange(1, s.bands + 1, dtype=np.uint64)[None, :] * _MIX
             for k in range(s.rows):
                 key = mix(key * _MIX + flat[:, :, k])
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), s.bands))],
-                names=["key", "rep"])
-    return texts.mapInArrow(run, "key long, rep long")
+                [pa.array(np.tile(np.arange(s.bands, dtype=np.int32), n)), pa.array(key.ravel().view(np.int64)),
+                 pa.array(np.repeat(batch.column("rep").to_numpy(), s.bands))], names=["band", "key", "rep"])
+    return texts.mapInArrow(run, "band int, key long, rep long")
 
 
 def _loose(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -251,41 +253,70 @@ def verified(pairs: DataFrame, documents: DataFrame, shared, threshold: float) -
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, s: Settings, parts: int) -> DataFrame:
-    """Pairs of a bucket's members in different components whose signatures agree enough.
+def _row_similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of one weight vector to each of several."""
+    shingle, weight = (np.concatenate([o[k] for o in others]) for k in (0, 1))
+    starts = np.cumsum([0] + [len(o[0]) for o in others[:-1]])
+    at = np.minimum(np.searchsorted(one[0], shingle), len(one[0]) - 1)
+    low = np.where(one[0][at] == shingle, np.minimum(one[1][at], weight), 0.0).astype(np.float64)
+    low, total = np.add.reduceat(low, starts), np.add.reduceat(weight.astype(np.float64), starts)
+    return low / (total + one[1].astype(np.float64).sum() - low)
 
-    ``members``: (key, rep, component, signature). Buckets above ``block``
-    members are compared pair of blocks by pair of blocks.
+
+def _across(members: DataFrame, shared, s: Settings, parts: int) -> DataFrame:
+    """Links (a, b) between texts of a bucket that lie in different components so far.
+
+    ``members``: (band, key, rep, component, signature, text). Buckets above
+    ``block`` members are compared pair of blocks by pair of blocks. A pair is
+    tested in the first band it agrees in, if its signatures agree enough, by
+    its whole texts; a task gives only links that join what it holds as apart.
     """
     large = members.groupBy("key").count().where(F.col("count") > s.block).select(
         "key", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
     placed = (members.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", "rep", "component", "signature", "block", F.least("block", "other").alias("lo"),
-                      F.greatest("block", "other").alias("hi")))
+              .select("band", "key", "rep", "component", "signature", "text", "block",
+                      F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
 
     def compare(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by([(c, "ascending") for c in ("key", "lo", "hi", "rep")]).combine_chunks()
-        key, lo, hi, block, rep, component = (cell[c].to_numpy() for c in ("key", "lo", "hi", "block", "rep", "component"))
-        flat = np.frombuffer(b"".join(cell["signature"].to_pylist()), "<u8").reshape(-1, s.bands * s.rows)
+        weigher = shared.value
+        cell = cell.sort_by([(c, "ascending") for c in ("key", "lo", "hi", "rep")])
+        band, key, lo, hi, block, rep, component = (
+            cell[c].to_numpy() for c in ("band", "key", "lo", "hi", "block", "rep", "component"))
+        flat = np.frombuffer(b"".join(cell["signature"].to_pylist()), "<u8").reshape(-1, s.bands, s.rows)
+        texts = cell["text"]
         change = np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
         out = []
         for x, y in zip(np.concatenate([[0], change]), np.concatenate([change, [len(key)]])):
-            sig, own = flat[x:y], component[x:y]
-            for i in range(y - x):
+            label, vectors = component[x:y].copy(), {}
+
+            def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+                if i not in vectors:
+                    vectors[i] = weigher.weights(words_of(texts[int(x) + i].as_py()))
+                return vectors[i]
+
+            for i in range(y - x - 1):
                 others = np.arange(i + 1, y - x)
-                others = others[own[others] != own[i]]
+                others = others[label[others] != label[i]]
                 if lo[x] != hi[x]:
                     others = others[block[x:y][others] != block[x + i]]
-                if len(others):
-                    others = others[(sig[others] == sig[i]).mean(1) >= s.loose]
-                    out.append(np.stack([np.full(len(others), rep[x + i]), rep[x:y][others]]))
-        both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(both.min(0)), "b": pa.array(both.max(0))})
+                if not len(others):
+                    continue
+                equal = flat[x:y][others] == flat[x + i]
+                others = others[(equal.mean((1, 2)) >= s.loose) & ~equal[:, :band[x]].all(2).any(1)]
+                if not len(others):
+                    continue
+                close = _row_similarities(vector(i), [vector(int(k)) for k in others]) >= s.threshold
+                for k in others[close]:
+                    if label[k] != label[i]:
+                        out.append((rep[x + i], rep[x + k]))
+                        label[label == label[k]] = label[i]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
     return (placed.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
-            .groupBy("part").applyInArrow(compare, "a long, b long").distinct())
+            .groupBy("part").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -311,13 +342,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = components(links).checkpoint()
 
     open_ = (banded.join(led, "key").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("key", "rep", F.coalesce("component", "rep").alias("component")))
+             .select("band", "key", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = (open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
-    members = open_.join(mixed, "key", "left_semi").join(texts, "rep").checkpoint()
-    parts = max(12, math.ceil(members.count() * (8 * s.bands * s.rows + 64) / (16 << 20)))
-    rest = _across(members, s, parts).join(first, ["a", "b"], "left_anti").checkpoint()
-    more = verified(rest, documents, shared, s.threshold)
+    members = open_.join(mixed, "key", "left_semi").checkpoint()
+    found = documents.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(texts, "rep")
+    parts = max(12, members.count() // 4096)
+    more = _across(members.join(found, "rep"), shared, s, parts)
     edges = more.unionByName(classes.where(F.col("node") != F.col("component"))
                              .select(F.col("component").alias("a"), F.col("node").alias("b")))
     classes = components(edges.checkpoint())

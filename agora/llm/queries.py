@@ -10,7 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import bpe, html_extract, itq, packing, quality_classifier, quality_rules, token_counts
+from agora.llm import (
+    bpe,
+    html_extract,
+    itq,
+    minhash,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+)
 from agora.llm.common import crc_mod
 
 SEQUENCE = 4096
@@ -53,6 +62,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "component_id", "kept")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -64,5 +78,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op8_embedding_dedup, op9_token_counts)}
+    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash, op8_embedding_dedup, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agora.session import ensure_checkpoint_dir
 
@@ -63,7 +64,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-                schema: str, target: int = 4 << 20) -> DataFrame:
+                schema: str | StructType, target: int = 4 << 20) -> DataFrame:
     """mapInArrow over byte-balanced batches; ``make()`` builds the per-task function."""
     prepare(df.sparkSession)
 
@@ -76,6 +77,26 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a small side up to which it is broadcast; it is counted first.
+BROADCAST_ROWS = 50_000
+
+
+def with_blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """``rows`` with ``blocks``: into how many blocks a key's rows are split so that each has about ``block``.
+
+    Keys are counted with partial sums; the few large ones come back by a
+    broadcast if they are few indeed, so no key's rows gather for this.
+    """
+    large = (rows.groupBy(*keys).count().where(F.col("count") > block)
+             .select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks")).checkpoint())
+    n = large.count()
+    if not n:
+        return rows.withColumn("blocks", F.lit(1))
+    if n <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    return rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
 class WordCache(dict):
     """word -> value, filled by ``compute`` on a miss; two generations bound its size.
 

@@ -58,9 +58,9 @@ _HASH = WordCache(xxhash.xxh64_intdigest, 400_000)
 
 @dataclass(frozen=True)
 class Settings:
-    discount: float = 0.8
-    strength: float = 2.0
-    root_discount: float = 0.5
+    discount: float = 0.75
+    strength: float = 1.0
+    root_discount: float = 0.8
     root_strength: float = 10.0
     sweeps: int = 3
     burn_in: int = 1

@@ -158,9 +158,27 @@ def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
         w = model.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sums = [float(w[c] @ v) for c, v in (features(t, bits) for t in strings(batch.column("text")))]
-            out = 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, float), -35.0, 35.0)))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())],
-                                              names=["doc_id", "score"])
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(scores(batch.column("text"), w, bits), pa.float64())],
+                names=["doc_id", "score"])
         return run
     return map_batches(id_text(documents, id_col, text_col), make, SCHEMA)
+
+
+def scores(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
+    sums = [float(weights[c] @ v) for c, v in (features(t, bits) for t in strings(texts))]
+    return 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, float), -35.0, 35.0)))
+
+
+def keep(documents: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
+    """The rows of ``documents``, all columns, whose text scores ``least`` or more."""
+    model = documents.sparkSession.sparkContext.broadcast(weights)
+    bits = (len(weights) - 1).bit_length() - 1
+
+    def make():
+        w = model.value
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(scores(batch.column("text"), w, bits) >= least))
+        return run
+    return map_batches(documents, make, documents.schema)

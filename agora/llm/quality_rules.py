@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from agora.llm.common import map_batches, prepare, strings
 
@@ -237,15 +238,46 @@ def _drawn(own: DataFrame, prior: float) -> DataFrame:
     return groups.mapInPandas(run, "g_lang string, g_source string, mean array<double>, precision array<double>").checkpoint()
 
 
+#: Rows of estimates up to which they are broadcast (about 0.6 KB each); beyond it Spark joins as it sees fit.
+BROADCAST_ROWS = 20_000
+
+
+def with_verdict(stats: DataFrame, estimates: DataFrame, s: Settings, min_words: int, max_repeat_pct: int) -> DataFrame:
+    """``stats`` (lang, source, STATS, anything else) with base_failed, distance2 and kept."""
+    if estimates.count() <= BROADCAST_ROWS:
+        estimates = F.broadcast(estimates)
+    names = dict(zip(X, vector_columns())) | {"g_lang": F.coalesce("lang", F.lit("")), "g_source": F.coalesce("source", F.lit(""))}
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    return (stats.withColumns(names).join(estimates, KEY, "left")
+            .withColumn("base_failed", failed).withColumn("distance2", distance())
+            .withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= s.cutoff))
+            .drop(*names, "mean", "precision"))
+
+
 def judge(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
-    """doc_id, STATS, base_failed, distance2 and kept for every row of ``documents``."""
+    """doc_id, lang, source, STATS, base_failed, distance2 and kept for every row of ``documents``."""
     prepare(documents.sparkSession)
     stats = document_stats(documents).checkpoint()
-    estimates = fit(stats, s)
-    placed = stats.select("doc_id", *STATS, F.coalesce("lang", F.lit("")).alias("g_lang"),
-                          F.coalesce("source", F.lit("")).alias("g_source"),
-                          *[v.alias(x) for v, x in zip(vector_columns(), X)])
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    return (placed.join(estimates, KEY, "left")
-            .select("doc_id", *STATS, failed.alias("base_failed"), distance().alias("distance2"))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= s.cutoff)))
+    return with_verdict(stats, fit(stats, s), s, min_words, max_repeat_pct)
+
+
+def keep(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
+    """The rows of ``documents``, all columns, that the rules keep. Texts are not shuffled: their
+    counts are taken twice, once for the estimates and once next to the row."""
+    prepare(documents.sparkSession)
+    estimates = fit(document_stats(documents).checkpoint(), s)
+    packed = documents.select(F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"),
+                              F.col("source").cast("string").alias("source"),
+                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = list(zip(*[text_stats(t) for t in strings(batch.column("text"))]))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("row", "lang", "source")] + [pa.array(c, pa.int64()) for c in columns],
+                names=["row", "lang", "source", *STATS])
+        return run
+    schema = StructType([packed.schema["row"], packed.schema["lang"], packed.schema["source"],
+                         *[StructField(c, LongType()) for c in STATS]])
+    judged = with_verdict(map_batches(packed, make, schema), estimates, s, min_words, max_repeat_pct)
+    return judged.where("kept").select("row.*")

@@ -7,7 +7,7 @@ and derives the digest columns from the operator's real output.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm import (
@@ -16,13 +16,21 @@ from agora.llm import (
     itq,
     minhash,
     packing,
+    pitman_yor,
     quality_classifier,
     quality_rules,
+    suffix_dedup,
     token_counts,
 )
 from agora.llm.common import crc_mod
 
 SEQUENCE = 4096
+LEAST_SCORE = 0.3
+
+
+def held_out_label() -> Column:
+    """Whether a document's label is held out from fitting."""
+    return crc_mod(F.col("doc_id"), 5) == 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +49,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on labelled rows with crc32(doc_id) mod 5 other than 0, scored on every row."""
-    held_out = crc_mod(F.col("doc_id"), 5) == 0
     documents = table(spark, sf_dir, "documents")
-    weights = quality_classifier.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    weights = quality_classifier.fit(documents, table(spark, sf_dir, "labels"), ~held_out_label())
     out = quality_classifier.score(documents, weights)
-    return out.select("doc_id", held_out.alias("held_out"), "score",
-                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out_label().alias("held_out"), "score",
+                      (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +62,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
-                       capacity=SEQUENCE)
+def packed(documents: DataFrame) -> DataFrame:
+    out = packing.pack(documents, public_tokenizers.path("word_bpe_49k.json"), capacity=SEQUENCE)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                       "sequence_id", "offset")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "component_id", "kept")
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +91,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash, op8_embedding_dedup, op9_token_counts)}
+    op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash,
+    op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agora.llm.common import id_text, prepare
 from agora.llm.exchange import chunk_count, chunked, cuts, pack, unpack
@@ -248,10 +249,19 @@ def _verdicts(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ~first, first & several
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, spans (maximal removed runs) and kept bytes."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(),
+                   carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, spans (maximal removed runs) and kept bytes.
+
+    With ``carry`` also ``row``, the input row as a struct, and ``kept_text``,
+    the kept bytes as text without characters that a cut has split.
+    """
     prepare(df.sparkSession)
     documents = id_text(df, id_col, text_col)
+    if carry:
+        documents = df.select(F.col(id_col).cast("long").alias("doc_id"),
+                              F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                              F.struct(*[c for c in df.columns if c != text_col]).alias("row"))
     chunks = chunk_count(documents, s.chunk_bytes)
     shards = max(12, chunks // 4)
     dealt = chunked(documents, chunks)
@@ -299,15 +309,32 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])],
                         chunk.data[x:y][~gone].tobytes()))
         columns = list(zip(*out)) if out else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, OUT.types)], schema=OUT)
-
+        done = pa.table([pa.array(c, k) for c, k in zip(columns, OUT.types)], schema=OUT)
+        if carry:
+            done = done.append_column("row", table["row"].take(pa.array(chunk.rows, pa.int64())))
+            done = done.append_column("kept_text", pa.array([r[5].decode("utf-8", "ignore") for r in out], pa.string()))
+        return done
+
+    schema = StructType.fromDDL(SCHEMA)
+    if carry:
+        schema = schema.add("row", documents.schema["row"].dataType).add("kept_text", "string")
     by_chunk = dealt.groupBy("chunk")
     first = by_chunk.applyInArrow(ask_phrases, QUESTION).groupBy("shard").applyInArrow(_reply, ANSWER)
     second = (by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(ask_strings, QUESTION)
               .groupBy("shard").applyInArrow(_reply, ANSWER))
-    return by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, SCHEMA)
+    return by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, schema)
 
 
 QUESTION_NAMES = ["shard", "kind", "chunk", "keys", "x", "y"]
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                  ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+
+
+def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``documents``, all columns and rows, with repeated byte strings taken out of ``text`` and
+    ``n_chars``, if there, counted anew."""
+    cut_ = remove_repeats(documents, s=s, carry=True)
+    columns = [F.col("kept_text").alias(c) if c == "text"
+               else F.length("kept_text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars"
+               else F.col("row")[c].alias(c) for c in documents.columns]
+    return cut_.select(*columns)

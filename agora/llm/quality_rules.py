@@ -96,7 +96,7 @@ class Settings:
     support: float = 0.75       # share of a group's vectors in its subset
     tolerance: float = 1e-3     # of the log determinant
     prior: float = 40.0         # vectors' worth of the wider group's estimate
-    cutoff: float = 95.0        # largest squared distance that is kept
+    cutoff: float = 105.0       # largest squared distance that is kept
     floors: tuple[float, ...] = (0.5, 0.05, 0.15, 0.15, 0.1, 0.15, 0.15)  # least standard deviations
 
 
@@ -117,6 +117,10 @@ ALL = "\x00all"
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
+#: Groups up to which their estimates are broadcast (about 0.6 KB each); beyond it Spark joins as it sees fit.
+BROADCAST_ROWS = 20_000
+
+
 def distance(mean: str = "mean", precision: str = "precision") -> Column:
     """Squared Mahalanobis distance of X under the joined estimate."""
     c = [F.col(x) - F.col(mean)[i] for i, x in enumerate(X)]
@@ -138,8 +142,8 @@ def _estimates(moments: DataFrame, keys: list[str], floors: tuple[float, ...], e
                 c = np.zeros((D, D))
                 for (i, j), v in zip(PAIRS, p):
                     c[i, j] = c[j, i] = v / n - m[i] * m[j]
-                # the floor is added where a variance is below it
-                c = c + np.diag(np.maximum(np.diag(floor) - np.diag(c), 0.0))
+                # variances are raised to the floor, and a hundredth of it keeps few points invertible
+                c = c + np.diag(np.maximum(np.diag(floor) - np.diag(c), 0.0)) + 0.01 * floor
                 mean.append(m)
                 cov.append([c[i, j] for i, j in PAIRS])
                 prec.append([q[i, j] for q in [np.linalg.inv(c)] for i, j in PAIRS])
@@ -171,11 +175,14 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
                      F.struct(F.lit(ALL).alias("g_lang"), F.lit(ALL).alias("g_source")))
     rows = vectors.select(F.explode(levels).alias("g"), *X).select("g.*", *X).checkpoint()
 
-    center = rows.groupBy(*KEY).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)])
-    spread = (rows.join(center, KEY).groupBy(*KEY)
+    center = rows.groupBy(*KEY).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)]).checkpoint()
+    few = center.count() <= BROADCAST_ROWS
+    small = lambda groups: F.broadcast(groups) if few else groups  # noqa: E731  one row a group, counted just now
+
+    spread = (rows.join(small(center), KEY).groupBy(*KEY)
               .agg(*[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000),
                                 F.lit(s.floors[i])).alias(f"s{i}") for i, x in enumerate(X)]))
-    scaled = rows.join(center.join(spread, KEY), KEY)
+    scaled = rows.join(small(center.join(small(spread), KEY).checkpoint()), KEY)
     z = [F.abs(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
     first = scaled.select(*KEY, *X, F.explode(F.array(
         F.struct(F.lit(0).alias("start"), sum((c * c for c in z), F.lit(0.0)).alias("d2")),
@@ -185,26 +192,26 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def concentrate(measured: DataFrame) -> DataFrame:
         cut = measured.groupBy(*keys).agg(F.percentile_approx("d2", s.support, 2000).alias("cut"))
-        inside = measured.join(cut, keys).where(F.col("d2") <= F.col("cut"))
+        inside = measured.join(small(cut), keys).where(F.col("d2") <= F.col("cut"))
         return _estimates(_moments(inside, keys), keys, s.floors).checkpoint()
 
     now = concentrate(first)
     while True:
         then = now
-        measured = rows.join(then.drop("logdet", "n", "cov"), KEY).select(*keys, *X, distance().alias("d2"))
+        measured = rows.join(small(then.drop("logdet", "n", "cov")), KEY).select(*keys, *X, distance().alias("d2"))
         now = concentrate(measured)
-        moved = (now.select(*keys, F.col("logdet").alias("b")).join(then.select(*keys, F.col("logdet").alias("a")), keys)
+        moved = (now.select(*keys, F.col("logdet").alias("b")).join(small(then.select(*keys, F.col("logdet").alias("a"))), keys)
                  .agg(F.max(F.col("a") - F.col("b"))).first()[0])  # one number
         if moved is None or moved <= s.tolerance:
             break
-    best = now.groupBy(*KEY).agg(F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("e")).select(*KEY, "e.*")
+    best = now.groupBy(*KEY).agg(F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("e")).select(*KEY, "e.*").checkpoint()
 
     # scale to a normal sample's median distance, then reweight once
-    measured = rows.join(best, KEY).select(*KEY, *X, distance().alias("d2"))
+    measured = rows.join(small(best), KEY).select(*KEY, *X, distance().alias("d2"))
     scale = measured.groupBy(*KEY).agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / CHI2_HALF, F.lit(1.0)).alias("scale"))
-    good = measured.join(scale, KEY).where(F.col("d2") <= CHI2_975 * F.col("scale"))
+    good = measured.join(small(scale), KEY).where(F.col("d2") <= CHI2_975 * F.col("scale"))
     own = _estimates(_moments(good, KEY), KEY, s.floors).checkpoint()
-    return _drawn(own, s.prior)
+    return _drawn(own, s.prior, small)
 
 
 # The chi-square distribution's median and 0.975 quantile at 7 degrees of freedom.
@@ -212,20 +219,19 @@ CHI2_HALF = 6.345811
 CHI2_975 = 16.012764
 
 
-def _drawn(own: DataFrame, prior: float) -> DataFrame:
+def _drawn(own: DataFrame, prior: float, small) -> DataFrame:
     """Each estimate mixed with the wider group's by their numbers of vectors."""
     base = own.select(*KEY, "n", "mean", "cov")
-    wide = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("mean", "cov")]
-    whole = base.where((F.col("g_lang") == ALL) & (F.col("g_source") == ALL)).select(F.lit(ALL).alias("up"), *wide("a"))
+    whole = base.where((F.col("g_lang") == ALL) & (F.col("g_source") == ALL)).first()  # one row
     lang = base.where((F.col("g_lang") != ALL) & (F.col("g_source") == ALL)).select(
-        "g_lang", F.col("n").alias("l_n"), *wide("l"), F.lit(ALL).alias("up"))
-    groups = base.where(F.col("g_source") != ALL).join(lang, "g_lang").join(whole, "up")
+        "g_lang", F.col("n").alias("l_n"), F.col("mean").alias("l_mean"), F.col("cov").alias("l_cov"))
+    groups = base.where(F.col("g_source") != ALL).join(small(lang), "g_lang")
 
     def run(batches):
         for pdf in batches:
             mean, prec = [], []
             for r in pdf.itertuples():
-                m, c = np.asarray(r.a_mean), np.asarray(r.a_cov)
+                m, c = np.asarray(whole["mean"]), np.asarray(whole["cov"])
                 for n, mm, cc in ((r.l_n, r.l_mean, r.l_cov), (r.n, r.mean, r.cov)):
                     share = n / (n + prior)
                     m, c = share * np.asarray(mm) + (1 - share) * m, share * np.asarray(cc) + (1 - share) * c
@@ -238,10 +244,6 @@ def _drawn(own: DataFrame, prior: float) -> DataFrame:
     return groups.mapInPandas(run, "g_lang string, g_source string, mean array<double>, precision array<double>").checkpoint()
 
 
-#: Rows of estimates up to which they are broadcast (about 0.6 KB each); beyond it Spark joins as it sees fit.
-BROADCAST_ROWS = 20_000
-
-
 def with_verdict(stats: DataFrame, estimates: DataFrame, s: Settings, min_words: int, max_repeat_pct: int) -> DataFrame:
     """``stats`` (lang, source, STATS, anything else) with base_failed, distance2 and kept."""
     if estimates.count() <= BROADCAST_ROWS:

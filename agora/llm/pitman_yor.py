@@ -217,8 +217,9 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
     log_s = stirling(discount, exact)
     for c in np.unique(small[small > 1]):
         rows = np.flatnonzero(small == c)
-        for i in range(0, len(rows), 1 << 16):
-            at = rows[i:i + (1 << 16)]
+        step = max(1, (1 << 18) // int(c))
+        for i in range(0, len(rows), step):
+            at = rows[i:i + step]
             opened = np.log(strength + discount * (others[at][:, None] + np.arange(c))) + np.log(base[at])[:, None]
             weight = np.cumsum(opened, 1) + log_s[c, 1:c + 1]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)

@@ -111,16 +111,15 @@ def scope_match(title: Column, extra_terms: Sequence[str] | None = None,
     return cond
 
 
-def target_entities(title: Column, max_entities: int = 10,
+def target_entities(title: Column, max_entities: int | None = None,
                     known: Sequence[str] = lexicon.KNOWN_ENTITIES,
                     stop: Sequence[str] = lexicon.ENTITY_STOP_WORDS) -> Column:
     """Entities of a title, as an array in title order.
 
     A token is kept if it is a known entity (any case), or if it is not the
     first token, starts upper-case, is longer than 2 and is not a stop word.
-    Case-insensitive duplicates keep the first spelling; at most
-    ``max_entities`` are returned. Titles are bounded (255 chars), so this
-    stays a per-row array expression.
+    Case-insensitive duplicates keep the first spelling. All are returned,
+    or the first ``max_entities`` if given.
     """
     known_arr = F.array(*[F.lit(k.lower()) for k in known])
     stop_arr = F.array(*[F.lit(s) for s in stop])
@@ -135,7 +134,7 @@ def target_entities(title: Column, max_entities: int = 10,
     kept = F.filter(F.transform(toks, eligible), lambda x: x.isNotNull())
     first = F.filter(kept, lambda t, i: ~F.exists(
         F.slice(kept, F.lit(1), i), lambda u: F.lower(u) == F.lower(t)))
-    return F.slice(first, 1, max_entities)
+    return first if max_entities is None else F.slice(first, 1, max_entities)
 
 
 def split_terms(raw: Column) -> Column:
@@ -147,7 +146,8 @@ def split_terms(raw: Column) -> Column:
 def _boundary_regex(term: Column) -> Column:
     left = F.when(term.rlike("^" + WORD),F.lit(f"(?:^|{NON_WORD})")).otherwise(F.lit(WORD))
     right = F.when(term.rlike(WORD + "$"), F.lit(f"(?:{NON_WORD}|$)")).otherwise(F.lit(WORD))
-    return F.concat(left, F.lit("\\Q"), term, F.lit("\\E"), right)
+    literal = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(left, literal, right)
 
 
 def on_target(body: Column, terms: Column) -> Column:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def prior_running_sum(df: DataFrame, order_key: str, value: str, out: str,
-                      block_size: int = 4096) -> DataFrame:
+                      block_size: int = 4096, levels: int = 3) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``order_key``.
 
-    Two-level prefix sum so no task ever sees the whole table: rows are cut
-    into blocks by key (block = key // block_size), each block gets a local
-    running sum (window partitioned by block), and one row per block carries
-    the block totals into a (much smaller) running sum over blocks, joined
-    back by block id. ``order_key`` must be a non-negative integer column.
+    A prefix sum over ``levels`` levels of blocks: rows are cut into blocks by
+    key (block = key // block_size) with a local running sum each (a window
+    partitioned by block); the blocks' totals are summed the same way one
+    level up. Only the last level is one window over all its rows, of which
+    there is one per block_size ** levels keys. ``order_key`` must be a
+    non-negative integer column.
     """
     blk = F.floor(F.col(order_key) / F.lit(block_size)).cast("bigint")
     with_blk = df.withColumn("_blk", blk)
@@ -22,9 +23,14 @@ def prior_running_sum(df: DataFrame, order_key: str, value: str, out: str,
                .rowsBetween(Window.unboundedPreceding, -1))
     local = with_blk.withColumn("_local", F.coalesce(F.sum(value).over(w_local), F.lit(0)))
     totals = with_blk.groupBy("_blk").agg(F.sum(value).alias("_btotal"))
-    w_blocks = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", F.coalesce(F.sum("_btotal").over(w_blocks), F.lit(0))
-                            .alias("_boffset"))
+    if levels > 1:
+        named = totals.select(F.col("_blk").alias("_key"), "_btotal")
+        offsets = (prior_running_sum(named, "_key", "_btotal", "_above", block_size, levels - 1)
+                   .select(F.col("_key").alias("_blk"), F.col("_above").alias("_boffset")))
+    else:
+        w_blocks = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("_blk", F.coalesce(F.sum("_btotal").over(w_blocks), F.lit(0))
+                                .alias("_boffset"))
     return (local.join(offsets, "_blk", "left")
             .withColumn(out, (F.col("_local") + F.coalesce("_boffset", F.lit(0))).cast("bigint"))
             .drop("_blk", "_local", "_boffset"))

@@ -10,7 +10,7 @@ holding a large share of all documents does not end up whole in one task.
 from __future__ import annotations
 
 from pyspark.ml.feature import NGram, StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora import lexicon
@@ -19,14 +19,6 @@ from agora.functions.text import tf_tokens, tfidf_tokens
 SCORE_DIGITS = 9  # scores are rounded before ranking so ties are exact
 
 
-def _stop_map(words) -> Column:
-    return F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.lit(True))])
-
-
-def _not_stop(m: Column):
-    return lambda t: F.try_element_at(m, t).isNull()
-
-
 def tf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
                 stop=None) -> DataFrame:
     """Most frequent ``[a-z]{2,}`` tokens per group, stop words
@@ -44,12 +36,12 @@ def tf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
 
 
 def tfidf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
-                   max_features: int = lexicon.TFIDF_MAX_FEATURES, stop=None,
+                   max_features: int | None = None, stop=None,
                    extra_stop=None) -> DataFrame:
     """M8: mean TF-IDF keywords per group.
 
-    Stop words are removed before bigrams are formed; the vocabulary is the
-    ``max_features`` most frequent terms of the group (ties by term); idf is
+    Stop words are removed before bigrams are formed; the vocabulary is
+    every term of the group, or the ``max_features`` most frequent (ties by term); idf is
     smoothed, ln((1+n)/(1+df)) + 1; each document vector is L2-normalised
     over the vocabulary; the score is the sum over the group's documents
     divided by all of them (documents without terms count). Terms with an
@@ -66,9 +58,10 @@ def tfidf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
     tf = terms.groupBy(group, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"))
     stats = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    wv = Window.partitionBy(group).orderBy(F.desc("cf"), F.asc("term"))
-    vocab = (stats.withColumn("r", F.row_number().over(wv)).where(F.col("r") <= max_features)
-             .join(n_docs, group)
+    if max_features is not None:
+        wv = Window.partitionBy(group).orderBy(F.desc("cf"), F.asc("term"))
+        stats = stats.withColumn("r", F.row_number().over(wv)).where(F.col("r") <= max_features)
+    vocab = (stats.join(n_docs, group)
              .select(group, "term", "n_docs",
                      (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     weighted = tf.join(vocab, [group, "term"]).select(
@@ -85,12 +78,15 @@ def tfidf_keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS,
                     F.lit("tfidf").alias("method")))
 
 
-def keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS) -> DataFrame:
-    """M8 dispatch per group: no docs -> nothing; < 3 docs or an empty
-    TF-IDF vocabulary -> term frequency; otherwise TF-IDF."""
-    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"))
-    big = docs.join(sizes.where(F.col("n_docs") >= 3).select(group), group, "left_semi")
-    tfidf = tfidf_keywords(big, group, n)
-    have = tfidf.select(group).distinct()
-    rest = docs.join(have, group, "left_anti")
-    return tfidf.unionByName(tf_keywords(rest, group, n))
+def keywords(docs: DataFrame, group: str, n: int = lexicon.N_KEYWORDS, min_docs: int = 3,
+             max_features: int | None = None) -> DataFrame:
+    """M8 dispatch per group: no docs -> nothing; fewer than ``min_docs`` or an
+    empty TF-IDF vocabulary -> term frequency; otherwise TF-IDF. Which groups
+    have a vocabulary is one pass over the documents, not the TF-IDF result."""
+    stop = F.array(*[F.lit(w) for w in lexicon.english_stop_words()])
+    usable = F.size(F.array_except(tfidf_tokens(F.col("text")), stop)) > 0
+    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs"), F.max(usable).alias("usable"))
+    chosen = sizes.where((F.col("n_docs") >= min_docs) & F.col("usable")).select(group)
+    big = docs.join(chosen, group, "left_semi")
+    rest = docs.join(chosen, group, "left_anti")
+    return tfidf_keywords(big, group, n, max_features).unionByName(tf_keywords(rest, group, n))

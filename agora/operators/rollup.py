@@ -53,7 +53,7 @@ def daily_stats(classified: DataFrame) -> DataFrame:
 
 
 def windowed_stats(classified: DataFrame, window: str = "6 hours",
-                   history_days: int | None = 30) -> DataFrame:
+                   history_days: int | None = None) -> DataFrame:
     """The same rollup over tumbling ``window`` buckets.
 
     With ``history_days`` only the last N days before the newest comment are
@@ -94,7 +94,3 @@ def active_topics_only(df: DataFrame, topics: DataFrame) -> DataFrame:
     """Restrict to topics whose status is 'active' (left-semi join)."""
     return df.join(topics.where(F.col("status") == "active").select("topic_id"),
                    "topic_id", "left_semi")
-
-
-def stances() -> list[str]:
-    return list(lexicon.STANCES)

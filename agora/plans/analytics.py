@@ -52,20 +52,32 @@ def timeline(spark, sf):
                       for c in t.columns])
 
 
-@query("timeline_6h", "E1 T4 A1", with_views(f"""
-WITH src AS (SELECT * FROM v_classified
-             WHERE created_utc >= (SELECT max(created_utc) FROM v_classified) - 30 * 86400),
+_SIX_HOURS_SQL = f"""
+WITH src AS (SELECT * FROM v_classified{{recent}}),
 g AS (
   SELECT topic_id, time_bucket(INTERVAL 6 HOUR, epoch_ms(created_utc * 1000)) AS bucket_start,
          stance, count(*) AS cnt, avg(toxicity) AS avg_tox
   FROM src GROUP BY ALL)
 SELECT topic_id, bucket_start, {_STANCE_SUMS}
-FROM g GROUP BY topic_id, bucket_start""", ["v_classified"]))
-def timeline_6h(spark, sf):
-    d = rollup.windowed_stats(T.v_classified(spark, sf), "6 hours", history_days=30)
+FROM g GROUP BY topic_id, bucket_start"""
+
+
+def _six_hours(spark, sf, history_days):
+    d = rollup.windowed_stats(T.v_classified(spark, sf), "6 hours", history_days=history_days)
     return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
 
 
+@query("timeline_6h", "E1 T4 A1, last 30 days", with_views(_SIX_HOURS_SQL.format(
+    recent=" WHERE created_utc >= (SELECT max(created_utc) FROM v_classified) - 30 * 86400"), ["v_classified"]))
+def timeline_6h(spark, sf):
+    return _six_hours(spark, sf, 30)
+
+
+@query("timeline_6h_all", "E1 T4 A1", with_views(_SIX_HOURS_SQL.format(recent=""), ["v_classified"]))
+def timeline_6h_all(spark, sf):
+    return _six_hours(spark, sf, None)
+
+
 @query("toxicity_by_stance_window", "E2 T5", with_views("""
 SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(created_utc * 1000)) AS bucket_start, stance,
        count(*) AS n_comments, count(toxicity) AS n_scored, round(avg(toxicity), 6) AS avg_toxicity

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agora import lexicon
 from agora.operators import ingest
 from agora.plans.registry import query
 from agora.sources import tables as T
@@ -27,6 +28,21 @@ def _expanded(spark, sf, max_depth):
     return ingest.expand_threads(roots, items, max_depth)
 
 
+_EXPAND_ALL_SQL = """
+WITH RECURSIVE r(story_id, id, depth, path) AS (
+  SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
+  WHERE parent = story_id * 100
+  UNION ALL
+  SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
+  FROM r JOIN v_thread t ON t.parent = r.id)
+SELECT story_id, id, CAST(depth AS INTEGER) AS depth, path FROM r"""
+
+
+@query("thread_expand_all", "J13 without a depth bound", with_views(_EXPAND_ALL_SQL, ["v_thread"]))
+def thread_expand_all(spark, sf):
+    return _expanded(spark, sf, None).select("story_id", "id", F.col("depth").cast("int"), "path")
+
+
 _EXPAND_SQL = """
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
@@ -105,39 +121,30 @@ def ingest_comments(spark, sf):
                       "permalink")
 
 
-@query("ingest_metrics", "A8", with_views(f"""
+@query("ingest_metrics", "A8 S5 P6", with_views(f"""
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
   WHERE parent = story_id * 100
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
-  FROM r JOIN v_thread t ON t.parent = r.id WHERE r.depth + 1 < 3),
-k AS (SELECT r.*, t.text, row_number() OVER (PARTITION BY r.story_id ORDER BY r.path) AS rn
-      FROM r JOIN v_thread t USING (id))
-SELECT CAST(count(DISTINCT story_id) AS BIGINT) AS stories_ingested,
-  CAST(count(*) AS BIGINT) AS comments_seen,
-  CAST(count(*) FILTER (WHERE rn <= {POST_CAP} AND text IS NOT NULL
-        AND NOT regexp_matches(text, '^[\\s\\p{{Z}}]*$')) AS BIGINT) AS comments_added,
-  CAST(count(*) FILTER (WHERE rn <= {POST_CAP} AND (text IS NULL
-        OR regexp_matches(text, '^[\\s\\p{{Z}}]*$'))) AS BIGINT) AS comments_skipped,
-  count(*) FILTER (WHERE rn > {POST_CAP}) > 0 AS cap_reached
-FROM k""", ["v_thread"]))
+  FROM r JOIN v_thread t ON t.parent = r.id),
+g AS (SELECT r.story_id, r.path, {{good}} AS good FROM r JOIN v_thread t USING (id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY story_id, good ORDER BY path) AS rn FROM g)
+SELECT count(DISTINCT story_id) AS stories_fetched,
+  count(DISTINCT story_id) FILTER (WHERE good AND rn <= {POST_CAP}) AS stories_ingested,
+  count(*) FILTER (WHERE good AND rn <= {POST_CAP}) AS comments_added,
+  count(*) FILTER (WHERE NOT good) AS comments_skipped,
+  count(*) FILTER (WHERE good AND rn > {POST_CAP}) > 0 AS cap_reached
+FROM k""".format(good="(t.id % 13 <> 0 AND t.text IS NOT NULL AND NOT regexp_matches(t.text, '^[\\s\\p{Z}]*$'))"),
+    ["v_thread"]))
 def ingest_metrics(spark, sf):
-    from agora.functions.text import is_blank
+    """Every 13th item is marked deleted; blank and deleted items are skipped and use no slot of the cap."""
     items, roots = _thread_items(spark, sf)
-    ex = ingest.expand_threads(roots, items, 3)
+    items = items.withColumn("deleted", F.col("id") % 13 == 0).withColumn("dead", F.lit(False))
+    ex = ingest.expand_threads(roots, items)
     order = ex.select("story_id").distinct().withColumn("order_key", F.col("story_id"))
-    capped = ingest.cap_comments(ex, order, per_post=POST_CAP, per_cycle=10**12)
-    kept = capped.join(items.select("id", "text"), "id")
-    a = ex.agg(F.countDistinct("story_id").alias("stories_ingested"),
-               F.count(F.lit(1)).alias("comments_seen"))
-    b = kept.agg(F.count_if(~is_blank(F.col("text"))).alias("comments_added"),
-                 F.count_if(is_blank(F.col("text"))).alias("comments_skipped"),
-                 F.count(F.lit(1)).alias("n_kept"))
-    return a.join(b, how="inner", on=None).select(
-        F.col("stories_ingested").cast("bigint"), F.col("comments_seen").cast("bigint"),
-        F.col("comments_added").cast("bigint"), F.col("comments_skipped").cast("bigint"),
-        (F.col("comments_seen") > F.col("n_kept")).alias("cap_reached"))
+    stored = ingest.cap_comments(ingest.storable(ex, ingest.live_items(items)), order, per_post=POST_CAP)
+    return ingest.ingest_counts(ex.select("story_id", F.col("id").alias("item_id")), items, stored)
 
 
 EVENT_STORY_TYPE = {"view": "top", "click": "ask", "purchase": "show", "signup": "new"}
@@ -157,7 +164,7 @@ def _ranked_lists(spark, sf):
                          (F.row_number().over(w) - 1).alias("pos"))
 
 
-@query("story_candidates", "S2 S3 S4 U1 W7", with_views("""
+_CANDIDATES_SQL = """
 WITH f AS (SELECT CASE event_type WHEN 'view' THEN 'top' WHEN 'click' THEN 'ask'
                   WHEN 'purchase' THEN 'show' WHEN 'signup' THEN 'new' END AS story_type,
                   user_id AS item_id, min(ts) AS first_ts
@@ -165,17 +172,30 @@ WITH f AS (SELECT CASE event_type WHEN 'view' THEN 'top' WHEN 'click' THEN 'ask'
 r AS (SELECT story_type, item_id, row_number() OVER (PARTITION BY story_type ORDER BY first_ts, item_id) - 1 AS pos
       FROM f WHERE story_type IS NOT NULL),
 c AS (SELECT *, CAST(list_position(['top', 'ask', 'show'], story_type) - 1 AS INTEGER) AS type_rank
-      FROM r WHERE story_type IN ('top', 'ask', 'show') AND pos < 100)
-SELECT item_id, arg_min(story_type, type_rank * 1000000 + pos) AS story_type,
-  arg_min(pos, type_rank * 1000000 + pos) AS pos,
-  arg_min(type_rank, type_rank * 1000000 + pos) AS type_rank,
-  min(CAST(type_rank AS BIGINT) * 1000000 + pos) AS order_key
-FROM c GROUP BY item_id""", []))
-def story_candidates(spark, sf):
-    c = ingest.story_candidates(_ranked_lists(spark, sf))
+      FROM r WHERE story_type IN ('top', 'ask', 'show') AND {cut})
+SELECT item_id, arg_min(story_type, CAST(type_rank AS BIGINT) * 1099511627776 + pos) AS story_type,
+  arg_min(pos, CAST(type_rank AS BIGINT) * 1099511627776 + pos) AS pos,
+  arg_min(type_rank, CAST(type_rank AS BIGINT) * 1099511627776 + pos) AS type_rank,
+  min(CAST(type_rank AS BIGINT) * 1099511627776 + pos) AS order_key
+FROM c GROUP BY item_id"""
+
+
+def _candidates(spark, sf, per_type):
+    c = ingest.story_candidates(_ranked_lists(spark, sf), per_type=per_type)
     return c.select("item_id", "story_type", "pos", "type_rank", "order_key")
 
 
+@query("story_candidates", "S2 S3 S4 U1 W7, first 100 of each type",
+       with_views(_CANDIDATES_SQL.format(cut="pos < 100"), []))
+def story_candidates(spark, sf):
+    return _candidates(spark, sf, lexicon.CANDIDATES_PER_TYPE)
+
+
+@query("story_candidates_all", "S2 S3 S4 U1 W7", with_views(_CANDIDATES_SQL.format(cut="true"), []))
+def story_candidates_all(spark, sf):
+    return _candidates(spark, sf, None)
+
+
 def _batches(spark, sf):
     c = T.v_comment(spark, sf)
     first = c.select(F.lit("hackernews").alias("platform"), "external_id", "body", "score",

@@ -242,9 +242,9 @@ def keywords_tf(spark, sf):
     return K.tf_keywords(_docs(spark, sf), "topic_id")
 
 
-@query("keywords_tfidf", "M8 W4", with_views(f"""
+_TFIDF_SQL = f"""
 WITH d AS (SELECT topic_id AS g, comment_id AS doc_id,
-             list_filter(regexp_extract_all(lower(coalesce(body, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+             list_filter(regexp_extract_all(lower(coalesce(body, '')), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'),
                          lambda t: NOT list_contains({_stop_sql()}, t)) AS uni FROM v_comment),
 t AS (SELECT g, doc_id, unnest(list_concat(uni, list_transform(range(1, len(uni)),
                           lambda i: uni[i] || ' ' || uni[i + 1]))) AS term FROM d),
@@ -253,15 +253,23 @@ nd AS (SELECT g, count(*) AS n_docs FROM d GROUP BY g),
 st AS (SELECT g, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL),
 voc AS (SELECT s.g, term, n_docs, ln((1.0 + n_docs) / (1.0 + df)) + 1.0 AS idf
         FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cf DESC, term) AS r FROM st) s
-        JOIN nd USING (g) WHERE r <= 500),
+        JOIN nd USING (g) WHERE {{cut}}),
 w AS (SELECT tf.g, doc_id, term, n_docs, tf * idf AS w FROM tf JOIN voc USING (g, term)),
 nw AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY g, doc_id)) AS norm FROM w),
 sc AS (SELECT g, term, round(sum(w / norm) / any_value(n_docs), 9) AS score FROM nw GROUP BY ALL),
 k AS (SELECT * FROM sc WHERE NOT list_has_any(string_split(term, ' '), {_sql_list(lexicon.KEYWORD_EXTRA_STOP)}))
 SELECT g AS topic_id, CAST(rank AS INTEGER) AS rank, term, score, 'tfidf' AS method
 FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, term DESC) AS rank FROM k)
-WHERE rank <= 8""", ["v_comment"]))
+WHERE rank <= 8"""
+
+
+@query("keywords_tfidf", "M8 W4, 500 features", with_views(_TFIDF_SQL.format(cut="r <= 500"), ["v_comment"]))
 def keywords_tfidf(spark, sf):
+    return K.tfidf_keywords(_docs(spark, sf), "topic_id", max_features=lexicon.TFIDF_MAX_FEATURES)
+
+
+@query("keywords_tfidf_all", "M8 W4", with_views(_TFIDF_SQL.format(cut="true"), ["v_comment"]))
+def keywords_tfidf_all(spark, sf):
     return K.tfidf_keywords(_docs(spark, sf), "topic_id")
 
 
@@ -270,7 +278,8 @@ def keywords_by_topic_lang(spark, sf):
     d = _docs(spark, sf).join(T.v_comment(spark, sf).select(
         F.col("comment_id").alias("doc_id"), "lang"), "doc_id")
     d = d.withColumn("group_key", F.concat_ws("/", F.col("topic_id").cast("string"), "lang"))
-    return K.keywords(d.select("group_key", "doc_id", "text"), "group_key")
+    return K.keywords(d.select("group_key", "doc_id", "text"), "group_key",
+                      max_features=lexicon.TFIDF_MAX_FEATURES)
 
 
 @query("embed_comments", "M4 S12")

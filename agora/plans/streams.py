@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions.scalar import round6
-from agora.plans.analytics import _DAILY_SQL
+from agora.plans.analytics import _DAILY_SQL, _SIX_HOURS_SQL
 from agora.plans.registry import query
 from agora.plans.textops import _split_sql, _sql_term_hit
 from agora.sources import tables as T
@@ -23,6 +23,27 @@ def stream_daily_stats(spark, sf):
     return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
 
 
+@query("stream_timeline_6h", "T4 E1", with_views(_SIX_HOURS_SQL.format(recent=""), ["v_classified"]))
+def stream_timeline_6h(spark, sf):
+    ev = S.stream_table(spark, sf, "events")
+    partials = S.run_update(S.windowed_partials(T.classified_from_events(ev)), "six-hours",
+                            ["topic_id", "bucket_start", "stance"])
+    d = S.finish_rollup(partials, ["topic_id", "bucket_start"])
+    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+
+
+@query("stream_toxicity_by_stance", "T5 E2", with_views("""
+SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(created_utc * 1000)) AS bucket_start, stance,
+       count(*) AS n_comments, count(toxicity) AS n_scored, round(avg(toxicity), 6) AS avg_toxicity
+FROM v_classified GROUP BY ALL""", ["v_classified"]))
+def stream_toxicity_by_stance(spark, sf):
+    ev = S.stream_table(spark, sf, "events")
+    p = S.run_update(S.stance_window_partials(T.classified_from_events(ev)), "stance-days",
+                     ["bucket_start", "stance"])
+    return p.select("bucket_start", "stance", "n_comments", "n_scored",
+                    round6(F.try_divide("tox_sum", "n_scored")).alias("avg_toxicity"))
+
+
 @query("stream_dedup", "T2 U4", with_views("""
 SELECT DISTINCT event_id, user_id, event_type, value FROM events""", []))
 def stream_dedup(spark, sf):

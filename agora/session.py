@@ -57,7 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) is a scratch folder created.
+    as is. Only when it is unset and the master is local (tests) is a scratch
+    folder created; a cluster without the setting is an error, since its
+    executors do not share a local folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -67,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="agora-ckpt-",
                                  dir=os.environ.get("AGORA_SCRATCH", "/tmp"))
         sc.setCheckpointDir(local)

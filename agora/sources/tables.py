@@ -184,7 +184,7 @@ def _sql_case(col: str, mapping: dict) -> str:
     return f"CASE {whens} END"
 
 
-def sql_target_entities(title: str, key: str, src: str, max_entities: int = 10) -> str:
+def sql_target_entities(title: str, key: str, src: str, max_entities: int | None = None) -> str:
     """DuckDB query giving (key, terms) = P3 of ``title`` for each row of src.
 
     Written as unnest + group-by, a different formulation from the Spark
@@ -192,6 +192,7 @@ def sql_target_entities(title: str, key: str, src: str, max_entities: int = 10)
     """
     known = _sql_list([k.lower() for k in lexicon.KNOWN_ENTITIES])
     stop = _sql_list(lexicon.ENTITY_STOP_WORDS)
+    limit = "" if max_entities is None else f" LIMIT {max_entities}"
     return f"""
     SELECT s.{key} AS k,
       coalesce((SELECT list(tok ORDER BY pos) FROM (
@@ -201,7 +202,7 @@ def sql_target_entities(title: str, key: str, src: str, max_entities: int = 10)
           WHERE list_contains({known}, lower(tok))
              OR (pos > 1 AND regexp_matches(tok, '^[A-Z]') AND length(tok) > 2
                  AND NOT list_contains({stop}, lower(tok)))
-          GROUP BY lower(tok) ORDER BY pos LIMIT {max_entities})), []) AS terms
+          GROUP BY lower(tok) ORDER BY pos{limit})), []) AS terms
     FROM {src} s"""
 
 

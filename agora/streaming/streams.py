@@ -3,10 +3,11 @@
 The original service polls every N minutes and recomputes; here new item
 files arrive in a directory and a streaming query processes them
 incrementally (``trigger(availableNow=True)`` for catch-up runs,
-``processingTime`` for a long-running job). Sinks are idempotent: each
-micro-batch is written to its own batch folder with overwrite, so a retried
-batch replaces its own output; checkpoints and outputs live under the
-session's shared ``spark.checkpoint.dir``.
+``processingTime`` for a long-running job). Sinks are idempotent: append-only
+Parquet, or one folder per micro-batch that a retry overwrites. Checkpoints
+and outputs live in the ``work`` folder the caller names, from which a later
+run resumes, or in one of the run's own under the session's shared
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from agora.functions.text import on_target, split_terms
 from agora.session import ensure_checkpoint_dir
@@ -22,24 +25,37 @@ from agora.session import ensure_checkpoint_dir
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str,
                  max_files: int | None = None) -> DataFrame:
-    """A driver table as a file stream (new files in the folder that
-    match the table's name are picked up as they arrive)."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A driver table as a file stream.
+
+    The table is a folder of files, whose new files are picked up as they
+    arrive, or a single file. A table that is not there is an error, not an
+    empty stream.
+    """
+    table = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(table).schema  # raises if there is nothing to read
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
-
-
-def _workdir(spark: SparkSession, name: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    if folder:
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _workdir(spark: SparkSession, name: str, work: str | None = None) -> str:
+    """Where a stream keeps its checkpoint and output. A caller that passes the same ``work`` again
+    resumes the stream; without one, a run of its own starts under the shared folder."""
+    if work:
+        return work.rstrip("/")
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/agora-streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def run_append(stream: DataFrame, name: str, work: str | None = None) -> DataFrame:
     """Run an append-mode stream to completion into parquet; read it back."""
     spark = stream.sparkSession
-    work = _workdir(spark, name)
+    work = _workdir(spark, name, work)
     q = (stream.writeStream.format("parquet").option("path", f"{work}/out")
          .option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start())
@@ -47,12 +63,12 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{work}/out")
 
 
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_update(stream: DataFrame, name: str, keys: list[str], work: str | None = None) -> DataFrame:
     """Run an update-mode aggregation; every micro-batch's changed rows go
     to their own batch folder (overwrite => idempotent on retry). The
     result is the newest version of every key (max_by over batch ids)."""
     spark = stream.sparkSession
-    work = _workdir(spark, name)
+    work = _workdir(spark, name, work)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
@@ -68,17 +84,19 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return latest.select(*keys, *[F.col("r." + c).alias(c) for c in others])
 
 
-def daily_partials(classified: DataFrame, watermark: str = "2 days") -> DataFrame:
+def daily_partials(classified: DataFrame, watermark: str | None = None) -> DataFrame:
     """Stage one of the daily rollup as a streaming aggregate.
 
     Per (topic, UTC day, stance): row count, toxicity sum and non-null
     count - sums that combine exactly into the two-stage weighted mean.
-    Rows later than the watermark are dropped by the stream (T6); the batch
-    rollup over the full table remains the exact recomputation for them.
+    Without a ``watermark`` no row is late and the state keeps every day. With
+    one, rows later than it are dropped by the stream; ``late_rows`` finds them
+    for a side table (T6).
     """
-    ts = F.timestamp_seconds(F.col("created_utc"))
-    return (classified.withColumn("event_time", ts).withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "1 day").alias("w"), "topic_id", "stance")
+    rows = classified.withColumn("event_time", F.timestamp_seconds(F.col("created_utc")))
+    if watermark is not None:
+        rows = rows.withWatermark("event_time", watermark)
+    return (rows.groupBy(F.window("event_time", "1 day").alias("w"), "topic_id", "stance")
             .agg(F.count(F.lit(1)).alias("cnt"), F.sum("toxicity").alias("tox_sum"),
                  F.count("toxicity").alias("tox_n"))
             .select("topic_id", F.to_date(F.col("w.start")).alias("date"), "stance",
@@ -86,7 +104,12 @@ def daily_partials(classified: DataFrame, watermark: str = "2 days") -> DataFram
 
 
 def finish_daily(partials: DataFrame) -> DataFrame:
-    """Stage two of the rollup over the streamed partials (batch)."""
+    """Stage two of the daily rollup over the streamed partials (batch)."""
+    return finish_rollup(partials, ["topic_id", "date"])
+
+
+def finish_rollup(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Stage two of a two-stage rollup over streamed partials, per ``keys``."""
     from agora.operators.rollup import STANCE_COLS
     p = partials.withColumn("avg_tox", F.try_divide(F.col("tox_sum"), F.col("tox_n")))
     aggs = [F.sum(F.when(F.col("stance") == s, F.col("cnt")).otherwise(F.lit(0)))
@@ -95,7 +118,7 @@ def finish_daily(partials: DataFrame) -> DataFrame:
              F.try_divide(F.sum(F.col("avg_tox") * F.col("cnt")),
                           F.sum(F.when(F.col("avg_tox").isNotNull(), F.col("cnt"))))
              .alias("avg_toxicity")]
-    return p.groupBy("topic_id", "date").agg(*aggs)
+    return p.groupBy(*keys).agg(*aggs)
 
 
 def dedup_stream(items: DataFrame, key: list[str], event_time: str,
@@ -113,40 +136,58 @@ def gate_stream(comments: DataFrame, posts: DataFrame) -> DataFrame:
                     on_target(F.col("body"), terms).alias("on_target"))
 
 
-def run_capped(stream: DataFrame, name: str, key: str, order: list[str], cap: int) -> DataFrame:
-    """Running per-key caps across micro-batches.
+def late_rows(batch: DataFrame, newest: int, watermark_seconds: int) -> DataFrame:
+    """Rows of a micro-batch that a stream with this watermark drops, given the newest event
+    time seen before it: the side table from which the batch rollup repairs its days."""
+    return batch.where(F.col("created_utc") < F.lit(newest - watermark_seconds))
+
+
+def windowed_partials(classified: DataFrame, window: str = "6 hours",
+                      watermark: str | None = None) -> DataFrame:
+    """T4: stage one of the 6-hour rollup as a streaming aggregate (sums that combine exactly).
+    Without a watermark no row is late."""
+    ts = F.timestamp_seconds(F.col("created_utc"))
+    rows = classified.withColumn("event_time", ts)
+    if watermark is not None:
+        rows = rows.withWatermark("event_time", watermark)
+    return (rows.groupBy(F.window("event_time", window).alias("w"), "topic_id", "stance")
+            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("toxicity").alias("tox_sum"),
+                 F.count("toxicity").alias("tox_n"))
+            .select("topic_id", F.col("w.start").alias("bucket_start"), "stance", "cnt", "tox_sum", "tox_n"))
+
+
+def stance_window_partials(classified: DataFrame, window: str = "1 day",
+                           watermark: str | None = None) -> DataFrame:
+    """T5: counts and toxicity sums per stance and window as a streaming aggregate."""
+    rows = classified.withColumn("event_time", F.timestamp_seconds(F.col("created_utc")))
+    if watermark is not None:
+        rows = rows.withWatermark("event_time", watermark)
+    return (rows.groupBy(F.window("event_time", window).alias("w"), "stance")
+            .agg(F.count(F.lit(1)).alias("n_comments"), F.sum("toxicity").alias("tox_sum"),
+                 F.count("toxicity").alias("n_scored"))
+            .select(F.col("w.start").alias("bucket_start"), "stance", "n_comments", "n_scored", "tox_sum"))
 
-    State is a small counts table (one row per key) kept as a snapshot per
-    batch next to the output: batch N reads snapshot N-1, ranks its own rows
-    per key in ``order``, keeps those within ``cap`` of the running count and
-    writes output N and snapshot N with overwrite, so a retried batch gives
-    the same result. Only new rows and the counts are touched per batch.
+
+def run_capped(stream: DataFrame, name: str, key: str, order: list[str], cap: int,
+               work: str | None = None) -> DataFrame:
+    """Running per-key caps across micro-batches, kept in Spark's own state.
+
+    Each key's state is the number of its rows seen; a micro-batch's rows of a
+    key are taken in ``order``, and those within ``cap`` go out with their
+    running number. The sink is append-only Parquet, so a restart from the
+    same ``work`` continues where the last run ended.
     """
-    from pyspark.sql import Window
+    import pandas as pd
 
-    spark = stream.sparkSession
-    work = _workdir(spark, name)
+    schema = StructType([*stream.schema.fields, StructField("running", LongType())])
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        prior_path = f"{work}/counts/batch_id={batch_id - 1}"
-        try:
-            prior = s.read.parquet(prior_path)
-        except Exception:  # noqa: BLE001 - first batch: no snapshot yet
-            prior = s.createDataFrame([], f"{key} long, seen long")
-        w = Window.partitionBy(key).orderBy(*order)
-        ranked = (batch.withColumn("rn", F.row_number().over(w))
-                  .join(prior, key, "left")
-                  .withColumn("running", F.col("rn") + F.coalesce("seen", F.lit(0))))
-        ranked.where(F.col("running") <= cap).drop("seen", "rn") \
-            .write.mode("overwrite").parquet(f"{work}/out/batch_id={batch_id}")
-        counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        snap = (prior.join(counts, key, "full_outer")
-                .select(key, (F.coalesce("seen", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("seen")))
-        snap.write.mode("overwrite").parquet(f"{work}/counts/batch_id={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(write)
-         .option("checkpointLocation", f"{work}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{work}/out").drop("batch_id")
+    def within(keys, frames, state):
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        seen = state.get[0] if state.exists else 0
+        rows["running"] = range(seen + 1, seen + len(rows) + 1)
+        state.update((seen + len(rows),))
+        yield rows[rows["running"] <= cap]
+
+    capped = stream.groupBy(key).applyInPandasWithState(
+        within, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+    return run_append(capped, name, work)

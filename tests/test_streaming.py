@@ -32,3 +32,43 @@ def test_partials_combine_to_weighted_mean(spark):
     partial = partial.withColumn("date", F.lit("2024-01-01").cast("date"))
     r = S.finish_daily(partial).first()
     assert abs(r.avg_toxicity - 0.4) < 1e-12 and r.total_comments == 3
+
+
+def _events(spark, d, parts=4):
+    """The events table as several files, their rows in shuffled order."""
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src.orderBy(F.md5(F.col("event_id").cast("string"))).repartition(parts).write.parquet(f"{d}/events.parquet")
+    return src
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    from agora.operators import rollup
+    from agora.sources import tables as T
+    src = _events(spark, tmp_path)
+    stream = S.stream_table(spark, str(tmp_path), "events", max_files=1)
+    work = str(tmp_path / "work")
+    partials = S.run_update(S.daily_partials(T.classified_from_events(stream)), "t", ["topic_id", "date", "stance"], work)
+    got = {(r.topic_id, r.date): (r.total_comments, round(r.avg_toxicity or 0, 9)) for r in S.finish_daily(partials).collect()}
+    batch = rollup.daily_stats(T.classified_from_events(src)).collect()
+    assert got == {(r.topic_id, r.date): (r.total_comments, round(r.avg_toxicity or 0, 9)) for r in batch}
+
+
+def test_stream_resumes_from_its_folder(spark, tmp_path):
+    _events(spark, tmp_path, 2)
+    stream = lambda: S.stream_table(spark, str(tmp_path), "events").select("event_id")
+    work = str(tmp_path / "work")
+    first = S.run_append(stream(), "t", work).count()
+    assert S.run_append(stream(), "t", work).count() == first  # nothing is read twice
+    spark.read.parquet(f"{tmp_path}/events.parquet").limit(5).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert S.run_append(stream(), "t", work).count() == first + 5
+
+
+def test_missing_table_is_an_error(spark, tmp_path):
+    import pytest
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.stream_table(spark, str(tmp_path), "events")
+
+
+def test_late_rows(spark):
+    df = spark.createDataFrame([(100,), (1000,)], "created_utc long")
+    assert [r.created_utc for r in S.late_rows(df, 1200, 600).collect()] == [100]

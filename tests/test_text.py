@@ -39,16 +39,17 @@ def test_cpp_boundary_quirk(spark):
     assert _titles(spark, ["c++x"]) == [True]
 
 
-def _entities(spark, title):
+def _entities(spark, title, most=None):
     df = spark.createDataFrame([(title,)], "title string")
-    return df.select(X.target_entities(F.col("title"))).first()[0]
+    return df.select(X.target_entities(F.col("title"), most)).first()[0]
 
 
 def test_entities_cap_and_order(spark):
     title = ("Intro Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliet Kilo")
-    out = _entities(spark, title)
+    out = _entities(spark, title, 10)
     assert len(out) <= 10
     assert out[0] == "Alpha"
+    assert _entities(spark, title) == title.split()[1:]
 
 
 def test_entities_case_insensitive_dedupe(spark):
@@ -95,3 +96,10 @@ def test_author_tag(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("  one two   three ",), ("",)], "b string")
     assert [r[0] for r in df.select(X.word_count(F.col("b"))).collect()] == [3, 0]
+
+
+def test_gate_takes_regex_syntax_literally(spark):
+    rows = [("ab\\E.*cd", "\\E.*", True), ("ab xyz cd", "\\E.*", False), ("use c++x now", "c++", True), ("x.y", "x?y", False)]
+    for body, term, want in rows:
+        df = spark.createDataFrame([(body, [term])], "body string, terms array<string>")
+        assert df.select(X.on_target(F.col("body"), F.col("terms"))).first()[0] is want, (body, term)

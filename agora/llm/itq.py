@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import prepare
+from agora.llm.common import prepare, with_blocks
 from agora.llm.components import components
 
 
@@ -159,9 +159,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     coded = distinct.mapInArrow(code, "rep long, copies long, vector binary, keys array<long>").checkpoint()
     placed = coded.select("rep", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key"))
-    large = placed.groupBy("t", "key").count().where(F.col("count") > s.block).select(
-        "t", "key", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
-    placed = placed.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = with_blocks(placed, ["t", "key"], s.block)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = (placed.withColumn("block", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

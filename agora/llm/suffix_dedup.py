@@ -58,7 +58,7 @@ class Settings:
     length: int = 100
     gram: int = 32
     chunk_bytes: int = 4 << 20
-    segment: int = 4 << 20      # bytes of a chunk that are hashed at a time
+    segment: int = 1 << 20      # bytes of a chunk that are hashed at a time
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -75,3 +75,18 @@ def py_strip_first(terms: Column) -> Column:
 
 def round6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
+
+
+def iso_utc(epoch: Column) -> Column:
+    """Epoch seconds -> ISO 8601 in UTC with a Z, e.g. 2024-01-01T00:00:00Z (session zone UTC)."""
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def day_label(day: Column) -> Column:
+    """Date -> short label of a chart's axis, e.g. Jan 5."""
+    return F.date_format(day, "MMM d")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """Share in [0, 1] -> percent text, e.g. 0.125 -> 12.5%; NULL stays NULL."""
+    return F.concat(F.format_string(f"%.{digits}f", F.round(share * 100, digits)), F.lit("%"))

@@ -56,7 +56,9 @@ def seed_centroids(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE) ->
     sizes = points.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
     distinct = points.groupBy(*BUCKET, "vec").agg(F.min("comment_id").alias("first_id"))
     w = Window.partitionBy(*BUCKET).orderBy("first_id")
-    ranked = distinct.withColumn("cluster", F.row_number().over(w) - 1)
+    # a literal rank limit: Spark keeps k rows per bucket and task before the shuffle
+    ranked = (distinct.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+              .withColumn("cluster", F.col("_rank") - 1).drop("_rank"))
     return (ranked.join(sizes.where(F.col("n") >= 2), BUCKET)
             .where(F.col("cluster") < F.least(F.lit(k), F.col("n")))
             .select(*BUCKET, F.col("cluster").cast("int"), "vec"))
@@ -187,23 +189,28 @@ def representative(assigned: DataFrame, centroids: DataFrame, comments: DataFram
                        F.col("b.sim").alias("similarity"))
 
 
-def top_quotes(members: DataFrame, cluster_keys: list[str], n_candidates: int = lexicon.QUOTE_CANDIDATES,
-               min_len: int = lexicon.MIN_QUOTE_LENGTH, prefix: int = lexicon.DEDUP_PREFIX_LEN,
+def top_quotes(members: DataFrame, cluster_keys: list[str], n_candidates: int | None = None,
+               min_len: int = lexicon.MIN_QUOTE_LENGTH, prefix: int | None = None,
                n: int = lexicon.TOP_QUOTES) -> DataFrame:
-    """W2/J9/U5 (Q4: in code order): 10 best by score (ties by id) -> body
-    length >= min_len -> drop a repeated 100-char prefix -> first 3.
+    """W2/J9/U5 (Q4: in code order): the ``n_candidates`` best by score (ties by
+    id; None: all) -> body length >= min_len -> drop a repeated body, or a
+    repeated ``prefix`` of that many characters -> first n.
 
     The first cut is a ranked filter (per-partition top-k before the
-    shuffle), so later steps only see <= 10 rows per cluster."""
+    shuffle); without it the best row per body is one aggregate."""
     w = Window.partitionBy(*cluster_keys).orderBy(F.desc("score"), F.asc("comment_id"))
-    cands = members.withColumn("cand_rank", F.row_number().over(w)) \
-        .where(F.col("cand_rank") <= n_candidates)
+    cands = members
+    if n_candidates is not None:
+        cands = cands.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= n_candidates)
     cands = cands.where(F.length(F.coalesce("body", F.lit(""))) >= min_len)
-    wp = Window.partitionBy(*cluster_keys, F.substring("body", 1, prefix)).orderBy("cand_rank")
-    uniq = cands.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") == 1)
+    same = F.sha2("body", 256) if prefix is None else F.substring("body", 1, prefix)
+    rows = cands.withColumn("_same", same)
+    uniq = rows.withColumn("_p", F.row_number().over(Window.partitionBy(*cluster_keys, "_same").orderBy(
+        F.desc("score"), F.asc("comment_id")))).where(F.col("_p") == 1).drop("_p", "_same")
+    if n_candidates is None:
+        uniq = uniq.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= n)
     wq = Window.partitionBy(*cluster_keys).orderBy("cand_rank")
-    return (uniq.withColumn("quote_rank", F.row_number().over(wq)).where(F.col("quote_rank") <= n)
-            .drop("_p"))
+    return (uniq.withColumn("quote_rank", F.row_number().over(wq)).where(F.col("quote_rank") <= n))
 
 
 def cluster_report(clusters: DataFrame, reps: DataFrame, comments: DataFrame,

@@ -29,49 +29,53 @@ def _f1(p, r):
 
 
 def classification_report(pairs: DataFrame, task: str) -> DataFrame:
-    """One row per label over the union of true and predicted
-    labels, plus macro, micro and accuracy rows; values rounded to 4 dp;
-    0.0 on empty denominators."""
-    cm = confusion(pairs).persist()
-    rows = cm.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
-    cols = cm.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    diag = cm.where(F.col("y_true") == F.col("y_pred")).select(
-        F.col("y_true").alias("label"), F.col("n").alias("tp"))
-    per = (rows.join(cols, "label", "full_outer").join(diag, "label", "left")
-           .select("label", *[F.coalesce(c, F.lit(0)).alias(c)
-                              for c in ("support", "predicted", "tp")]))
-    per = per.select("label", "tp", (F.col("predicted") - F.col("tp")).alias("fp"),
-                     (F.col("support") - F.col("tp")).alias("fn"))
-    p = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    r = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    per = per.select("*", p.alias("precision"), r.alias("recall"))
-    per = per.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
-    macro = per.agg(F.lit("macro").alias("label"),
-                    F.coalesce(F.avg("precision"), F.lit(0.0)).alias("precision"),
-                    F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"),
-                    F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"))
-    tot = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    mp = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    mr = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    micro = tot.select(F.lit("micro").alias("label"), mp.alias("precision"), mr.alias("recall"))
-    micro = micro.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
-    # accuracy from the (small) confusion table too: the labelled rows are
-    # scanned and scored once, every metric derives from ``cm``
-    acc = cm.agg(F.lit("accuracy").alias("label"),
-                 _ratio(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
-                              .otherwise(F.lit(0))), F.sum("n")).alias("precision"))
-    acc = acc.select("label", F.col("precision"), F.col("precision").alias("recall"),
-                     F.col("precision").alias("f1"))
-    kind = {"macro": "macro", "micro": "micro", "accuracy": "accuracy"}
-    out = (per.select(F.lit("class").alias("kind"), "label", "precision", "recall", "f1")
-           .unionByName(macro.select(F.lit(kind["macro"]).alias("kind"), "label",
-                                     "precision", "recall", "f1"))
-           .unionByName(micro.select(F.lit(kind["micro"]).alias("kind"), "label",
-                                     "precision", "recall", "f1"))
-           .unionByName(acc.select(F.lit(kind["accuracy"]).alias("kind"), "label",
-                                   "precision", "recall", "f1")))
-    return out.select(F.lit(task).alias("task"), "kind", "label",
-                      *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+    """A17/A18/U3 for one task; ``pairs`` has (y_true, y_pred)."""
+    return classification_reports(pairs.withColumn("task", F.lit(task)))
+
+
+def classification_reports(pairs: DataFrame) -> DataFrame:
+    """A17/A18/U3 for all tasks at once; ``pairs`` has (task, y_true, y_pred).
+
+    Per task one row per label over the union of true and predicted labels,
+    plus macro, micro and accuracy rows; values rounded to 4 dp; 0.0 on empty
+    denominators; ``n_evaluated`` is the task's number of pairs. Every pair
+    counts once for its true and once for its predicted label, so one
+    aggregation of the pairs gives all metrics.
+    """
+    same = F.col("y_true") == F.col("y_pred")
+    sides = F.array(F.struct(F.col("y_true").alias("label"), F.lit(1).alias("support"), F.lit(0).alias("predicted"),
+                             same.cast("int").alias("tp")),
+                    F.struct(F.col("y_pred").alias("label"), F.lit(0).alias("support"), F.lit(1).alias("predicted"),
+                             F.lit(0).alias("tp")))
+    counts = (pairs.select("task", F.explode(sides).alias("s")).select("task", "s.*").groupBy("task", "label")
+              .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]))
+    p, r = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))
+    per = counts.select("*", p.alias("precision"), r.alias("recall")).withColumn("f1", _f1(p, r))
+    tp = F.sum("tp")
+    micro_p, micro_r = _ratio(tp, F.sum("predicted")), _ratio(tp, F.sum("support"))
+    accuracy = _ratio(tp, F.sum("support"))
+
+    def row(kind, precision, recall, f1):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(kind).alias("label"), precision.alias("precision"),
+                        recall.alias("recall"), f1.alias("f1"))
+    overall = per.groupBy("task").agg(
+        F.sum("support").cast("bigint").alias("n_evaluated"),
+        row("macro", F.avg("precision"), F.avg("recall"), F.avg("f1")).alias("macro"),
+        row("micro", micro_p, micro_r, _f1(micro_p, micro_r)).alias("micro"),
+        row("accuracy", accuracy, accuracy, accuracy).alias("accuracy"))
+    totals = overall.select("task", "n_evaluated", F.explode(F.array("macro", "micro", "accuracy")).alias("m")).select(
+        "task", "m.*", "n_evaluated")
+    classes = per.join(overall.select("task", "n_evaluated"), "task").select(
+        "task", F.lit("class").alias("kind"), "label", "precision", "recall", "f1", "n_evaluated")
+    return classes.unionByName(totals).select(
+        "task", "kind", "label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "n_evaluated")
+
+
+def nested_report(report: DataFrame) -> DataFrame:
+    """One row per task - n_evaluated, and its metrics as a map from label to (precision, recall, f1)."""
+    entry = F.struct("label", F.struct("precision", "recall", "f1").alias("metrics"))
+    return report.groupBy("task").agg(F.max("n_evaluated").alias("n_evaluated"),
+                                      F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("metrics"))
 
 
 def toxicity_mae(pairs: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def labelling_sample(comments: DataFrame, posts: DataFrame, n: int, seed: int =
     The limit is the feature: a sample of n rows is requested."""
     j = (comments.where(F.col("body").isNotNull() & (F.col("body") != ""))
          .join(posts.select("post_id", "target_terms"), "post_id"))
-    picked = j.orderBy(F.xxhash64(F.lit(seed), F.col("comment_id")), "comment_id").limit(n)
+    at = F.md5(F.concat(F.lit(f"{seed}:"), F.col("comment_id").cast("string")))
+    picked = j.orderBy(at, "comment_id").limit(n)
     return picked.select(F.col("comment_id").alias("id"), "external_id", "topic_id", "post_id",
                          F.coalesce("target_terms", F.lit("")).alias("target_terms"), "body",
                          *[F.lit("").alias(c) for c in ("stance", "sentiment", "toxicity", "notes")])
@@ -107,8 +112,3 @@ def read_labelled_csv(spark, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns in CSV: {sorted(missing)}")
     return df
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    """Report rows as JSON (one file per partition, overwrite)."""
-    report.write.mode("overwrite").json(path)

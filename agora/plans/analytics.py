@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agora.functions.scalar import round6
+from agora.functions.scalar import day_label, iso_utc, percent, round6
 from agora.operators import reports, rollup
 from agora.plans.registry import query
 from agora.sources import tables as T
@@ -230,3 +230,18 @@ ORDER BY created_utc DESC, post_id DESC LIMIT 10""", ["v_post"]))
 def recent_posts(spark, sf):
     return reports.recent_posts(T.v_post(spark, sf)).select(
         "post_id", "topic_id", "external_id", "title", "created_utc", "target_terms")
+
+
+@query("stance_shares", "F: ISO format, day label, percent format", with_views("""
+WITH d AS (SELECT CAST(epoch_ms(created_utc * 1000) AS DATE) AS day, max(created_utc) AS newest, count(*) AS n,
+           count(*) FILTER (WHERE stance = 'SUPPORT') AS support FROM v_classified GROUP BY 1)
+SELECT strftime(epoch_ms(newest * 1000), '%Y-%m-%dT%H:%M:%SZ') AS newest_iso, strftime(day, '%b %-d') AS day_label,
+  printf('%.1f', round(support / n * 100, 1)) || '%' AS support_pct, n
+FROM d""", ["v_classified"]))
+def stance_shares(spark, sf):
+    c = T.v_classified(spark, sf)
+    day = F.to_date(F.timestamp_seconds("created_utc"))
+    d = c.groupBy(day.alias("day")).agg(F.max("created_utc").alias("newest"), F.count(F.lit(1)).alias("n"),
+                                        F.count_if(F.col("stance") == "SUPPORT").alias("support"))
+    return d.select(iso_utc(F.col("newest")).alias("newest_iso"), day_label(F.col("day")).alias("day_label"),
+                    percent(F.col("support") / F.col("n")).alias("support_pct"), "n")

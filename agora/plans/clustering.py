@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions.scalar import round6
+from agora import lexicon
 from agora.operators import cluster as CL
 from agora.plans.registry import query
 from agora.sources import tables as T
@@ -86,18 +87,30 @@ def representative(spark, sf):
     return r.withColumn("similarity", round6(F.col("similarity")))
 
 
-@query("top_quotes", "J9 W2 U5 Q4", with_views("""
+_QUOTES_SQL = """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, comment_id) AS cand_rank
            FROM v_comment),
-k AS (SELECT * FROM c WHERE cand_rank <= 10 AND length(coalesce(body, '')) >= 40),
-u AS (SELECT *, row_number() OVER (PARTITION BY topic_id, substr(body, 1, 100) ORDER BY cand_rank) AS p FROM k),
+k AS (SELECT * FROM c WHERE {cut} AND length(coalesce(body, '')) >= 40),
+u AS (SELECT *, row_number() OVER (PARTITION BY topic_id, {same} ORDER BY cand_rank) AS p FROM k),
 q AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY cand_rank) AS quote_rank FROM u WHERE p = 1)
 SELECT topic_id, comment_id, score, author_hash, CAST(quote_rank AS INTEGER) AS quote_rank
-FROM q WHERE quote_rank <= 3""", ["v_comment"]))
+FROM q WHERE quote_rank <= 3"""
+
+
+def _quotes(spark, sf, **cuts):
+    q = CL.top_quotes(T.v_comment(spark, sf), ["topic_id"], **cuts)
+    return q.select("topic_id", "comment_id", "score", "author_hash", F.col("quote_rank").cast("int"))
+
+
+@query("top_quotes", "J9 W2 U5 Q4, 10 candidates", with_views(
+    _QUOTES_SQL.format(cut="cand_rank <= 10", same="substr(body, 1, 100)"), ["v_comment"]))
 def top_quotes(spark, sf):
-    q = CL.top_quotes(T.v_comment(spark, sf), ["topic_id"])
-    return q.select("topic_id", "comment_id", "score", "author_hash",
-                    F.col("quote_rank").cast("int"))
+    return _quotes(spark, sf, n_candidates=lexicon.QUOTE_CANDIDATES, prefix=lexicon.DEDUP_PREFIX_LEN)
+
+
+@query("top_quotes_all", "J9 W2 U5", with_views(_QUOTES_SQL.format(cut="true", same="body"), ["v_comment"]))
+def top_quotes_all(spark, sf):
+    return _quotes(spark, sf)
 
 
 @query("cluster_report", "J8 A6 K5 P15 Q13")

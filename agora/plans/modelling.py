@@ -56,23 +56,23 @@ SELECT comment_id, round({_tox_sql('body')}, 6) AS toxicity,
        ELSE 'low' END AS tier
 FROM v_comment""", ["v_comment"]))
 def toxicity_score(spark, sf):
-    c = T.v_comment(spark, sf)
-    s = C.score_toxicity(F.col("body"))
+    c = C.score_columns(T.v_comment(spark, sf).select("comment_id", "body"))
+    s = F.col("p_toxicity")
     return c.select("comment_id", round6(s).alias("toxicity"), toxicity_tier(s).alias("tier"))
 
 
 @query("sentiment_label", "M2", with_views(f"""
 SELECT comment_id, {_sent_sql('body')} AS sentiment FROM v_comment""", ["v_comment"]))
 def sentiment_label(spark, sf):
-    c = T.v_comment(spark, sf)
-    return c.select("comment_id", C.score_sentiment(F.col("body")).alias("sentiment"))
+    c = C.score_columns(T.v_comment(spark, sf).select("comment_id", "body"))
+    return c.select("comment_id", F.col("p_sentiment").alias("sentiment"))
 
 
 @query("stance_label", "M1 P19 Q7", with_views(f"""
 SELECT comment_id, {_stance_sql('body')} AS stance FROM v_comment""", ["v_comment"]))
 def stance_label(spark, sf):
-    c = T.v_comment(spark, sf)
-    return c.select("comment_id", C.score_stance(F.col("body")).alias("stance"))
+    c = C.score_columns(T.v_comment(spark, sf).select("comment_id", "body"))
+    return c.select("comment_id", F.col("p_stance").alias("stance"))
 
 
 _CLASSIFY_SQL = f"""
@@ -122,11 +122,19 @@ def _tox_pairs(spark, sf):
                     F.when(F.col("p_toxicity") >= 0.5, "TOXIC").otherwise("CLEAN").alias("y_pred"))
 
 
-def _sent_pairs(spark, sf):
+def _task_pairs(spark, sf):
+    """(task, y_true, y_pred) of the three tasks; every labelled comment is scored once."""
     c = C.score_columns(_labelled(spark, sf))
-    truth = (F.when(F.col("toxic") == 1, "NEGATIVE").when(F.col("quality") == 1, "POSITIVE")
-             .otherwise("NEUTRAL"))
-    return c.select(truth.alias("y_true"), F.col("p_sentiment").alias("y_pred"))
+    sentiment = (F.when(F.col("toxic") == 1, "NEGATIVE").when(F.col("quality") == 1, "POSITIVE")
+                 .otherwise("NEUTRAL"))
+    stance = F.element_at(F.array(*[F.lit(s) for s in lexicon.STANCES]), (F.col("comment_id") % 4 + 1).cast("int"))
+
+    def pair(task, true, pred):
+        return F.struct(F.lit(task).alias("task"), true.alias("y_true"), pred.alias("y_pred"))
+    return c.select(F.explode(F.array(
+        pair("stance", stance, F.col("p_stance")), pair("sentiment", sentiment, F.col("p_sentiment")),
+        pair("toxicity", F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN"),
+             F.when(F.col("p_toxicity") >= 0.5, "TOXIC").otherwise("CLEAN")))).alias("p")).select("p.*")
 
 
 _PAIRS_SQL = f"""
@@ -134,7 +142,8 @@ lab AS ({_LABELLED}),
 tox AS (SELECT CASE WHEN toxic = 1 THEN 'TOXIC' ELSE 'CLEAN' END AS y_true,
                CASE WHEN {_tox_sql('body')} >= 0.5 THEN 'TOXIC' ELSE 'CLEAN' END AS y_pred FROM lab),
 sen AS (SELECT CASE WHEN toxic = 1 THEN 'NEGATIVE' WHEN quality = 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS y_true,
-               {_sent_sql('body')} AS y_pred FROM lab)"""
+               {_sent_sql('body')} AS y_pred FROM lab),
+sta AS (SELECT {_sql_list(lexicon.STANCES)}[comment_id % 4 + 1] AS y_true, {_stance_sql('body')} AS y_pred FROM lab)"""
 
 
 @query("confusion_matrix", "A16 U3", with_views(f"""
@@ -159,22 +168,23 @@ pf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0)
 mi AS (SELECT coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0.0) AS p,
    coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0.0) AS r FROM pf),
 acc AS (SELECT coalesce(count(*) FILTER (WHERE y_true = y_pred) / nullif(count(*), 0), 0.0) AS a FROM {pairs})
+SELECT *, (SELECT count(*) FROM {pairs}) AS n_evaluated FROM (
 SELECT '{task}' AS task, 'class' AS kind, label, round(precision, 4) AS precision,
    round(recall, 4) AS recall, round(f1, 4) AS f1 FROM pf
 UNION ALL SELECT '{task}', 'macro', 'macro', round(avg(precision), 4), round(avg(recall), 4),
    round(avg(f1), 4) FROM pf
 UNION ALL SELECT '{task}', 'micro', 'micro', round(p, 4), round(r, 4),
    round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 4) FROM mi
-UNION ALL SELECT '{task}', 'accuracy', 'accuracy', round(a, 4), round(a, 4), round(a, 4) FROM acc)"""
+UNION ALL SELECT '{task}', 'accuracy', 'accuracy', round(a, 4), round(a, 4), round(a, 4) FROM acc))"""
 
 
-@query("classifier_report", "A17 A18 U3", with_views(f"""
+@query("classifier_report", "A17 A18 U3 M11", with_views(f"""
 WITH {_PAIRS_SQL}
 SELECT * FROM {_report_sql('tox', 'toxicity')}
-UNION ALL SELECT * FROM {_report_sql('sen', 'sentiment')}""", ["v_comment", "v_label"]))
+UNION ALL SELECT * FROM {_report_sql('sen', 'sentiment')}
+UNION ALL SELECT * FROM {_report_sql('sta', 'stance')}""", ["v_comment", "v_label"]))
 def classifier_report(spark, sf):
-    return V.classification_report(_tox_pairs(spark, sf), "toxicity").unionByName(
-        V.classification_report(_sent_pairs(spark, sf), "sentiment"))
+    return V.classification_reports(_task_pairs(spark, sf))
 
 
 @query("toxicity_mae", "A19 A20", with_views(f"""
@@ -182,9 +192,8 @@ WITH lab AS ({_LABELLED})
 SELECT count(*) AS n, round(avg(abs(toxic * 3 / 3.0 - {_tox_sql('body')})), 4) AS mae FROM lab""",
                                               ["v_comment", "v_label"]))
 def toxicity_mae(spark, sf):
-    c = _labelled(spark, sf)
-    pairs = c.select((F.col("toxic") * 3).alias("label"),
-                     C.score_toxicity(F.col("body")).alias("score"))
+    c = C.score_columns(_labelled(spark, sf))
+    pairs = c.select((F.col("toxic") * 3).alias("label"), F.col("p_toxicity").alias("score"))
     return V.toxicity_mae(pairs)
 
 
@@ -208,7 +217,11 @@ def toxicity_model(spark, sf):
     return pred.select("comment_id", round6(prob).alias("toxicity"))
 
 
-@query("labelling_sample", "K8 J10 S13")
+@query("labelling_sample", "K8 J10 S13", with_views("""
+SELECT c.comment_id AS id, c.external_id, c.topic_id, c.post_id, coalesce(p.target_terms, '') AS target_terms, c.body,
+  '' AS stance, '' AS sentiment, '' AS toxicity, '' AS notes
+FROM v_comment c JOIN v_post p USING (post_id) WHERE c.body IS NOT NULL AND c.body <> ''
+ORDER BY md5('42:' || CAST(c.comment_id AS VARCHAR)), c.comment_id LIMIT 200""", ["v_comment", "v_post"]))
 def labelling_sample(spark, sf):
     """Seeded sample of 200 eligible comments with blank label columns."""
     return V.labelling_sample(T.v_comment(spark, sf), T.v_post(spark, sf), 200, seed=42)
@@ -219,7 +232,6 @@ def _docs(spark, sf):
                                          F.col("body").alias("text"))
 
 
-_STOP = None
 
 
 def _stop_sql():

@@ -64,7 +64,7 @@ class Settings:
     root_strength: float = 10.0
     sweeps: int = 3
     burn_in: int = 1
-    exact: int = 64
+    exact: int = 32
     chunk_bytes: int = 8 << 20
 
 
@@ -224,12 +224,12 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
             weight = np.cumsum(opened, 1) + log_s[c, 1:c + 1]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
             tables[at] = 1 + (weight < u[at][:, None] * weight[:, -1:]).sum(1)
-    # further customers of the frequent dishes, a sixteenth of those seated at a time
+    # further customers of the frequent dishes, an eighth of those seated at a time
     rows = np.flatnonzero(customers > exact)
     n, t, v = np.full(len(rows), float(exact)), tables[rows].astype(float), u[rows]
     goal = customers[rows].astype(float)
     while len(on := np.flatnonzero(n < goal)):
-        block = np.minimum(np.maximum(1.0, np.floor(n[on] / 16)), goal[on] - n[on])
+        block = np.minimum(np.maximum(1.0, np.floor(n[on] / 8)), goal[on] - n[on])
         opens = (strength + discount * (others[rows][on] + t[on])) * base[rows][on]
         v[on] = (v[on] * 997.0 + 0.6180339887498949) % 1.0
         t[on] += np.floor(block * opens / (opens + n[on] - discount * t[on]) + v[on])
@@ -255,9 +255,15 @@ class Model:
         told = answers.get(BIGRAM, "x", len(chunk.bigrams))
         self.customers, self.counts_here = told >> 1, (told & 1) == 1
         self.tables = np.minimum(self.customers, 1)
+        self.known: dict[int, tuple] = {}
 
     def sums(self, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tables by context, tables by word, and the root's probability of each word, after a sweep."""
+        if sweep not in self.known:
+            self.known = {sweep: self._sums(sweep)}
+        return self.known[sweep]
+
+    def _sums(self, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s, n = self.s, len(self.chunk.words)
         by_context = self.answers.get(SWEEP + sweep, "x", n)
         by_word = self.answers.get(SWEEP + sweep, "y", n)
@@ -271,10 +277,13 @@ class Model:
         """Draw the tables of sweep ``sweep`` from the sums after the one before."""
         by_context, _, root = self.sums(sweep - 1)
         left, right = self.chunk.left, self.chunk.right
-        seated = self.customers > 0
-        others = np.maximum(by_context[left] - self.tables, 0)
-        self.tables = np.where(seated, draw_tables(self.customers, others, root[right], uniform(self.chunk.bigrams, sweep),
-                                                   self.s.strength, self.s.discount, self.s.exact), 0)
+        shared = np.flatnonzero(self.customers > 1)  # a single customer has a single table
+        left, right = left[shared], right[shared]
+        others = np.maximum(by_context[left] - self.tables[shared], 0)
+        self.tables = np.minimum(self.customers, 1)
+        self.tables[shared] = draw_tables(self.customers[shared], others, root[right],
+                                          uniform(self.chunk.bigrams[shared], sweep),
+                                          self.s.strength, self.s.discount, self.s.exact)
 
     def probabilities(self, sweep: int) -> np.ndarray:
         """Of each bigram's word in its context."""

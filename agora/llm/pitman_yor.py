@@ -15,10 +15,11 @@ restaurant from its conditional given the other dishes' tables and the root:
 proportional to the generalised Stirling number S_d(c, t) times the chance
 that t tables open, exactly for up to ``exact`` customers, and by seating the
 rest one geometric block after another beyond. Dishes with one customer have
-one table. The draws use uniforms that are a hash of (bigram, sweep), so any
-task draws the same tables for a bigram without asking. After each sweep the
-tables are summed per context and per word over the corpus; probabilities are
-averaged over the sweeps behind ``burn_in``.
+one table. The first sweep starts from tables as a power of the customers and
+the words' frequencies. The draws use uniforms that are a hash of (bigram,
+sweep), so any task draws the same tables for a bigram without asking. After
+each sweep the tables are summed per context and per word over the corpus;
+probabilities are averaged over the sweeps behind ``burn_in``.
 
 Scale. Documents are dealt into chunks (see ``exchange``). Distinct words of a
 chunk ask for their training counts, its distinct bigrams for theirs (the
@@ -46,14 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import WordCache, id_text, prepare
+from agora.llm.common import id_text, prepare
 from agora.llm.exchange import chunk_count, chunked, cuts, pack, unpack
 
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 START, END = (xxhash.xxh64_intdigest(x, 1) for x in (b"start", b"end"))
-_HASH = WordCache(xxhash.xxh64_intdigest, 400_000)
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,10 @@ class Settings:
     strength: float = 1.0
     root_discount: float = 0.8
     root_strength: float = 10.0
-    sweeps: int = 3
-    burn_in: int = 1
-    exact: int = 32
+    sweeps: int = 2
+    burn_in: int = 0
+    exact: int = 16             # products of so many probabilities stay in range
+    bigram_bits: int = 48       # of a bigram's key; words have 64
     chunk_bytes: int = 8 << 20
 
 
@@ -75,10 +76,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def tokens(text: str) -> np.ndarray:
-    """Hashes of a text's words, ASCII letters lower-cased, then the end token's."""
-    words = _WORDS(text.encode().lower())
-    return np.fromiter([*map(_HASH.__getitem__, words), END], np.uint64, len(words) + 1)
+class Numbers(dict):
+    """word -> its number in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def words_of(text: str) -> list[bytes]:
+    """A text's words, ASCII letters lower-cased."""
+    return _WORDS(text.encode().lower())
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a position of each, and every position's index among them."""
+    order = np.argsort(keys)
+    key = keys[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    index = np.empty(len(key), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return key[new], order[new], index
+
+
+def bigram_keys(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of pairs of word keys."""
+    return mix(left * np.uint64(3) + right) & np.uint64((1 << 64) - (1 << 64 - bits))
 
 
 def is_held_out(doc_id: int | None, mod: int, rest: int) -> bool:
@@ -88,25 +112,30 @@ def is_held_out(doc_id: int | None, mod: int, rest: int) -> bool:
 class Chunk:
     """A chunk's tokens as indices of its distinct words and bigrams, with training counts of its own."""
 
-    def __init__(self, table: pa.Table, mod: int, rest: int):
+    def __init__(self, table: pa.Table, mod: int, rest: int, bits: int):
         self.ids = table["doc_id"].to_pylist()
-        parts = [tokens(t or "") for t in table["text"].to_pylist()]
+        numbers = Numbers()
+        get, parts = numbers.__getitem__, []
+        for text in table["text"].to_pylist():
+            words = words_of(text or "")
+            parts.append(np.fromiter(map(get, words), np.int64, len(words)))
         self.held_out = np.array([is_held_out(i, mod, rest) for i in self.ids], bool)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.sizes = np.array([len(p) + 1 for p in parts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        target = np.concatenate(parts)
-        context = np.empty_like(target)
-        context[1:] = target[:-1]
-        context[self.starts] = START
-        training = np.repeat(~self.held_out, self.sizes)
-        self.words, index = np.unique(mix(np.concatenate([target, np.array([START], np.uint64)])), return_inverse=True)
-        self.start, self.target = index[-1], index[:-1]
+        keys = mix(np.fromiter((*map(xxhash.xxh64_intdigest, numbers), START, END), np.uint64, len(numbers) + 2))
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.words, self.start = keys[order], rank[-2]
+        last = np.array([len(keys) - 1])
+        self.target = rank[np.concatenate([x for p in parts for x in (p, last)])]
         self.context = np.empty_like(self.target)
         self.context[1:] = self.target[:-1]
         self.context[self.starts] = self.start
+        training = np.repeat(~self.held_out, self.sizes)
         self.word_count = np.bincount(self.target[training], minlength=len(self.words))
         self.word_count[self.start] = (~self.held_out).sum()
-        self.bigrams, at, self.bigram = np.unique(mix(context * np.uint64(3) + target), return_index=True, return_inverse=True)
+        self.bigrams, at, self.bigram = distinct(bigram_keys(self.words[self.context], self.words[self.target], bits))
         self.bigram_count = np.bincount(self.bigram[training], minlength=len(self.bigrams))
         self.left, self.right = self.context[at], self.target[at]
 
@@ -189,14 +218,12 @@ class Answers:
 
 @lru_cache(maxsize=4)
 def stirling(discount: float, size: int) -> np.ndarray:
-    """Log generalised Stirling numbers S_d(c, t) for c, t up to ``size``."""
-    out = np.full((size + 1, size + 1), -np.inf)
-    out[1, 1] = 0.0
+    """Generalised Stirling numbers S_d(c, t) for c, t up to ``size``."""
+    out = np.zeros((size + 1, size + 1))
+    out[1, 1] = 1.0
     for c in range(2, size + 1):
-        t = np.arange(1, c)
-        stay = out[c - 1, 1:c] + np.log(c - 1 - discount * t)
-        out[c, 1:c] = np.logaddexp(stay, out[c - 1, 0:c - 1])
-        out[c, c] = 0.0
+        t = np.arange(1, c + 1)
+        out[c, 1:c + 1] = out[c - 1, 1:c + 1] * np.maximum(c - 1 - discount * t, 0.0) + out[c - 1, 0:c]
     return out
 
 
@@ -214,22 +241,21 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
     """
     tables = np.minimum(customers, 1)
     small = np.minimum(customers, exact)
-    log_s = stirling(discount, exact)
-    for c in np.unique(small[small > 1]):
-        rows = np.flatnonzero(small == c)
-        step = max(1, (1 << 18) // int(c))
-        for i in range(0, len(rows), step):
-            at = rows[i:i + step]
-            opened = np.log(strength + discount * (others[at][:, None] + np.arange(c))) + np.log(base[at])[:, None]
-            weight = np.cumsum(opened, 1) + log_s[c, 1:c + 1]
-            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-            tables[at] = 1 + (weight < u[at][:, None] * weight[:, -1:]).sum(1)
-    # further customers of the frequent dishes, an eighth of those seated at a time
+    ways = stirling(discount, exact)
+    order = np.argsort(small, kind="stable")
+    ends = np.searchsorted(small[order], np.arange(2, exact + 2))
+    for c in range(2, exact + 1):
+        for i in range(ends[c - 2], ends[c - 1], (1 << 18) // c):
+            at = order[i:min(i + (1 << 18) // c, ends[c - 1])]
+            chance = (strength + discount * (others[at][:, None] + np.arange(c))) * base[at][:, None]
+            chance = np.cumsum(np.cumprod(chance, 1) * ways[c, 1:c + 1], 1)
+            tables[at] = 1 + (chance < u[at][:, None] * chance[:, -1:]).sum(1)
+    # further customers of the frequent dishes, a quarter of those seated at a time
     rows = np.flatnonzero(customers > exact)
     n, t, v = np.full(len(rows), float(exact)), tables[rows].astype(float), u[rows]
     goal = customers[rows].astype(float)
     while len(on := np.flatnonzero(n < goal)):
-        block = np.minimum(np.maximum(1.0, np.floor(n[on] / 8)), goal[on] - n[on])
+        block = np.minimum(np.maximum(1.0, np.floor(n[on] / 4)), goal[on] - n[on])
         opens = (strength + discount * (others[rows][on] + t[on])) * base[rows][on]
         v[on] = (v[on] * 997.0 + 0.6180339887498949) % 1.0
         t[on] += np.floor(block * opens / (opens + n[on] - discount * t[on]) + v[on])
@@ -255,7 +281,9 @@ class Model:
         told = answers.get(BIGRAM, "x", len(chunk.bigrams))
         self.customers, self.counts_here = told >> 1, (told & 1) == 1
         self.tables = np.minimum(self.customers, 1)
-        self.known: dict[int, tuple] = {}
+        # before the first sweep: tables as a power of the customers, and the words' own frequencies
+        n, types = answers.total(WORD)
+        self.known: dict[int, tuple] = {0: (self.word ** s.discount, None, (self.word + 1.0) / (n + types + 1.0))}
 
     def sums(self, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tables by context, tables by word, and the root's probability of each word, after a sweep."""
@@ -279,7 +307,7 @@ class Model:
         left, right = self.chunk.left, self.chunk.right
         shared = np.flatnonzero(self.customers > 1)  # a single customer has a single table
         left, right = left[shared], right[shared]
-        others = np.maximum(by_context[left] - self.tables[shared], 0)
+        others = np.maximum(by_context[left] - self.tables[shared], 0.0)
         self.tables = np.minimum(self.customers, 1)
         self.tables[shared] = draw_tables(self.customers[shared], others, root[right],
                                           uniform(self.chunk.bigrams[shared], sweep),
@@ -304,12 +332,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
     by_chunk = chunked(documents, chunks).groupBy("chunk")
 
     def ask_counts(table: pa.Table) -> pa.Table:
-        number, chunk = table["chunk"][0].as_py(), Chunk(table, mod, rest)
+        number, chunk = table["chunk"][0].as_py(), Chunk(table, mod, rest, s.bigram_bits)
         return pa.concat_tables([_ask(WORD, number, shards, chunk.words, chunk.word_count),
                                  _ask(BIGRAM, number, shards, chunk.bigrams, chunk.bigram_count)])
 
     def state(table: pa.Table, answers: pa.Table, sweep: int) -> tuple[Chunk, Model]:
-        chunk = Chunk(table, mod, rest)
+        chunk = Chunk(table, mod, rest, s.bigram_bits)
         model = Model(chunk, Answers(answers), s)
         for k in range(1, sweep + 1):
             model.advance(k)
@@ -332,15 +360,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
             return pa.table([pa.array([], k) for k in OUT.types], schema=OUT)
         chunk, model = state(table, answers, 0)
         total = np.zeros(len(chunk.bigrams))
-        for sweep in range(1, s.sweeps):
+        for sweep in range(1, s.sweeps + 1):
             model.advance(sweep)
-            if sweep >= s.burn_in:
+            if sweep > s.burn_in:
                 total += model.probabilities(sweep)
         n, types = model.answers.total(WORD)
         starts = int(model.word[chunk.start])  # the start of texts is a context, not a token
         n, types = n - starts, types - (starts > 0)
         by_word = np.log10((model.word + 1.0) / ((n + 1.0) * (types + 1.0)))
-        log_p = np.log10(total / max(1, s.sweeps - s.burn_in))
+        log_p = np.log10(total / (s.sweeps - s.burn_in))
         add = lambda v: np.add.reduceat(v, chunk.starts)
         return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held_out), pa.array(chunk.sizes),
                          pa.array(add((model.word[chunk.target] > 0).astype(np.int64))),
@@ -356,7 +384,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
         return replies.where(F.col("kind") < TOTAL).unionByName(totals)
 
     known = answered(by_chunk.applyInArrow(ask_counts, QUESTION))
-    for sweep in range(s.sweeps):
+    for sweep in range(1, s.sweeps + 1):
         known = known.unionByName(answered(
             by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(ask_sweep(sweep), QUESTION)))
     return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(finish, SCHEMA)

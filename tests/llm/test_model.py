@@ -33,37 +33,30 @@ def slow_scores(rows, s):
     for (u, _), k in cc.items():
         customers[u] += k
     n, v = sum(c.values()), len(c)
-    names = {w: pitman_yor.END if w is None else pitman_yor.START if w == start else pitman_yor._HASH[w]
-             for w in {None, start, *(w for t in texts for w in t)}}
-
-    def key(w):
-        return pitman_yor.mix(np.array([names[w]], np.uint64))
-
-    def pair(u, w):
-        return pitman_yor.mix(np.array([names[u]], np.uint64) * np.uint64(3) + np.array([names[w]], np.uint64))
+    key = {w: pitman_yor.mix(np.array([pitman_yor.END if w is None else pitman_yor.START if w == start
+                                       else pitman_yor.xxhash.xxh64_intdigest(w)], np.uint64))
+           for w in {None, start, *(w for t in texts for w in t)}}
     tables = {p: 1 for p in cc}
-    total = Counter()
-    for sweep in range(s.sweeps):
-        if sweep:
-            tables = {(u, w): int(pitman_yor.draw_tables(
-                np.array([k]), np.array([of_context[u] - tables[u, w]]), np.array([root(w)]),
-                pitman_yor.uniform(pair(u, w), sweep), s.strength, s.discount, s.exact)[0]) for (u, w), k in cc.items()}
+    total = {}
+    of_context = {u: k ** s.discount for u, k in customers.items()}
+    root = {w: (c[w] + 1) / (n + sum(not h for h in held) + v + any(not h for h in held) + 1) for w in key}
+    for sweep in range(1, s.sweeps + 1):
+        tables = {(u, w): int(pitman_yor.draw_tables(
+            np.array([k]), np.array([max(of_context[u] - tables[u, w], 0.0)]), np.array([root[w]]),
+            pitman_yor.uniform(pitman_yor.bigram_keys(key[u], key[w], s.bigram_bits), sweep),
+            s.strength, s.discount, s.exact)[0]) for (u, w), k in cc.items()}
         of_context, of_word = Counter(), Counter()
         for (u, w), k in tables.items():
             of_context[u] += k
             of_word[w] += k
-        own = {w: int(pitman_yor.root_tables(np.array([of_word[w]]), key(w), sweep, s)[0]) for w in names}
-
-        def root(w, of_word=of_word, own=own):
-            new = (s.root_strength + s.root_discount * sum(own.values())) / (v + 1)
-            return (of_word[w] - s.root_discount * own[w] + new) / (s.root_strength + sum(of_word.values()))
-        if sweep >= s.burn_in:
-            for t in texts:
-                for u, w in set(zip([start, *t], t)):
-                    if (u, w, sweep) not in total:
-                        total[u, w, sweep] = ((cc[u, w] - s.discount * tables.get((u, w), 0)
-                                               + (s.strength + s.discount * of_context[u]) * root(w)) / (s.strength + customers[u]))
-    p = lambda u, w: sum(total[u, w, k] for k in range(s.burn_in, s.sweeps)) / (s.sweeps - s.burn_in)
+        own = {w: int(pitman_yor.root_tables(np.array([of_word[w]]), key[w], sweep, s)[0]) for w in key}
+        new = (s.root_strength + s.root_discount * sum(own.values())) / (v + 1)
+        root = {w: (of_word[w] - s.root_discount * own[w] + new) / (s.root_strength + sum(of_word.values())) for w in key}
+        if sweep > s.burn_in:
+            for u, w in {pair for t in texts for pair in zip([start, *t], t)}:
+                total[u, w, sweep] = ((cc[u, w] - s.discount * tables.get((u, w), 0)
+                                       + (s.strength + s.discount * of_context[u]) * root[w]) / (s.strength + customers[u]))
+    p = lambda u, w: sum(total[u, w, k] for k in range(s.burn_in + 1, s.sweeps + 1)) / (s.sweeps - s.burn_in)
     return sorted([(str(i), h, len(t), sum(c[w] > 0 for w in t), n,
                     round(sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in t), 6),
                     round(sum(math.log10(p(u, w)) for u, w in zip([start, *t], t)), 6))

@@ -57,8 +57,8 @@ _PI = pow(_P, -1, 1 << 64)
 class Settings:
     length: int = 100
     gram: int = 32
-    chunk_bytes: int = 4 << 20
-    segment: int = 1 << 20      # bytes of a chunk that are hashed at a time
+    chunk_bytes: int = 2 << 20
+    segment: int = 1 << 19      # bytes of a chunk that are hashed at a time
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -176,14 +176,16 @@ def phrase_key(gram: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return mix(gram * np.uint64(5) + phrase)
 
 
-def grams_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct grams; the one phrase each has in the chunk (0: several); how many places (1 or 2)."""
+def grams_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams, and 32 bits of the one phrase each has in the chunk (0: several).
+
+    A gram whose phrases agree in these bits (one pair in 2**32) passes as having one.
+    """
     order = np.lexsort((chunk.phrase, chunk.gram))
     gram, phrase = chunk.gram[order], chunk.phrase[order]
     head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     tail = np.concatenate([head[1:], [len(gram)]]) - 1 if len(head) else head
-    one = np.where(phrase[head] == phrase[tail], phrase[head] | np.uint64(1), np.uint64(0))
-    return gram[head], one, np.minimum(tail - head + 1, 2).astype(np.uint8)
+    return gram[head], np.where(phrase[head] == phrase[tail], phrase[head] >> np.uint64(32) | np.uint64(1), 0).astype(np.uint32)
 
 
 def _ask(kind: int, chunk: int, shards: int, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -191,7 +193,8 @@ def _ask(kind: int, chunk: int, shards: int, keys: np.ndarray, *columns: np.ndar
     for shard in range(shards):
         x, y = ends[shard], ends[shard + 1]
         if x < y:
-            out.append((shard, kind, chunk, pack(keys[x:y], True), *[pack(c[x:y]) for c in columns]))
+            packed = [pack(c[x:y]) for c in columns]
+            out.append((shard, kind, chunk, pack(keys[x:y], True), packed[0], packed[1] if len(packed) > 1 else None))
     return out
 
 
@@ -215,15 +218,18 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 def _reply(table: pa.Table) -> pa.Table:
     """A shard's answers: per gram 2 if it has several phrases, else 0; per phrase or string 1 if the
     chunk's first place is the corpus's."""
-    out = []
-    for kind in sorted(set(table["kind"].to_pylist())):
-        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+    out, every = [], table.to_pylist()
+    for kind in sorted({r["kind"] for r in every}):
+        rows = [r for r in every if r["kind"] == kind]
         keys = [unpack(r["keys"], np.uint64, True) for r in rows]
         sizes = [len(k) for k in keys]
         all_keys = np.concatenate(keys)
-        kinds = (np.uint64, np.uint8) if kind == GRAM else (np.int64, np.int64)
-        x, y = (np.concatenate([unpack(r[c], k) for r in rows]) for c, k in zip(("x", "y"), kinds))
-        order = np.lexsort((y, x, all_keys))
+        if kind == GRAM:
+            x = np.concatenate([unpack(r["x"], np.uint32) for r in rows])
+            order = np.lexsort((x, all_keys))
+        else:
+            x, y = (np.concatenate([unpack(r[c], np.int64) for r in rows]) for c in ("x", "y"))
+            order = np.lexsort((y, x, all_keys))
         key = all_keys[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -242,7 +248,7 @@ def _reply(table: pa.Table) -> pa.Table:
 
 def _verdicts(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Per phrase place: repeated as a whole; to be settled string by string."""
-    grams, _, _ = grams_of(chunk)
+    grams, _ = grams_of(chunk)
     several = _answers(answers, GRAM)[np.searchsorted(grams, chunk.gram)] == 2
     _, _, _, (index, first_here) = chunk.earliest(phrase_key(chunk.gram, chunk.phrase), chunk.lo)
     first = (first_here == 1) & (_answers(answers, PHRASE)[index] == 1)
@@ -270,9 +276,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         number, chunk = table["chunk"][0].as_py(), Chunk(table, s)
         if not len(chunk.lo):
             return _table([], QUESTION_NAMES)
-        grams, one, places = grams_of(chunk)
+        grams, one = grams_of(chunk)
         keys, ids, starts, _ = chunk.earliest(phrase_key(chunk.gram, chunk.phrase), chunk.lo)
-        return _table(_ask(GRAM, number, shards, grams, one, places) + _ask(PHRASE, number, shards, keys, ids, starts),
+        return _table(_ask(GRAM, number, shards, grams, one) + _ask(PHRASE, number, shards, keys, ids, starts),
                       QUESTION_NAMES)
 
     def ask_strings(table: pa.Table, answers: pa.Table) -> pa.Table:

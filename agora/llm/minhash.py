@@ -36,10 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from agora.llm.common import byte_slices, id_text, map_batches, prepare, strings
+from agora.llm.common import byte_slices, id_text, map_batches, prepare, strings, with_blocks
 from agora.llm.components import components
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -75,12 +77,7 @@ def shingles(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes: dict[str, int] = {}
-    for w in words:
-        if w not in hashes:
-            b = w.encode()
-            hashes[w] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
-    one = mix(np.fromiter(map(hashes.__getitem__, words), np.uint64, n))
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     size = min(width, n)
     out = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
@@ -263,21 +260,20 @@ def _row_similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.
     return low / (total + one[1].astype(np.float64).sum() - low)
 
 
-def _across(members: DataFrame, shared, s: Settings, parts: int) -> DataFrame:
+def _across(members: DataFrame, found: DataFrame, shared, s: Settings, parts: int) -> DataFrame:
     """Links (a, b) between texts of a bucket that lie in different components so far.
 
-    ``members``: (band, key, rep, component, signature, text). Buckets above
+    ``members``: (band, key, rep, component); ``found``: (rep, text, signature). Buckets above
     ``block`` members are compared pair of blocks by pair of blocks. A pair is
     tested in the first band it agrees in, if its signatures agree enough, by
     its whole texts; a task gives only links that join what it holds as apart.
     """
-    large = members.groupBy("key").count().where(F.col("count") > s.block).select(
-        "key", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
-    placed = (members.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = (with_blocks(members, ["key"], s.block)
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("band", "key", "rep", "component", "signature", "text", "block",
-                      F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+              .select("band", "key", "rep", "component", "block",
+                      F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+              .join(found, "rep"))
 
     def compare(cell: pa.Table) -> pa.Table:
         weigher = shared.value
@@ -349,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = documents.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(texts, "rep")
     parts = max(12, members.count() // 4096)
-    more = _across(members.join(found, "rep"), shared, s, parts)
+    more = _across(members, found, shared, s, parts)
     edges = more.unionByName(classes.where(F.col("node") != F.col("component"))
                              .select(F.col("component").alias("a"), F.col("node").alias("b")))
     classes = components(edges.checkpoint())
@@ -360,3 +356,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return (signed.select("doc_id", "words").distinct().join(reps, "words", "left")
             .select("doc_id", "words", "component_id")
             .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def representatives(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row of ``documents``, all columns, of each class of near-duplicates.
+
+    Rows of the same id and words count as one; of texts without any id in
+    their class, one row stays.
+    """
+    kept = near_duplicates(documents, s=s).where("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("words").alias("kept_words"))
+    packed = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [digest(words_of(t)) for t in strings(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())],
+                                              names=["row", "doc_id", "words"])
+        return run
+    schema = StructType([packed.schema["row"], packed.schema["doc_id"], StructField("words", BinaryType())])
+    rows = map_batches(packed, make, schema)
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["words"] == kept["kept_words"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "words"]).select("row.*")

@@ -8,10 +8,10 @@ and source, and rejects it by its Mahalanobis distance.
 
 The MCD estimate. Each distinct vector of a group counts once, so copies carry
 no weight. From two starts (coordinate medians and MADs, with Euclidean and
-with maximum distance) concentration steps repeat: take the ``support`` share
+with maximum distance) two concentration steps each take the ``support`` share
 of vectors nearest to the present centre, and their mean and covariance as the
-next, until no group's log determinant moves by more than ``tolerance``; the
-start with the smaller determinant wins. Its covariance is scaled by the
+next; the start with the smaller determinant goes on until no group's log
+determinant falls by more than ``tolerance``. Its covariance is scaled by the
 median distance, one reweighting step follows, and an estimate from n vectors
 is drawn to the one of its whole language as by ``prior`` further vectors (and
 that one to the one of all texts), so a group of any size has an estimate. A floor
@@ -94,7 +94,7 @@ def document_stats(documents: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Settings:
     support: float = 0.75       # share of a group's vectors in its subset
-    tolerance: float = 1e-3     # of the log determinant
+    tolerance: float = 0.01     # of the log determinant
     prior: float = 40.0         # vectors' worth of the wider group's estimate
     cutoff: float = 105.0       # largest squared distance that is kept
     floors: tuple[float, ...] = (0.5, 0.05, 0.15, 0.15, 0.1, 0.15, 0.15)  # least standard deviations
@@ -190,21 +190,25 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     keys = [*KEY, "start"]
 
+    def concentrate_input(estimates: DataFrame) -> DataFrame:
+        return rows.join(small(estimates.drop("logdet", "n", "cov")), KEY).select(*keys, *X, distance().alias("d2"))
+
     def concentrate(measured: DataFrame) -> DataFrame:
-        cut = measured.groupBy(*keys).agg(F.percentile_approx("d2", s.support, 2000).alias("cut"))
+        cut = measured.groupBy(*keys).agg(F.percentile_approx("d2", s.support, 1000).alias("cut"))
         inside = measured.join(small(cut), keys).where(F.col("d2") <= F.col("cut"))
         return _estimates(_moments(inside, keys), keys, s.floors).checkpoint()
 
-    now = concentrate(first)
+    now = concentrate(concentrate_input(concentrate(first)))
+    best = (now.groupBy(*KEY).agg(F.min_by(F.struct("start", "n", "mean", "cov", "precision", "logdet"),
+                                           F.struct("logdet", "start")).alias("e")).select(*KEY, "e.*").checkpoint())
     while True:
-        then = now
-        measured = rows.join(small(then.drop("logdet", "n", "cov")), KEY).select(*keys, *X, distance().alias("d2"))
-        now = concentrate(measured)
-        moved = (now.select(*keys, F.col("logdet").alias("b")).join(small(then.select(*keys, F.col("logdet").alias("a"))), keys)
+        then, best = best, concentrate(concentrate_input(best))
+        moved = (best.select(*keys, F.col("logdet").alias("b"))
+                 .join(small(then.select(*keys, F.col("logdet").alias("a"))), keys)
                  .agg(F.max(F.col("a") - F.col("b"))).first()[0])  # one number
         if moved is None or moved <= s.tolerance:
             break
-    best = now.groupBy(*KEY).agg(F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("e")).select(*KEY, "e.*").checkpoint()
+    best = best.select(*KEY, "mean", "precision")
 
     # scale to a normal sample's median distance, then reweight once
     measured = rows.join(small(best), KEY).select(*KEY, *X, distance().alias("d2"))

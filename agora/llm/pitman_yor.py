@@ -273,14 +273,19 @@ def root_tables(customers: np.ndarray, words: np.ndarray, sweep: int, s: Setting
 
 
 class Model:
-    """The state of the sampler as a chunk sees it: its bigrams' tables and the corpus sums it needs."""
+    """The state of the sampler as a chunk sees it: its bigrams' tables and the corpus sums it needs.
 
-    def __init__(self, chunk: Chunk, answers: Answers, s: Settings):
+    With ``own_only`` only the tables of bigrams that this chunk counts are drawn.
+    """
+
+    def __init__(self, chunk: Chunk, answers: Answers, s: Settings, own_only: bool):
         self.chunk, self.answers, self.s = chunk, answers, s
         self.word = answers.get(WORD, "x", len(chunk.words))
         told = answers.get(BIGRAM, "x", len(chunk.bigrams))
         self.customers, self.counts_here = told >> 1, (told & 1) == 1
         self.tables = np.minimum(self.customers, 1)
+        drawn = self.customers > 1  # a single customer has a single table
+        self.drawn = np.flatnonzero(drawn & self.counts_here if own_only else drawn)
         # before the first sweep: tables as a power of the customers, and the words' own frequencies
         n, types = answers.total(WORD)
         self.known: dict[int, tuple] = {0: (self.word ** s.discount, None, (self.word + 1.0) / (n + types + 1.0))}
@@ -305,10 +310,9 @@ class Model:
         """Draw the tables of sweep ``sweep`` from the sums after the one before."""
         by_context, _, root = self.sums(sweep - 1)
         left, right = self.chunk.left, self.chunk.right
-        shared = np.flatnonzero(self.customers > 1)  # a single customer has a single table
+        shared = self.drawn
         left, right = left[shared], right[shared]
         others = np.maximum(by_context[left] - self.tables[shared], 0.0)
-        self.tables = np.minimum(self.customers, 1)
         self.tables[shared] = draw_tables(self.customers[shared], others, root[right],
                                           uniform(self.chunk.bigrams[shared], sweep),
                                           self.s.strength, self.s.discount, self.s.exact)
@@ -336,9 +340,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
         return pa.concat_tables([_ask(WORD, number, shards, chunk.words, chunk.word_count),
                                  _ask(BIGRAM, number, shards, chunk.bigrams, chunk.bigram_count)])
 
-    def state(table: pa.Table, answers: pa.Table, sweep: int) -> tuple[Chunk, Model]:
+    def state(table: pa.Table, answers: pa.Table, sweep: int, own_only: bool) -> tuple[Chunk, Model]:
         chunk = Chunk(table, mod, rest, s.bigram_bits)
-        model = Model(chunk, Answers(answers), s)
+        model = Model(chunk, Answers(answers), s, own_only)
         for k in range(1, sweep + 1):
             model.advance(k)
         return chunk, model
@@ -348,7 +352,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
             if not table.num_rows:
                 return _table([], QUESTION_NAMES)
             number = table["chunk"][0].as_py()
-            chunk, model = state(table, answers, sweep)
+            chunk, model = state(table, answers, sweep, True)
             mine, n = np.flatnonzero(model.counts_here), len(chunk.words)
             sums = [np.bincount(side[mine], weights=model.tables[mine], minlength=n).astype(np.int64)
                     for side in (chunk.left, chunk.right)]
@@ -358,7 +362,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], k) for k in OUT.types], schema=OUT)
-        chunk, model = state(table, answers, 0)
+        chunk, model = state(table, answers, 0, False)
         total = np.zeros(len(chunk.bigrams))
         for sweep in range(1, s.sweeps + 1):
             model.advance(sweep)

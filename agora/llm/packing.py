@@ -53,7 +53,7 @@ class WordEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.plain_word = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.special = [t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = WordCache(self._part, 400_000)
+        self.cache = WordCache(self._part, 250_000)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

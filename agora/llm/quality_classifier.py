@@ -56,7 +56,7 @@ def part_hashes(part: str) -> bytes:
                     for w in _WORD.findall(part) for x in (w, shape(w)))
 
 
-_PARTS = WordCache(part_hashes, 500_000)
+_PARTS = WordCache(part_hashes, 200_000)
 
 
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,9 +13,12 @@ with customers c and tables t, and P(w) the same formula at the root.
 Seating. Gibbs sweeps draw the number of tables t_uw of every dish of every
 restaurant from its conditional given the other dishes' tables and the root:
 proportional to the generalised Stirling number S_d(c, t) times the chance
-that t tables open, exactly for up to ``exact`` customers, and by seating the
-rest one geometric block after another beyond. Dishes with one customer have
-one table. The first sweep starts from tables as a power of the customers and
+that t tables open: from all numbers of tables for up to ``exact`` customers,
+from the first ``exact`` numbers where more are out of reach, and from a normal
+distribution around the mode otherwise (dishes of some 20 tables and more; see
+``_large``). Dishes with one customer have one table. The root's tables are
+drawn in the same way, given the sum of all words' root tables of the sweep
+before, if ``root_given``. The first sweep starts from tables as a power of the customers and
 the words' frequencies. The draws use uniforms that are a hash of (bigram,
 sweep), so any task draws the same tables for a bigram without asking. After
 each sweep the tables are summed per context and per word over the corpus;
@@ -62,9 +65,10 @@ class Settings:
     strength: float = 1.0
     root_discount: float = 0.8
     root_strength: float = 10.0
-    sweeps: int = 2
-    burn_in: int = 0
-    exact: int = 16             # products of so many probabilities stay in range
+    sweeps: int = 3
+    burn_in: int = 1
+    exact: int = 64
+    root_given: bool = False    # root tables given the root's other tables, not with a constant weight
     bigram_bits: int = 48       # of a bigram's key; words have 64
     chunk_bytes: int = 8 << 20
 
@@ -140,12 +144,12 @@ class Chunk:
         self.left, self.right = self.context[at], self.target[at]
 
 
-QUESTION = "shard int, kind int, chunk int, keys binary, x binary, y binary"
+QUESTION = "shard int, kind int, chunk int, keys binary, x binary, y binary, z binary, a long, b long"
 ANSWER = "shard int, kind int, chunk int, x binary, y binary, a long, b long"
 QUESTION_NAMES = [c.split(" ")[0] for c in QUESTION.split(", ")]
 ANSWER_NAMES = [c.split(" ")[0] for c in ANSWER.split(", ")]
 WORD, BIGRAM, SWEEP, TOTAL = 0, 1, 2, 100    # sweep s has kind SWEEP + s, totals of kind k TOTAL + k
-_KIND = {"keys": pa.binary(), "x": pa.binary(), "y": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+_KIND = {"keys": pa.binary(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary(), "a": pa.int64(), "b": pa.int64()}
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -153,13 +157,14 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, _KIND.get(n, pa.int32())) for n, c in zip(names, columns)})
 
 
-def _ask(kind: int, chunk: int, shards: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> pa.Table:
+def _ask(kind: int, chunk: int, shards: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None = None,
+         z: np.ndarray | None = None, a: int | None = None, b: int | None = None) -> pa.Table:
     ends, out = cuts(keys, shards), []
+    packed = lambda v, i, j: None if v is None else pack(v[i:j].astype(np.uint64))
     for shard in range(shards):
         i, j = ends[shard], ends[shard + 1]
         if i < j:
-            out.append((shard, kind, chunk, pack(keys[i:j], True), pack(x[i:j].astype(np.uint64)),
-                        None if y is None else pack(y[i:j].astype(np.uint64))))
+            out.append((shard, kind, chunk, pack(keys[i:j], True), packed(x, i, j), packed(y, i, j), packed(z, i, j), a, b))
     return _table(out, QUESTION_NAMES)
 
 
@@ -168,7 +173,8 @@ def _reply(table: pa.Table, s: Settings) -> pa.Table:
 
     Words: x the training count. Bigrams: x twice the training count, plus 1
     for the first chunk that has it in training. Sweeps: x the tables of a
-    context, y those of a word. One more row per kind has totals over the
+    context, y those of a word (with z a word's root tables of the sweep before, a
+    their sum over all words and b the types). One more row per kind has totals over the
     shard: of x and of types with x > 0, or of y and of the root's tables.
     """
     out, rows = [], sorted(table.to_pylist(), key=lambda r: (r["kind"], r["chunk"]))
@@ -184,7 +190,12 @@ def _reply(table: pa.Table, s: Settings) -> pa.Table:
         if kind >= SWEEP:
             sum_y = np.zeros(len(distinct), np.int64)
             np.add.at(sum_y, index, np.concatenate([unpack(r["y"], np.uint64) for r in own]).astype(np.int64))
-            a, b, answer = sum_y.sum(), root_tables(sum_y, distinct, kind - SWEEP, s).sum(), sum_x[index]
+            given = None
+            if s.root_given:
+                before = np.zeros(len(distinct), np.int64)
+                before[index] = np.concatenate([unpack(r["z"], np.uint64) for r in own]).astype(np.int64)
+                given = own[0]["a"] - before, own[0]["b"]
+            a, b, answer = sum_y.sum(), root_tables(sum_y, distinct, kind - SWEEP, s, given).sum(), sum_x[index]
         else:
             sum_y, a, b, answer = None, sum_x.sum(), (sum_x > 0).sum(), sum_x[index]
         if kind == BIGRAM:
@@ -227,9 +238,64 @@ def stirling(discount: float, size: int) -> np.ndarray:
     return out
 
 
-def uniform(keys: np.ndarray, sweep: int) -> np.ndarray:
-    salt = np.uint64((2 * sweep + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    return (mix(keys + salt) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+SMALL = 16      # products of so many probabilities stay in range
+ROWS = 4096     # customers up to which log_ways are computed one by one
+
+
+@lru_cache(maxsize=4)
+def log_ways(discount: float, size: int) -> np.ndarray:
+    """Logarithms of S_d(c, t) (t-1)! d^(t-1) / S_d(c, 1), between 0 and 1 and near 1 for large c:
+    c up to ROWS, t from 1 to ``size``."""
+    t = np.arange(1, size + 1)
+    out = np.zeros((ROWS + 1, size))
+    out[1, 0] = 1.0
+    for c in range(1, ROWS):
+        out[c + 1] = out[c] * np.maximum(c - discount * t, 0.0)
+        out[c + 1, 1:] += discount * t[:-1] * out[c, :-1]
+        out[c + 1] /= c - discount
+    with np.errstate(divide="ignore"):
+        return np.log(out)
+
+
+def _window(c: np.ndarray, others: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float, discount: float,
+            size: int) -> np.ndarray:
+    """Draws from the weights of 1 to ``size`` tables. Beyond ROWS customers, what a
+    logarithm of ``log_ways`` lacks to 0 falls with the customers' power -discount."""
+    t = np.arange(1, size)
+    ways = log_ways(discount, size)[np.minimum(c, ROWS)] * (np.maximum(c / ROWS, 1.0) ** -discount)[:, None]
+    opens = (strength + discount * (others[:, None] + t)) * base[:, None] / (discount * t)
+    ways[:, 1:] += np.cumsum(np.log(opens), 1)
+    chance = np.cumsum(np.exp(ways - ways.max(1, keepdims=True)), 1)
+    return 1 + (chance < u[:, None] * chance[:, -1:]).sum(1)
+
+
+_Z = np.linspace(-8.5, 8.5, 6801)
+_BELOW = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _Z])
+
+
+def _large(c: np.ndarray, others: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float, discount: float) -> np.ndarray:
+    """Draws for dishes of many tables: a normal distribution around the weights' maximum.
+
+    S_d(c, t) = c!/t! [x^c] f(x)^t with f(x) = (1 - (1-x)^d) / d. At the saddle point x = 1 - y its
+    logarithm grows by log f(x) - log t with t, and by k/t for what the saddle point leaves out,
+    k between 1 and 1/(2-2d); t is a function of y, so the maximum is found by bisection in log y.
+    """
+    def slope(z):
+        power = np.exp(discount * z)
+        f = -np.expm1(discount * z) / discount
+        t = np.maximum(c * f * np.exp(z) / power / -np.expm1(z), 1e-9)
+        tau = t / c ** discount
+        k = (1 + tau / (2 - 2 * discount)) / (1 + tau)
+        return np.log(f) - np.log(t) + k / t + np.log((strength + discount * (others + t)) * base), t
+    lo, hi = np.log(discount / c) / (1 - discount), np.full(len(c), -1e-9)
+    for _ in range(48):
+        middle = (lo + hi) / 2
+        up = slope(middle)[0] > 0
+        lo, hi = np.where(up, middle, lo), np.where(up, hi, middle)
+    at = (lo + hi) / 2
+    (f1, t1), (f2, t2), mode = slope(at * 1.001), slope(at * 0.999), slope(at)[1]
+    deviation = np.sqrt(np.maximum((t2 - t1) / np.maximum(f1 - f2, 1e-300), 0.0))
+    return np.clip(np.rint(mode + np.minimum(deviation, c) * np.interp(u, _BELOW, _Z)), 1, c)
 
 
 def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float,
@@ -240,35 +306,48 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
     probability of the dish; ``u``: one uniform per dish.
     """
     tables = np.minimum(customers, 1)
-    small = np.minimum(customers, exact)
-    ways = stirling(discount, exact)
+    small = np.minimum(customers, SMALL + 1)
+    ways = stirling(discount, SMALL)
     order = np.argsort(small, kind="stable")
-    ends = np.searchsorted(small[order], np.arange(2, exact + 2))
-    for c in range(2, exact + 1):
+    ends = np.searchsorted(small[order], np.arange(2, SMALL + 2))
+    for c in range(2, SMALL + 1):
         for i in range(ends[c - 2], ends[c - 1], (1 << 18) // c):
             at = order[i:min(i + (1 << 18) // c, ends[c - 1])]
             chance = (strength + discount * (others[at][:, None] + np.arange(c))) * base[at][:, None]
             chance = np.cumsum(np.cumprod(chance, 1) * ways[c, 1:c + 1], 1)
             tables[at] = 1 + (chance < u[at][:, None] * chance[:, -1:]).sum(1)
-    # further customers of the frequent dishes, a quarter of those seated at a time
-    rows = np.flatnonzero(customers > exact)
-    n, t, v = np.full(len(rows), float(exact)), tables[rows].astype(float), u[rows]
-    goal = customers[rows].astype(float)
-    while len(on := np.flatnonzero(n < goal)):
-        block = np.minimum(np.maximum(1.0, np.floor(n[on] / 4)), goal[on] - n[on])
-        opens = (strength + discount * (others[rows][on] + t[on])) * base[rows][on]
-        v[on] = (v[on] * 997.0 + 0.6180339887498949) % 1.0
-        t[on] += np.floor(block * opens / (opens + n[on] - discount * t[on]) + v[on])
-        n[on] += block
-    tables[rows] = np.minimum(t, goal).astype(tables.dtype)
+    rows = order[ends[-1]:]
+    if not len(rows):
+        return tables
+    # without the factor of log_ways, tables after the first would be negative binomial
+    exact = max(exact, 64)
+    left = np.maximum(1 - base[rows], 1e-9)
+    mean = (strength / discount + others[rows] + 1) * base[rows] / left
+    near = (customers[rows] <= exact) | (mean + 7 * np.sqrt(mean / left + 1) < exact)
+    far, rows = rows[~near], rows[near]
+    for i in range(0, len(rows), (1 << 18) // exact):
+        at = rows[i:i + (1 << 18) // exact]
+        tables[at] = _window(customers[at], others[at], base[at], u[at], strength, discount, exact)
+    if len(far):
+        tables[far] = _large(customers[far].astype(float), others[far], base[far], u[far], strength, discount)
     return tables
 
 
-def root_tables(customers: np.ndarray, words: np.ndarray, sweep: int, s: Settings) -> np.ndarray:
-    """The root's tables of each word. With at least one table per type over a uniform base, a new
-    one opens with a weight of about the root's discount, whatever the number of types."""
+def uniform(keys: np.ndarray, sweep: int) -> np.ndarray:
+    salt = np.uint64((2 * sweep + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return (mix(keys + salt) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def root_tables(customers: np.ndarray, words: np.ndarray, sweep: int, s: Settings,
+                given: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """The root's tables of each word, given (the root's tables of the other words, types).
+
+    Without them, as if every type had a single table: with at least one per type over a uniform
+    base, a new one opens with a weight of the root's discount at least.
+    """
     many = 1e9
-    return draw_tables(customers, np.full(len(customers), many), np.full(len(customers), 1 / many),
+    others, base = (np.full(len(customers), many), 1 / many) if given is None else (np.maximum(given[0], 0.0), 1 / (given[1] + 1))
+    return draw_tables(customers, others, np.full(len(customers), base),
                        uniform(words, 1000 + sweep), s.root_strength, s.root_discount, s.exact)
 
 
@@ -288,6 +367,8 @@ class Model:
         self.drawn = np.flatnonzero(drawn & self.counts_here if own_only else drawn)
         # before the first sweep: tables as a power of the customers, and the words' own frequencies
         n, types = answers.total(WORD)
+        self.types = types - (self.word[chunk.start] > 0)
+        self.own, self.own_total = np.minimum(self.word, 1), int(self.types)  # the root's: one a type
         self.known: dict[int, tuple] = {0: (self.word ** s.discount, None, (self.word + 1.0) / (n + types + 1.0))}
 
     def sums(self, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,9 +382,9 @@ class Model:
         by_context = self.answers.get(SWEEP + sweep, "x", n)
         by_word = self.answers.get(SWEEP + sweep, "y", n)
         customers, tables = self.answers.total(SWEEP + sweep)
-        types = self.answers.total(WORD)[1] - (self.word[self.chunk.start] > 0)
-        own = root_tables(by_word, self.chunk.words, sweep, s)
-        root = by_word - s.root_discount * own + (s.root_strength + s.root_discount * tables) / (types + 1)
+        given = (self.own_total - self.own, self.types) if s.root_given else None
+        self.own, self.own_total = root_tables(by_word, self.chunk.words, sweep, s, given), tables
+        root = by_word - s.root_discount * self.own + (s.root_strength + s.root_discount * tables) / (self.types + 1)
         return by_context, by_word, root / (s.root_strength + customers)
 
     def advance(self, sweep: int) -> None:
@@ -327,7 +408,7 @@ class Model:
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2,
-          s: Settings = Settings()) -> DataFrame:
+          s: Settings = Settings(root_given=True)) -> DataFrame:
     """One row per document (SCHEMA); training texts are those whose crc32(id) mod ``mod`` is not ``rest``."""
     prepare(df.sparkSession)
     documents = id_text(df, id_col, text_col)
@@ -356,7 +437,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
             mine, n = np.flatnonzero(model.counts_here), len(chunk.words)
             sums = [np.bincount(side[mine], weights=model.tables[mine], minlength=n).astype(np.int64)
                     for side in (chunk.left, chunk.right)]
-            return _ask(SWEEP + sweep, number, shards, chunk.words, *sums)
+            before = (model.own, int(model.own_total), int(model.types)) if s.root_given else ()
+            return _ask(SWEEP + sweep, number, shards, chunk.words, *sums, *before)
         return ask
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:

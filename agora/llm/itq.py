@@ -124,6 +124,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _placed(coded: DataFrame, row_bytes: int, s: Settings) -> tuple[DataFrame, int]:
+    """Every vector once per table and pair of blocks it is compared in, and the number of parts these rows are dealt into."""
+    blocks = with_blocks(coded.select("rep", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key")),
+                         ["t", "key"], s.block)
+    rows = blocks.agg(F.sum("blocks")).first()[0] or 0  # one number
+    parts = max(12, math.ceil(rows * row_bytes / (24 << 20)))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = (blocks.withColumn("block", own)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
+    return placed.withColumn("part", F.pmod(F.xxhash64("t", "key", "lo", "hi"), F.lit(parts))), parts
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     s: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every distinct row of (id, vector)."""
@@ -158,13 +171,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                  pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "copies", "vector", "keys"])
 
     coded = distinct.mapInArrow(code, "rep long, copies long, vector binary, keys array<long>").checkpoint()
-    placed = coded.select("rep", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key"))
-    placed = with_blocks(placed, ["t", "key"], s.block)
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = (placed.withColumn("block", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
-    parts = max(12, math.ceil(n * index.tables * (4 * d + 8 * index.tables + 64) / (24 << 20)))
+    placed, _ = _placed(coded, 4 * d + 8 * index.tables + 64, s)
     threshold, tables = s.threshold, index.tables
 
     def compare(cell: pa.Table) -> pa.Table:
@@ -198,8 +205,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         columns = zip(*out) if out else [[np.zeros(0, np.int64)]] * 3
         return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip(("rep", "links", "root"), columns)})
 
-    found = (placed.withColumn("part", F.pmod(F.xxhash64("t", "key", "lo", "hi"), F.lit(parts)))
-             .groupBy("part").applyInArrow(compare, "rep long, links long, root long").checkpoint())
+    found = (placed.groupBy("part").applyInArrow(compare, "rep long, links long, root long").checkpoint())
     return _result(rows, distinct, found.groupBy("rep").agg(F.sum("links").alias("links")),
                    components(found.select("rep", "root")))
 

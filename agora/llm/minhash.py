@@ -260,20 +260,28 @@ def _row_similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.
     return low / (total + one[1].astype(np.float64).sum() - low)
 
 
-def _across(members: DataFrame, found: DataFrame, shared, s: Settings, parts: int) -> DataFrame:
+def _placed(members: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """``members`` once per pair of blocks they are compared in, and the number of parts these rows are dealt into."""
+    blocks = with_blocks(members, ["key"], s.block)
+    rows = blocks.agg(F.sum("blocks")).first()[0] or 0  # one number
+    parts = max(12, math.ceil(rows / (2 * s.block)))
+    placed = (blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("band", "key", "rep", "component", "block",
+                      F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    return placed.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts))), parts
+
+
+def _across(members: DataFrame, found: DataFrame, shared, s: Settings) -> DataFrame:
     """Links (a, b) between texts of a bucket that lie in different components so far.
 
     ``members``: (band, key, rep, component); ``found``: (rep, text, signature). Buckets above
-    ``block`` members are compared pair of blocks by pair of blocks. A pair is
+    ``block`` members are compared pair of blocks by pair of blocks; the parts
+    that tasks take follow from the rows after this split. A pair is
     tested in the first band it agrees in, if its signatures agree enough, by
     its whole texts; a task gives only links that join what it holds as apart.
     """
-    placed = (with_blocks(members, ["key"], s.block)
-              .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("band", "key", "rep", "component", "block",
-                      F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-              .join(found, "rep"))
+    placed = _placed(members, s)[0].join(found, "rep")
 
     def compare(cell: pa.Table) -> pa.Table:
         weigher = shared.value
@@ -311,8 +319,7 @@ def _across(members: DataFrame, found: DataFrame, shared, s: Settings, parts: in
         both = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    return (placed.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
-            .groupBy("part").applyInArrow(compare, "a long, b long"))
+    return placed.groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -344,8 +351,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = open_.join(mixed, "key", "left_semi").checkpoint()
     found = documents.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(texts, "rep")
-    parts = max(12, members.count() // 4096)
-    more = _across(members, found, shared, s, parts)
+    more = _across(members, found, shared, s)
     edges = more.unionByName(classes.where(F.col("node") != F.col("component"))
                              .select(F.col("component").alias("a"), F.col("node").alias("b")))
     classes = components(edges.checkpoint())

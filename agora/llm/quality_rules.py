@@ -18,6 +18,12 @@ that one to the one of all texts), so a group of any size has an estimate. A flo
 on each variance keeps a statistic that is constant in clean text from
 rejecting everything else.
 
+The cutoff. Squared distances have longer tails than a normal sample's, so the
+chi-square quantile would reject clean texts. A text is an outlier if the modified
+z-score of its log squared distance (median and MAD over the table's distinct
+vectors that pass the base rules) is above ``outlier_z``, 3.5 by convention; no label is used. Distances
+within the chi-square 0.975 quantile are never outliers.
+
 Every step is one aggregation over the vectors, with partial sums before the
 shuffle, and a join to one row per group; a group is never collected.
 
@@ -28,6 +34,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -96,7 +103,7 @@ class Settings:
     support: float = 0.75       # share of a group's vectors in its subset
     tolerance: float = 0.01     # of the log determinant
     prior: float = 40.0         # vectors' worth of the wider group's estimate
-    cutoff: float = 105.0       # largest squared distance that is kept
+    outlier_z: float = 3.5      # largest modified z-score of a log squared distance that is kept
     floors: tuple[float, ...] = (0.5, 0.05, 0.15, 0.15, 0.1, 0.15, 0.15)  # least standard deviations
 
 
@@ -165,8 +172,9 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums
 
 
-def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(g_lang, g_source, mean, precision): the estimate of every group, already drawn to the wider ones."""
+def fit(stats: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
+    """(g_lang, g_source, mean, precision, cutoff): the estimate of every group, already drawn to the
+    wider ones, and the largest squared distance that is kept (the same for all groups)."""
     prepare(stats.sparkSession)
     vectors = (stats.select(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"),
                             *[v.alias(x) for v, x in zip(vector_columns(), X)]).distinct())
@@ -215,7 +223,20 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
     scale = measured.groupBy(*KEY).agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / CHI2_HALF, F.lit(1.0)).alias("scale"))
     good = measured.join(small(scale), KEY).where(F.col("d2") <= CHI2_975 * F.col("scale"))
     own = _estimates(_moments(good, KEY), KEY, s.floors).checkpoint()
-    return _drawn(own, s.prior, small)
+    drawn = _drawn(own, s.prior, small)
+    passed = rows.where((F.col(X[0]) > math.log1p(min_words) - 1e-9)
+                        & (F.col(X[4]) < math.asin(math.sqrt(min(max_repeat_pct, 100) / 100)) + 1e-9))
+    measured = passed.join(small(drawn), KEY).select(F.log(F.greatest(distance(), F.lit(1e-9))).alias("x"))
+    return drawn.withColumn("cutoff", F.lit(_cutoff(measured, s)))
+
+
+def _cutoff(measured: DataFrame, s: Settings) -> float:
+    """The squared distance at ``outlier_z``, from the logarithms ``x`` of all."""
+    median = measured.agg(F.percentile_approx("x", 0.5, 10_000)).first()[0]  # one number
+    if median is None:
+        return CHI2_975
+    mad = measured.agg(F.percentile_approx(F.abs(F.col("x") - median), 0.5, 10_000)).first()[0]  # one number
+    return max(CHI2_975, float(np.exp(min(median + s.outlier_z * mad / 0.6745, 700.0))))
 
 
 # The chi-square distribution's median and 0.975 quantile at 7 degrees of freedom.
@@ -256,22 +277,22 @@ def with_verdict(stats: DataFrame, estimates: DataFrame, s: Settings, min_words:
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     return (stats.withColumns(names).join(estimates, KEY, "left")
             .withColumn("base_failed", failed).withColumn("distance2", distance())
-            .withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= s.cutoff))
-            .drop(*names, "mean", "precision"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= F.col("cutoff")))
+            .drop(*names, "mean", "precision", "cutoff"))
 
 
 def judge(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """doc_id, lang, source, STATS, base_failed, distance2 and kept for every row of ``documents``."""
     prepare(documents.sparkSession)
     stats = document_stats(documents).checkpoint()
-    return with_verdict(stats, fit(stats, s), s, min_words, max_repeat_pct)
+    return with_verdict(stats, fit(stats, s, min_words, max_repeat_pct), s, min_words, max_repeat_pct)
 
 
 def keep(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """The rows of ``documents``, all columns, that the rules keep. Texts are not shuffled: their
     counts are taken twice, once for the estimates and once next to the row."""
     prepare(documents.sparkSession)
-    estimates = fit(document_stats(documents).checkpoint(), s)
+    estimates = fit(document_stats(documents).checkpoint(), s, min_words, max_repeat_pct)
     packed = documents.select(F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"),
                               F.col("source").cast("string").alias("source"),
                               F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

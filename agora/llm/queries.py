@@ -21,6 +21,7 @@ from agora.llm import (
     quality_rules,
     suffix_dedup,
     token_counts,
+    url_filter,
 )
 from agora.llm.common import crc_mod
 
@@ -96,7 +97,70 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Rules of the url filter: (host, path prefix, verdict).
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+_URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+rules(h, d, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+hits AS (
+  SELECT host, path, arg_max(h || d, length(h || d)) AS rule, arg_max(v, length(h || d)) AS told
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d)
+  GROUP BY host, path),
+r AS (SELECT p.*, rule, told FROM p LEFT JOIN hits USING (host, path)),
+hosts AS (
+  SELECT host, count(told) AS n, count(*) FILTER (WHERE told = 'block') AS bad,
+         regexp_extract(host, '([^@:]*)(:[0-9]*)?$', 1) AS name
+  FROM r GROUP BY host),
+named AS (
+  SELECT *,
+    CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name
+         WHEN regexp_matches(name, '[^.]+\.(co|com|org|net|gov|edu|ac)\.[a-z][a-z]$')
+           THEN regexp_extract(name, '[^.]+\.[^.]+\.[a-z][a-z]$')
+         WHEN regexp_matches(name, '[^.]+\.[^.]+$') THEN regexp_extract(name, '[^.]+\.[^.]+$') ELSE name END AS domain,
+    CASE WHEN regexp_matches(name, '[^.]\.(co|com|org|net|gov|edu|ac)\.[a-z][a-z]$')
+           THEN regexp_extract(name, '[a-z]+\.[a-z][a-z]$') ELSE regexp_extract(name, '[^.]*$') END AS suffix
+  FROM hosts),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM hosts) AS mu
+             FROM domains GROUP BY suffix),
+s1 AS (SELECT least(greatest(coalesce(1 / greatest(sum((bad - n * mu) ** 2 / (mu * (1 - mu)) - n) / sum(n * (n - 1.0)),
+         1 / 1001.0) - 1, 1), 1), 1000) AS m FROM suffixes WHERE n > 1 AND mu > 0 AND mu < 1),
+suffix_share AS (SELECT suffix, (bad + m * mu) / (n + m) AS mu FROM suffixes, s1),
+dm AS (SELECT domains.*, mu FROM domains JOIN suffix_share USING (suffix)),
+s2 AS (SELECT least(greatest(coalesce(1 / greatest(sum((bad - n * mu) ** 2 / (mu * (1 - mu)) - n) / sum(n * (n - 1.0)),
+         1 / 1001.0) - 1, 1), 1), 1000) AS m FROM dm WHERE n > 1 AND mu > 0 AND mu < 1),
+domain_share AS (SELECT domain, (bad + m * mu) / (n + m) AS mu FROM dm, s2),
+hm AS (SELECT host, n, bad, mu FROM named JOIN domain_share USING (domain)),
+s3 AS (SELECT least(greatest(coalesce(1 / greatest(sum((bad - n * mu) ** 2 / (mu * (1 - mu)) - n) / sum(n * (n - 1.0)),
+         1 / 1001.0) - 1, 1), 1), 1000) AS m FROM hm WHERE n > 1 AND mu > 0 AND mu < 1),
+beta AS (SELECT host, bad + m * mu AS a, n - bad + m * (1 - mu) AS b FROM hm, s3),
+bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM beta)
+SELECT page_id, host, path, rule,
+  coalesce(told, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN bound USING (host)"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash,
-    op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+    op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup, op11_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op11_url_filter": _URL_SQL}

@@ -19,6 +19,7 @@ from agora.llm import (
     pitman_yor,
     quality_classifier,
     quality_rules,
+    spelling,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -160,7 +161,12 @@ SELECT page_id, host, path, rule,
 FROM r JOIN bound USING (host)"""
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash,
-    op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup, op11_url_filter)}
+    op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup, op11_url_filter,
+    op12_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {"op11_url_filter": _URL_SQL}

@@ -19,6 +19,7 @@ from agora.llm import (
     pitman_yor,
     quality_classifier,
     quality_rules,
+    rtree,
     spelling,
     suffix_dedup,
     token_counts,
@@ -165,8 +166,43 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def mining_rows(embeddings: DataFrame) -> DataFrame:
+    """Rows that take part, with the label to go by and the vector as integers."""
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return embeddings.where(F.col("label").isNotNull() & x.isNotNull() & finite).select(
+        "vec_id", label.alias("label"), F.transform(x, lambda c: F.floor(c * 256)).alias("vector"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.mine(mining_rows(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 3"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_quality_rules, op3_quality_classifier, op4_bpe, op5_packing, op6_minhash,
     op7_pitman_yor, op8_embedding_dedup, op9_token_counts, op10_suffix_dedup, op11_url_filter,
-    op12_spelling_variants)}
-ORACLE_SQL: dict[str, str] = {"op11_url_filter": _URL_SQL}
+    op12_spelling_variants, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op11_url_filter": _URL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}

@@ -77,6 +77,11 @@ def round6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounds a non-negative double by plain arithmetic, which gives the same number in every engine."""
+    return F.floor(x * F.lit(float(10 ** digits)) + F.lit(0.5)).cast("double") / F.lit(float(10 ** digits))
+
+
 def iso_utc(epoch: Column) -> Column:
     """Epoch seconds -> ISO 8601 in UTC with a Z, e.g. 2024-01-01T00:00:00Z (session zone UTC)."""
     return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -84,24 +84,27 @@ def expand_threads(roots: DataFrame, items: DataFrame, max_depth: int | None = N
     non-comment items are not visited; children of blank comments are
     (Q16). ``path`` is the zero-padded id chain, so ordering by it gives
     pre-order with siblings in id order. Every level is checkpointed once, so
-    neither the next level nor the union computes it again, and the expansion
-    ends with the first empty level.
+    neither the next level nor the union computes it again; without a depth the
+    expansion ends with the first empty level. An item that is its own ancestor is
+    not visited a second time, so a cycle of parents ends too.
     """
     ensure_checkpoint_dir(items.sparkSession)
     kids = items.select("id", "parent", "type")
     step = F.lpad(F.col("id").cast("string"), _PATH_WIDTH, "0")
-    parents = roots.select(F.col("root_item_id").alias("parent"), "story_id", F.lit("").alias("ppath"))
+    parents = roots.select(F.col("root_item_id").alias("parent"), "story_id", F.col("root_item_id").alias("root"),
+                           F.lit("").alias("ppath"))
     levels = []
     while max_depth is None or len(levels) < max_depth:
         path = step if not levels else F.concat_ws("/", "ppath", step)
-        level = (kids.join(parents, "parent")
-                 .select("story_id", "id", "parent", "type", F.lit(len(levels)).alias("depth"), path.alias("path"))
-                 .checkpoint())
-        levels.append(level)
-        if level.isEmpty():
+        new = (F.col("id") != F.col("root")) & ~F.contains("ppath", step)
+        level = (kids.join(parents, "parent").where(new)
+                 .select("story_id", "id", "parent", "type", F.lit(len(levels)).alias("depth"), path.alias("path"),
+                         "root").checkpoint())
+        levels.append(level.drop("root"))
+        if max_depth is None and level.isEmpty():
             break
         parents = level.where(F.col("type") == "comment").select(
-            F.col("id").alias("parent"), "story_id", F.col("path").alias("ppath"))
+            F.col("id").alias("parent"), "story_id", "root", F.col("path").alias("ppath"))
     if not levels:
         return kids.join(parents, "parent").select(
             "story_id", "id", "parent", "type", F.lit(0).alias("depth"), step.alias("path")).where(F.lit(False))

@@ -99,7 +99,7 @@ def topic_overview(comments: DataFrame, posts: DataFrame,
     count, newest comment time; each side is pre-aggregated before the join
     (never join both children first). Sorted by activity."""
     pc = posts.groupBy("topic_id").agg(F.count(F.lit(1)).alias("post_count"),
-                                       F.first("title", ignorenulls=True).alias("name"))
+                                       F.min_by("title", "post_id").alias("name"))
     cc = comments.groupBy("topic_id").agg(F.count(F.lit(1)).alias("comment_count"),
                                           F.max("created_utc").alias("last_updated_utc"))
     kc = (comments.select("comment_id", "topic_id")

@@ -6,6 +6,10 @@ groups whose mean is NULL are left out of both sums. Both stages are hash
 aggregations with map-side partial aggregation, so a hot topic or day never
 lands whole in one task; the second stage only sees one row per
 (topic, day, stance).
+
+Toxicity is summed as whole billionths and stances are added in the order of
+their names, so the result does not depend on the order of rows: a rerun, a
+stream and a batch give the same number to the last digit.
 """
 
 from __future__ import annotations
@@ -28,17 +32,43 @@ def comment_date(created_utc: Column) -> Column:
     return F.to_date(F.timestamp_seconds(created_utc))
 
 
-def _two_stage(df: DataFrame, keys: list[str]) -> DataFrame:
-    per_stance = (df.groupBy(*keys, "stance")
-                  .agg(F.count(F.lit(1)).alias("cnt"),
-                       F.avg("toxicity").alias("avg_tox")))
+#: Toxicity is summed in this fraction of one.
+UNIT = 1_000_000_000
+
+
+def units(toxicity: Column) -> Column:
+    """A score in whole units, whose sum is exact in any order (scores beyond 9 digits are rounded)."""
+    return F.round(toxicity * F.lit(float(UNIT))).cast("bigint")
+
+
+def partials() -> list[Column]:
+    """Stage one per stance: comments, toxicity in units and scored comments; they add up over any split."""
+    return [F.count(F.lit(1)).alias("cnt"), F.sum(units(F.col("toxicity"))).alias("tox_units"),
+            F.count("toxicity").alias("tox_n")]
+
+
+def mean_of(sum_units: Column, n: Column) -> Column:
+    """Mean score from a sum of units; null for none."""
+    return F.try_divide(sum_units.cast("double"), n) / F.lit(float(UNIT))
+
+
+def combine(per_stance: DataFrame, keys: list[str]) -> DataFrame:
+    """Stage two over one row per (keys, stance) with ``partials``: stance counts and weighted toxicity."""
     aggs = [F.sum(F.when(F.col("stance") == s, F.col("cnt")).otherwise(F.lit(0)))
             .cast("bigint").alias(c) for s, c in STANCE_COLS.items()]
-    weighted = F.sum(F.col("avg_tox") * F.col("cnt"))
-    weight = F.sum(F.when(F.col("avg_tox").isNotNull(), F.col("cnt")))
+    term = F.try_divide(F.col("tox_units").cast("double"), F.col("tox_n")) * F.col("cnt")
+    scored = F.col("tox_n") > 0
     aggs += [F.sum("cnt").cast("bigint").alias("total_comments"),
-             F.try_divide(weighted, weight).alias("avg_toxicity")]
-    return per_stance.groupBy(*keys).agg(*aggs)
+             F.sort_array(F.collect_list(F.when(scored, F.struct("stance", term.alias("term"))))).alias("terms"),
+             F.sum(F.when(scored, F.col("cnt"))).alias("weight")]
+    total = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["term"])
+    out = per_stance.groupBy(*keys).agg(*aggs)
+    return out.select(*keys, *STANCE_COLS.values(), "total_comments",
+                      (F.try_divide(total, F.col("weight")) / F.lit(float(UNIT))).alias("avg_toxicity"))
+
+
+def _two_stage(df: DataFrame, keys: list[str]) -> DataFrame:
+    return combine(df.groupBy(*keys, "stance").agg(*partials()), keys)
 
 
 def daily_stats(classified: DataFrame) -> DataFrame:
@@ -75,7 +105,7 @@ def toxicity_by_stance_window(classified: DataFrame, window: str = "1 day") -> D
     return (classified.groupBy(F.window(ts, window).start.alias("bucket_start"), "stance")
             .agg(F.count(F.lit(1)).alias("n_comments"),
                  F.count("toxicity").alias("n_scored"),
-                 F.avg("toxicity").alias("avg_toxicity")))
+                 mean_of(F.sum(units(F.col("toxicity"))), F.count("toxicity")).alias("avg_toxicity")))
 
 
 def upsert_daily_stats(existing: DataFrame, recomputed: DataFrame) -> DataFrame:

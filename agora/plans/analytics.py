@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agora.functions.scalar import day_label, iso_utc, percent, round6
+from agora.functions.scalar import day_label, half_up, iso_utc, percent, round6
 from agora.operators import reports, rollup
 from agora.plans.registry import query
 from agora.sources import tables as T
@@ -16,12 +16,15 @@ _STANCE_SUMS = """
   CAST(sum(CASE WHEN stance = 'MIXED' THEN cnt ELSE 0 END) AS BIGINT) AS stance_mixed_count,
   CAST(sum(CASE WHEN stance = 'NEUTRAL' THEN cnt ELSE 0 END) AS BIGINT) AS stance_neutral_count,
   CAST(sum(cnt) AS BIGINT) AS total_comments,
-  round(sum(avg_tox * cnt) / sum(CASE WHEN avg_tox IS NOT NULL THEN cnt END), 6) AS avg_toxicity"""
+  floor(list_reduce(list(CAST(units AS DOUBLE) / scored * cnt ORDER BY stance) FILTER (scored > 0), lambda a, b: a + b)
+        / sum(CASE WHEN scored > 0 THEN cnt END) / 1e9 * 1e6 + 0.5) / 1e6 AS avg_toxicity"""
+
+_STANCE_PARTS = "count(*) AS cnt, sum(CAST(round(toxicity * 1e9) AS BIGINT)) AS units, count(toxicity) AS scored"
 
 _DAILY_SQL = f"""
 WITH g AS (
   SELECT topic_id, CAST(epoch_ms(created_utc * 1000) AS DATE) AS date, stance,
-         count(*) AS cnt, avg(toxicity) AS avg_tox
+         {_STANCE_PARTS}
   FROM v_classified GROUP BY ALL)
 SELECT topic_id, date, {_STANCE_SUMS}
 FROM g GROUP BY topic_id, date"""
@@ -29,7 +32,7 @@ FROM g GROUP BY topic_id, date"""
 
 def _daily(spark, sf):
     d = rollup.daily_stats(T.v_classified(spark, sf))
-    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+    return d.withColumn("avg_toxicity", half_up(F.col("avg_toxicity"), 6))
 
 
 @query("daily_stats", "J4 A1 Q1 Q2 Q17", with_views(_DAILY_SQL, ["v_classified"]))
@@ -56,7 +59,7 @@ _SIX_HOURS_SQL = f"""
 WITH src AS (SELECT * FROM v_classified{{recent}}),
 g AS (
   SELECT topic_id, time_bucket(INTERVAL 6 HOUR, epoch_ms(created_utc * 1000)) AS bucket_start,
-         stance, count(*) AS cnt, avg(toxicity) AS avg_tox
+         stance, {_STANCE_PARTS}
   FROM src GROUP BY ALL)
 SELECT topic_id, bucket_start, {_STANCE_SUMS}
 FROM g GROUP BY topic_id, bucket_start"""
@@ -64,7 +67,7 @@ FROM g GROUP BY topic_id, bucket_start"""
 
 def _six_hours(spark, sf, history_days):
     d = rollup.windowed_stats(T.v_classified(spark, sf), "6 hours", history_days=history_days)
-    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+    return d.withColumn("avg_toxicity", half_up(F.col("avg_toxicity"), 6))
 
 
 @query("timeline_6h", "E1 T4 A1, last 30 days", with_views(_SIX_HOURS_SQL.format(
@@ -78,13 +81,18 @@ def timeline_6h_all(spark, sf):
     return _six_hours(spark, sf, None)
 
 
-@query("toxicity_by_stance_window", "E2 T5", with_views("""
+_STANCE_DAYS_SQL = """
 SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(created_utc * 1000)) AS bucket_start, stance,
-       count(*) AS n_comments, count(toxicity) AS n_scored, round(avg(toxicity), 6) AS avg_toxicity
-FROM v_classified GROUP BY ALL""", ["v_classified"]))
+       count(*) AS n_comments, count(toxicity) AS n_scored,
+       floor(CAST(sum(CAST(round(toxicity * 1e9) AS BIGINT)) AS DOUBLE) / nullif(count(toxicity), 0) / 1e9 * 1e6 + 0.5) / 1e6
+         AS avg_toxicity
+FROM v_classified GROUP BY ALL"""
+
+
+@query("toxicity_by_stance_window", "E2 T5", with_views(_STANCE_DAYS_SQL, ["v_classified"]))
 def toxicity_by_stance_window(spark, sf):
     d = rollup.toxicity_by_stance_window(T.v_classified(spark, sf), "1 day")
-    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+    return d.withColumn("avg_toxicity", half_up(F.col("avg_toxicity"), 6))
 
 
 @query("daily_stats_upsert", "S9 J14 P16", with_views(f"""
@@ -135,7 +143,7 @@ def stance_distribution(spark, sf):
 
 
 @query("topic_overview", "J11 A3 A4 A12 E5", with_views("""
-WITH pc AS (SELECT topic_id, count(*) AS post_count, any_value(title) AS name FROM v_post GROUP BY topic_id),
+WITH pc AS (SELECT topic_id, count(*) AS post_count, arg_min(title, post_id) AS name FROM v_post GROUP BY topic_id),
 cc AS (SELECT topic_id, count(*) AS comment_count, max(created_utc) AS last_updated_utc
        FROM v_comment GROUP BY topic_id),
 kc AS (SELECT topic_id, count(*) AS classified_count FROM v_comment

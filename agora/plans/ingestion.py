@@ -19,7 +19,7 @@ def _thread_items(spark, sf):
     v = T.v_thread(spark, sf)
     items = v.select("id", "parent", F.lit("comment").alias("type"), "text", "by",
                      "score", "time")
-    roots = v.select("story_id", (F.col("story_id") * 100).alias("root_item_id")).distinct()
+    roots = v.select("story_id", (F.col("story_id") * T.THREAD_STRIDE).alias("root_item_id")).distinct()
     return items, roots
 
 
@@ -31,7 +31,7 @@ def _expanded(spark, sf, max_depth):
 _EXPAND_ALL_SQL = """
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
-  WHERE parent = story_id * 100
+  WHERE parent = story_id * 1048576
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
   FROM r JOIN v_thread t ON t.parent = r.id)
@@ -46,7 +46,7 @@ def thread_expand_all(spark, sf):
 _EXPAND_SQL = """
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
-  WHERE parent = story_id * 100
+  WHERE parent = story_id * 1048576
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
   FROM r JOIN v_thread t ON t.parent = r.id WHERE r.depth + 1 < {d})
@@ -66,7 +66,7 @@ def thread_expand_depth2(spark, sf):
 _CAPPED_SQL = f"""
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
-  WHERE parent = story_id * 100
+  WHERE parent = story_id * 1048576
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
   FROM r JOIN v_thread t ON t.parent = r.id WHERE r.depth + 1 < 3),
@@ -101,10 +101,10 @@ def thread_cycle_capped(spark, sf):
 @query("ingest_comments", "P6 P8 P9 P11 P12 S8", with_views("""
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
-  WHERE parent = story_id * 100
+  WHERE parent = story_id * 1048576
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
-  FROM r JOIN v_thread t ON t.parent = r.id WHERE r.depth + 1 < 3)
+  FROM r JOIN v_thread t ON t.parent = r.id)
 SELECT 'hackernews' AS platform, CAST(t.id AS VARCHAR) AS external_id, r.story_id,
   CAST(r.depth AS INTEGER) AS depth, t.text AS body,
   CASE WHEN nullif(t."by", '') IS NULL THEN NULL ELSE sha256(t."by") END AS author_hash,
@@ -114,7 +114,7 @@ FROM r JOIN v_thread t USING (id)
 WHERE t.text IS NOT NULL AND NOT regexp_matches(t.text, '^[\\s\\p{Z}]*$')""", ["v_thread"]))
 def ingest_comments(spark, sf):
     items, roots = _thread_items(spark, sf)
-    ex = ingest.expand_threads(roots, items, 3)
+    ex = ingest.expand_threads(roots, items)
     out = ingest.to_comments(items, ex)
     return out.select("platform", "external_id", "story_id", F.col("depth").cast("int"),
                       "body", "author_hash", "score", "created_utc", "parent_comment_id",
@@ -124,7 +124,7 @@ def ingest_comments(spark, sf):
 @query("ingest_metrics", "A8 S5 P6", with_views(f"""
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
-  WHERE parent = story_id * 100
+  WHERE parent = story_id * 1048576
   UNION ALL
   SELECT r.story_id, t.id, r.depth + 1, r.path || '/' || lpad(CAST(t.id AS VARCHAR), 19, '0')
   FROM r JOIN v_thread t ON t.parent = r.id),

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agora.functions.scalar import round6
-from agora.plans.analytics import _DAILY_SQL, _SIX_HOURS_SQL
+from agora.functions.scalar import half_up
+from agora.operators.rollup import mean_of
+from agora.plans.analytics import _DAILY_SQL, _SIX_HOURS_SQL, _STANCE_DAYS_SQL
 from agora.plans.registry import query
 from agora.plans.textops import _split_sql, _sql_term_hit
 from agora.sources import tables as T
@@ -20,7 +21,7 @@ def stream_daily_stats(spark, sf):
     partials = S.run_update(S.daily_partials(T.classified_from_events(ev)), "daily",
                             ["topic_id", "date", "stance"])
     d = S.finish_daily(partials)
-    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+    return d.withColumn("avg_toxicity", half_up(F.col("avg_toxicity"), 6))
 
 
 @query("stream_timeline_6h", "T4 E1", with_views(_SIX_HOURS_SQL.format(recent=""), ["v_classified"]))
@@ -29,19 +30,16 @@ def stream_timeline_6h(spark, sf):
     partials = S.run_update(S.windowed_partials(T.classified_from_events(ev)), "six-hours",
                             ["topic_id", "bucket_start", "stance"])
     d = S.finish_rollup(partials, ["topic_id", "bucket_start"])
-    return d.withColumn("avg_toxicity", round6(F.col("avg_toxicity")))
+    return d.withColumn("avg_toxicity", half_up(F.col("avg_toxicity"), 6))
 
 
-@query("stream_toxicity_by_stance", "T5 E2", with_views("""
-SELECT time_bucket(INTERVAL 1 DAY, epoch_ms(created_utc * 1000)) AS bucket_start, stance,
-       count(*) AS n_comments, count(toxicity) AS n_scored, round(avg(toxicity), 6) AS avg_toxicity
-FROM v_classified GROUP BY ALL""", ["v_classified"]))
+@query("stream_toxicity_by_stance", "T5 E2", with_views(_STANCE_DAYS_SQL, ["v_classified"]))
 def stream_toxicity_by_stance(spark, sf):
     ev = S.stream_table(spark, sf, "events")
     p = S.run_update(S.stance_window_partials(T.classified_from_events(ev)), "stance-days",
                      ["bucket_start", "stance"])
     return p.select("bucket_start", "stance", "n_comments", "n_scored",
-                    round6(F.try_divide("tox_sum", "n_scored")).alias("avg_toxicity"))
+                    half_up(mean_of(F.col("tox_units"), F.col("n_scored")), 6).alias("avg_toxicity"))
 
 
 @query("stream_dedup", "T2 U4", with_views("""

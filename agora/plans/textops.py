@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from agora import lexicon
@@ -33,28 +35,37 @@ def _sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
-def _scope_sql(title: str, extra: list[str]) -> str:
-    kws = _sql_list([k.lower() for k in lexicon.DEFAULT_TOPIC_KEYWORDS + extra])
-    t = f"lower({_sql_strip(f'coalesce({title}, {chr(39)}{chr(39)})')})"
-    return (f"(starts_with({t}, 'ask hn:') OR starts_with({t}, 'show hn:') OR "
-            f"list_bool_or(list_transform({kws}, lambda k: {_sql_term_hit(t, 'k')})))")
+def _scope_sql(extra: list[str]) -> str:
+    """P1 over a materialised lower-cased title ``t`` and its words ``toks``: plain words by list
+    membership, phrases by containment, and the few terms with other characters by a literal pattern each."""
+    kws = [k.lower() for k in lexicon.DEFAULT_TOPIC_KEYWORDS + extra]
+    words = [k for k in kws if re.fullmatch(r"\w+", k)]
+    tests = ["starts_with(t, 'ask hn:')", "starts_with(t, 'show hn:')", f"list_has_any(toks, {_sql_list(words)})"]
+    for k in kws:
+        if " " in k:
+            tests.append(f"contains(t, {_sql_list([k])[1:-1]})")
+        elif k not in words:
+            tests.append(_sql_term_hit("t", _sql_list([k])[1:-1]))
+    return "(" + " OR ".join(tests) + ")"
 
 
 @query("scope_filter", "P1 P2 U8 Q10 Q11", with_views(f"""
-SELECT page_id, {_scope_sql('title', EXTRA_SCOPE_TERMS)} AS in_scope,
-  {_scope_sql('title', [])} AS in_default_scope,
-  CAST(length(html) % 200 AS INTEGER) AS descendants,
-  CAST(length(html) % 200 AS INTEGER) >= 50 AND {_scope_sql('title', EXTRA_SCOPE_TERMS)} AS passes
-FROM v_page JOIN pages USING (page_id)""", ["v_page"]))
+WITH tt AS MATERIALIZED (
+  SELECT page_id, lower({_sql_strip("coalesce(title, '')")}) AS t FROM v_page),
+tk AS MATERIALIZED (SELECT page_id, t, string_split_regex(t, '{_NW}') AS toks FROM tt),
+sc AS MATERIALIZED (SELECT page_id, {_scope_sql(EXTRA_SCOPE_TERMS)} AS in_scope, {_scope_sql([])} AS in_default_scope FROM tk)
+SELECT page_id, in_scope, in_default_scope, CAST(length(html) % 200 AS INTEGER) AS descendants,
+  CAST(length(html) % 200 AS INTEGER) >= 50 AND in_scope AS passes
+FROM sc JOIN pages USING (page_id)""", ["v_page"]))
 def scope_filter(spark, sf):
     pages = T.table(spark, sf, "pages").select("page_id", (F.length("html") % 200)
                                                 .cast("int").alias("descendants"))
     v = T.v_page(spark, sf).join(pages, "page_id")
-    in_scope = X.scope_match(F.col("title"), EXTRA_SCOPE_TERMS)
-    return v.select("page_id", in_scope.alias("in_scope"),
-                    X.scope_match(F.col("title")).alias("in_default_scope"), "descendants",
-                    ((F.col("descendants") >= lexicon.MIN_COMMENTS_THRESHOLD) & in_scope)
-                    .alias("passes"))
+    passed = ingest.story_filter(v, extra_terms=EXTRA_SCOPE_TERMS).select("page_id", F.lit(True).alias("passes"))
+    return v.join(passed, "page_id", "left").select(
+        "page_id", X.scope_match(F.col("title"), EXTRA_SCOPE_TERMS).alias("in_scope"),
+        X.scope_match(F.col("title")).alias("in_default_scope"), "descendants",
+        F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
 @query("target_entities", "P3 U6 Q9", with_views(f"""

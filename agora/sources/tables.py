@@ -24,6 +24,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
 COMMENT_EPOCH = 1704067200
 COMMENT_SPACING = 600
 N_EVENT_TOPICS = 20
+# Item ids of a conversation lie in a range of its own, wider than any conversation is long.
+THREAD_STRIDE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,12 +133,12 @@ def v_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply items from ``conversations``: a story per conversation.
 
-    Item ids: story = conv_id*100, turn t = conv_id*100 + t + 1. Turns 0
+    Item ids: story = conv_id * THREAD_STRIDE, turn t = story + t + 1. Turns 0
     and 1 reply to the story, turn t >= 2 replies to turn t//2 - 1, which
     makes a small tree (depth 0..2).
     """
     cv = table(spark, sf_dir, "conversations")
-    story = F.col("conv_id") * 100
+    story = F.col("conv_id") * THREAD_STRIDE
     parent = F.when(F.col("turn") < 2, story) \
         .otherwise(story + (F.floor(F.col("turn") / 2) - 1) + 1)
     return cv.select(
@@ -243,8 +245,8 @@ SELECT p.*, array_to_string(e.terms, ',') AS target_terms
 FROM v_post_title p JOIN ({sql_target_entities('title', 'post_id', 'v_post_title')}) e
   ON e.k = p.post_id""",
         "v_thread": f"""
-SELECT conv_id * 100 + turn + 1 AS id, conv_id AS story_id, turn,
-  CAST(CASE WHEN turn < 2 THEN conv_id * 100 ELSE conv_id * 100 + (turn // 2 - 1) + 1 END AS BIGINT) AS parent,
+SELECT conv_id * {THREAD_STRIDE} + turn + 1 AS id, conv_id AS story_id, turn,
+  CAST(CASE WHEN turn < 2 THEN conv_id * {THREAD_STRIDE} ELSE conv_id * {THREAD_STRIDE} + (turn // 2 - 1) + 1 END AS BIGINT) AS parent,
   role AS "by", text, {COMMENT_EPOCH} + conv_id * 3600 + turn * 60 AS time,
   CAST(length(text) % 50 AS INTEGER) AS score
 FROM conversations""",

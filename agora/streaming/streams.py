@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from agora.functions.text import on_target, split_terms
+from agora.operators import rollup
 from agora.session import ensure_checkpoint_dir
 
 
@@ -36,11 +37,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str,
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    if folder:
-        return reader.parquet(table)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    files = spark.read.format("binaryFile").load(table).select("path")  # names only; contents are not read
+    if files.where(~F.col("path").endswith(f"/{name}.parquet")).isEmpty():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(table)
 
 
 def _workdir(spark: SparkSession, name: str, work: str | None = None) -> str:
@@ -97,10 +97,9 @@ def daily_partials(classified: DataFrame, watermark: str | None = None) -> DataF
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
     return (rows.groupBy(F.window("event_time", "1 day").alias("w"), "topic_id", "stance")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("toxicity").alias("tox_sum"),
-                 F.count("toxicity").alias("tox_n"))
+            .agg(*rollup.partials())
             .select("topic_id", F.to_date(F.col("w.start")).alias("date"), "stance",
-                    "cnt", "tox_sum", "tox_n"))
+                    "cnt", "tox_units", "tox_n"))
 
 
 def finish_daily(partials: DataFrame) -> DataFrame:
@@ -110,15 +109,7 @@ def finish_daily(partials: DataFrame) -> DataFrame:
 
 def finish_rollup(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Stage two of a two-stage rollup over streamed partials, per ``keys``."""
-    from agora.operators.rollup import STANCE_COLS
-    p = partials.withColumn("avg_tox", F.try_divide(F.col("tox_sum"), F.col("tox_n")))
-    aggs = [F.sum(F.when(F.col("stance") == s, F.col("cnt")).otherwise(F.lit(0)))
-            .cast("bigint").alias(c) for s, c in STANCE_COLS.items()]
-    aggs += [F.sum("cnt").cast("bigint").alias("total_comments"),
-             F.try_divide(F.sum(F.col("avg_tox") * F.col("cnt")),
-                          F.sum(F.when(F.col("avg_tox").isNotNull(), F.col("cnt"))))
-             .alias("avg_toxicity")]
-    return p.groupBy(*keys).agg(*aggs)
+    return rollup.combine(partials, keys)
 
 
 def dedup_stream(items: DataFrame, key: list[str], event_time: str,
@@ -151,9 +142,8 @@ def windowed_partials(classified: DataFrame, window: str = "6 hours",
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
     return (rows.groupBy(F.window("event_time", window).alias("w"), "topic_id", "stance")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.sum("toxicity").alias("tox_sum"),
-                 F.count("toxicity").alias("tox_n"))
-            .select("topic_id", F.col("w.start").alias("bucket_start"), "stance", "cnt", "tox_sum", "tox_n"))
+            .agg(*rollup.partials())
+            .select("topic_id", F.col("w.start").alias("bucket_start"), "stance", "cnt", "tox_units", "tox_n"))
 
 
 def stance_window_partials(classified: DataFrame, window: str = "1 day",
@@ -163,9 +153,9 @@ def stance_window_partials(classified: DataFrame, window: str = "1 day",
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
     return (rows.groupBy(F.window("event_time", window).alias("w"), "stance")
-            .agg(F.count(F.lit(1)).alias("n_comments"), F.sum("toxicity").alias("tox_sum"),
-                 F.count("toxicity").alias("n_scored"))
-            .select(F.col("w.start").alias("bucket_start"), "stance", "n_comments", "n_scored", "tox_sum"))
+            .agg(*rollup.partials())
+            .select(F.col("w.start").alias("bucket_start"), "stance", F.col("cnt").alias("n_comments"),
+                    F.col("tox_n").alias("n_scored"), "tox_units"))
 
 
 def run_capped(stream: DataFrame, name: str, key: str, order: list[str], cap: int,

@@ -2,6 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from agora.operators import rollup
 from agora.streaming import streams as S
 
 
@@ -27,7 +28,7 @@ def test_partials_combine_to_weighted_mean(spark):
             (1, 1704067200, "OPPOSE", 0.8)]
     df = spark.createDataFrame(rows, "topic_id long, created_utc long, stance string, toxicity double")
     partial = df.groupBy("topic_id", "stance").agg(
-        F.count("*").alias("cnt"), F.sum("toxicity").alias("tox_sum"),
+        F.count("*").alias("cnt"), F.sum(rollup.units(F.col("toxicity"))).alias("tox_units"),
         F.count("toxicity").alias("tox_n"))
     partial = partial.withColumn("date", F.lit("2024-01-01").cast("date"))
     r = S.finish_daily(partial).first()

@@ -194,14 +194,15 @@ def dedup_latest(rows: DataFrame, keys=("platform", "external_id"),
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str | list[str],
-           refresh: list[str]) -> DataFrame:
+           refresh: list[str], newer: str | None = None) -> DataFrame:
     """Keyed merge of an incoming batch into a table.
 
     ``key`` is a column or several, such as (platform, external_id). New keys
     are inserted whole; for keys already present only the ``refresh`` columns
     take the incoming value (Q15: e.g. a comment body is never refreshed);
     existing rows without a match are kept. Incoming duplicates must be
-    removed first (dedup_latest).
+    removed first (dedup_latest). With ``newer`` a row that is older by that
+    column than the stored one refreshes nothing, and the column keeps the later value.
     """
     keys = [key] if isinstance(key, str) else list(key)
     cols = existing.columns
@@ -212,9 +213,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str | list[str],
         same = same & (F.col("e_" + k) == F.col("i_" + k))
     j = e.join(i, same, "full_outer")
     out = []
+    stale = F.lit(False)
+    if newer is not None:
+        stale = F.coalesce(F.col("e_" + newer) > F.col("i_" + newer), F.lit(False))
+        refresh = [*refresh, newer]
     for c in cols:
         if c in refresh:
-            out.append(F.coalesce(F.col("i_" + c), F.col("e_" + c)).alias(c))
+            out.append(F.when(stale, F.col("e_" + c)).otherwise(F.coalesce(F.col("i_" + c), F.col("e_" + c))).alias(c))
         else:
             out.append(F.when(F.col("_e"), F.col("e_" + c)).otherwise(F.col("i_" + c)).alias(c))
     status = (F.when(F.col("_e").isNull(), "inserted")

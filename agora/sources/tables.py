@@ -215,7 +215,7 @@ def oracle_views() -> dict[str, str]:
     return {
         "v_classified": f"""
 SELECT event_id AS comment_id, user_id % {N_EVENT_TOPICS} AS topic_id, user_id AS post_id,
-  CAST(epoch_ms(ts) // 1000 AS BIGINT) AS created_utc,
+  CAST(epoch_us(ts) // 1000000 AS BIGINT) AS created_utc,
   {_sql_case('event_type', EVENT_STANCE)} AS stance,
   {sentiments}[event_id % 3 + 1] AS sentiment,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE least(value / 500.0, CAST(1.0 AS DOUBLE)) END AS toxicity,

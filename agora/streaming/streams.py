@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the polled jobs.
+"""Structured Streaming versions of the polled jobs (T1-T7; caps over cycles: caps.py).
 
 The original service polls every N minutes and recomputes; here new item
 files arrive in a directory and a streaming query processes them
@@ -90,8 +90,8 @@ def daily_partials(classified: DataFrame, watermark: str | None = None) -> DataF
     Per (topic, UTC day, stance): row count, toxicity sum and non-null
     count - sums that combine exactly into the two-stage weighted mean.
     Without a ``watermark`` no row is late and the state keeps every day. With
-    one, rows later than it are dropped by the stream; ``late_rows`` finds them
-    for a side table (T6).
+    one, rows of days that ended before it are dropped by the stream;
+    ``run_daily_with_late_rows`` keeps them in a side table (T6).
     """
     rows = classified.withColumn("event_time", F.timestamp_seconds(F.col("created_utc")))
     if watermark is not None:
@@ -127,10 +127,56 @@ def gate_stream(comments: DataFrame, posts: DataFrame) -> DataFrame:
                     on_target(F.col("body"), terms).alias("on_target"))
 
 
-def late_rows(batch: DataFrame, newest: int, watermark_seconds: int) -> DataFrame:
-    """Rows of a micro-batch that a stream with this watermark drops, given the newest event
-    time seen before it: the side table from which the batch rollup repairs its days."""
-    return batch.where(F.col("created_utc") < F.lit(newest - watermark_seconds))
+def day_is_closed(created_utc, watermark: int):
+    """Whether the day of a comment ended before the watermark (epoch seconds): a daily rollup drops such a row."""
+    return (F.floor(created_utc / 86400) + 1) * 86400 <= F.lit(watermark)
+
+
+def run_daily_with_late_rows(classified: DataFrame, name: str, delay_seconds: int,
+                             work: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """T3 and T6 in one query: the daily partials, and the rows that the watermark drops from them.
+
+    The sink of every micro-batch gets both the changed partials and the
+    batch's own rows (one source feeds both branches). The watermark in force
+    is the newest time of all earlier batches less the delay; a row of a day that
+    ended before it is late and goes to the side table. All three outputs are
+    one folder per batch, which a retry overwrites.
+    """
+    spark = classified.sparkSession
+    work = _workdir(spark, name, work)
+    parts = daily_partials(classified, f"{delay_seconds} seconds").select(
+        F.struct("topic_id", "date", "stance", "cnt", "tox_units", "tox_n").alias("part"),
+        F.lit(None).cast(classified.select(F.struct("*").alias("r")).schema["r"].dataType).alias("row"))
+    raw = classified.select(F.lit(None).cast(parts.schema["part"].dataType).alias("part"), F.struct("*").alias("row"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        rows = batch.where(F.col("row").isNotNull()).select("row.*")
+        changed = batch.where(F.col("part").isNotNull()).select("part.*")
+        changed.write.mode("overwrite").parquet(f"{work}/out/batch_id={batch_id}")
+        rows.agg(F.max("created_utc").alias("newest")).write.mode("overwrite").parquet(f"{work}/seen/batch_id={batch_id}")
+        newest = (spark.read.parquet(f"{work}/seen").where(F.col("batch_id") < batch_id)
+                  .agg(F.max("newest")).first()[0])  # one number
+        late = rows.where(F.lit(False) if newest is None else day_is_closed(F.col("created_utc"), newest - delay_seconds))
+        late.write.mode("overwrite").parquet(f"{work}/late/batch_id={batch_id}")
+        batch.unpersist()
+
+    q = (parts.unionByName(raw).writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    keys = ["topic_id", "date", "stance"]
+    latest = spark.read.parquet(f"{work}/out").groupBy(*keys).agg(
+        F.max_by(F.struct("cnt", "tox_units", "tox_n"), "batch_id").alias("r"))
+    return latest.select(*keys, "r.*"), spark.read.parquet(f"{work}/late").drop("batch_id")
+
+
+def repair_days(partials: DataFrame, late: DataFrame, history: DataFrame) -> DataFrame:
+    """The days that late rows touched, counted again from the stored comments; other days stay as streamed."""
+    date = rollup.comment_date(F.col("created_utc")).alias("date")
+    touched = late.select("topic_id", date).distinct()
+    again = (history.select("topic_id", date, "stance", "toxicity").join(touched, ["topic_id", "date"], "left_semi")
+             .groupBy("topic_id", "date", "stance").agg(*rollup.partials()))
+    return partials.join(touched, ["topic_id", "date"], "left_anti").unionByName(again)
 
 
 def windowed_partials(classified: DataFrame, window: str = "6 hours",
@@ -160,7 +206,7 @@ def stance_window_partials(classified: DataFrame, window: str = "1 day",
 
 def run_capped(stream: DataFrame, name: str, key: str, order: list[str], cap: int,
                work: str | None = None) -> DataFrame:
-    """Running per-key caps across micro-batches, kept in Spark's own state.
+    """One running cap per key across micro-batches, kept in Spark's own state.
 
     Each key's state is the number of its rows seen; a micro-batch's rows of a
     key are taken in ``order``, and those within ``cap`` go out with their

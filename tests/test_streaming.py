@@ -70,6 +70,38 @@ def test_missing_table_is_an_error(spark, tmp_path):
         S.stream_table(spark, str(tmp_path), "events")
 
 
-def test_late_rows(spark):
-    df = spark.createDataFrame([(100,), (1000,)], "created_utc long")
-    assert [r.created_utc for r in S.late_rows(df, 1200, 600).collect()] == [100]
+LATE_SCHEMA = "topic_id long, comment_id long, created_utc long, stance string, toxicity double"
+
+
+def test_late_rows_go_to_the_side_and_their_days_are_repaired(spark, tmp_path):
+    from agora.operators import rollup
+    day, base = 86400, 1704067200
+    row = lambda i, d, s, t: (i % 2, i, base + d * day + i, s, t)
+    arrivals = [
+        [row(1, 0, "SUPPORT", 0.2), row(2, 0, "OPPOSE", None), row(3, 1, "MIXED", 0.4)],
+        [row(4, 5, "NEUTRAL", 0.5), row(5, 0, "SUPPORT", 0.9)],    # not late yet: nothing newer came before
+        [row(6, 0, "SUPPORT", 0.7), row(7, 4, "OPPOSE", 0.1), row(8, 3, "MIXED", 0.3)],  # two days are closed
+        [row(9, 1, "OPPOSE", 0.6)],
+    ]
+    everything = spark.createDataFrame([r for a in arrivals for r in a], LATE_SCHEMA)
+    for rows in arrivals:
+        spark.createDataFrame(rows, LATE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(LATE_SCHEMA).parquet(f"{tmp_path}/in")
+        partials, late = S.run_daily_with_late_rows(stream, "t", day, str(tmp_path / "work"))
+    assert sorted(r.comment_id for r in late.collect()) == [6, 8, 9]
+    want = {tuple(r) for r in rollup.daily_stats(everything).collect()}
+    assert {tuple(r) for r in S.finish_daily(partials).collect()} != want
+    repaired = S.repair_days(partials, late, everything)
+    assert {tuple(r) for r in S.finish_daily(repaired).collect()} == want
+    touched = {(r.topic_id, str(r.date)) for r in late.select("topic_id", rollup.comment_date(F.col("created_utc")).alias("date")).collect()}
+    kept = {tuple(r) for r in partials.collect() if (r.topic_id, str(r.date)) not in touched}
+    assert kept <= {tuple(r) for r in repaired.collect()}
+
+
+def test_toxicity_sums_do_not_depend_on_the_order_of_rows(spark):
+    from agora.operators import rollup
+    rows = [(1, 1704067200, "SUPPORT" if i % 3 else "OPPOSE", (i * 7919 % 50000) / 50000) for i in range(999)]
+    schema = "topic_id long, created_utc long, stance string, toxicity double"
+    a = rollup.daily_stats(spark.createDataFrame(rows, schema).repartition(7)).collect()
+    b = rollup.daily_stats(spark.createDataFrame(rows[::-1], schema).coalesce(1)).collect()
+    assert a == b

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from agora.session import ensure_checkpoint_dir
 
@@ -50,6 +50,15 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of an Arrow batch that leaves the JVM for a task that carries whole rows along.
+ROW_BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ROW_BATCH`` bytes from here on (one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ROW_BATCH))
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``target`` bytes of ``column`` each (one row at least)."""
     sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
@@ -77,6 +86,26 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]],
+             fields: list[StructField]) -> DataFrame:
+    """``row`` (all columns of ``df``) beside the columns that ``make()``'s function finds for the texts.
+
+    The text crosses to Python once, inside the row, in batches bounded by bytes; a null text is ''.
+    """
+    prepare(df.sparkSession)
+    bounded_batches(df.sparkSession)
+    packed = df.select(F.struct("*").alias("row"))
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            row = batch.column("row")
+            texts = strings(row.field("text").cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([row, *f(texts)], names=["row", *names])
+    return packed.mapInArrow(run, StructType([packed.schema["row"], *fields]))
+
+
 #: Rows of a small side up to which it is broadcast; it is counted first.
 BROADCAST_ROWS = 50_000
 

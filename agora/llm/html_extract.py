@@ -48,6 +48,8 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense a
                   "sponsored subscribe toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu "
                   "menubar toolbar".split())
+#: Noise words of reader comments: such an element is never spared for its size.
+TALK = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
 GOOD = frozenset("article content entry main post story text".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)",
@@ -61,36 +63,75 @@ _COMMA = re.compile("[,،、，;]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "noise", "named", "talk", "score", "chars", "linked", "size")
 
-    def __init__(self, tag: str, parent, noise: bool, bonus: float = 0.0):
+    def __init__(self, tag: str, parent, noise: bool, bonus: float = 0.0, named: bool = False, talk: bool = False):
         self.tag, self.parent, self.noise, self.score = tag, parent, noise, bonus
+        self.named, self.talk = named, talk  # noise by its class or id (or a form); by a word of reader comments
         self.children: list = []
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.size = 0
         if parent is not None:
             parent.children.append(self)
 
 
-def judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
-    """(no article text in here, starting points) of a container."""
+def judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float, bool, bool]:
+    """Of a container: surely no article text in here, starting points, noise by name, and by one of comments."""
     bonus = {"article": 25.0, "main": 10.0, "section": 1.0}.get(tag, 0.0)
+    if tag == "form":
+        return False, 0.0, True, False
     if tag in NOT_ARTICLE or tag == "header" and not inside_article:
-        return True, 0.0
+        return True, 0.0, False, False
     if tag in KEEP or not attributes:
-        return False, bonus
+        return False, bonus, False, False
     words: set[str] = set()
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
             words.update(_TOKEN.findall(_CAMEL.sub(" ", value).lower()))
         elif name == "role" and value.lower() in ROLES or name == "hidden" and tag not in LEAF:
-            return True, 0.0
+            return True, 0.0, False, False
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and _INVISIBLE.search(value):
-            return True, 0.0
+            return True, 0.0, False, False
     noise = words & NOISE
     if inside_article or tag == "article":  # an article's own heading block is part of it
         noise -= {"header", "banner", "hidden"}
-    return bool(noise), bonus + 5.0 * bool(words & GOOD)
+        if len(words) > 1 and not noise - {"discussion"}:  # a section on the discussion of something
+            noise -= {"discussion"}
+    return False, bonus + 5.0 * bool(words & GOOD), bool(noise), bool(noise & TALK)
+
+
+def spare(root: Node) -> None:
+    """Settle which named containers are noise: not those that hold ``main``, an article with a quarter of the
+    page's text, or half of the text themselves (a paragraph at least), unless they are reader comments; all, if nothing is left."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+    holds: dict[int, tuple[bool, int]] = {}  # main inside; size of the largest article inside
+    for node in reversed(order):
+        main, largest = False, 0
+        for child in node.children:
+            if not isinstance(child, Node):
+                node.size += len(child[0])
+            elif not child.noise:
+                node.size += child.size
+                inner = holds[id(child)]
+                main, largest = main or inner[0], max(largest, inner[1])
+        holds[id(node)] = (main or node.tag == "main", max(largest, node.size if node.tag == "article" else 0))
+    total = root.size
+    for node in order:
+        if node.named and not node.talk:
+            main, largest = holds[id(node)]
+            node.named = not (main or 4 * largest >= total or 2 * node.size >= max(total, 100))
+    left, todo = 0, [root]
+    while todo and not left:
+        node = todo.pop()
+        left += sum(not isinstance(c, Node) for c in node.children)
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise and not c.named)
+    if left:
+        for node in order:
+            node.noise = node.noise or node.named
 
 
 def parse(page: str) -> Node:
@@ -163,11 +204,12 @@ def parse(page: str) -> Node:
         stack.append((tag, node))
         links += tag == "a"
         if tag in BLOCK and tag not in ("html", "head"):
-            noise, bonus = judge(tag, mark[3], articles > 0)
-            if tag not in LEAF or noise:
-                node = Node(tag, node, node.noise or noise, bonus)
+            noise, bonus, named, talk = judge(tag, mark[3], articles > 0)
+            if tag not in LEAF or noise or named:
+                node = Node(tag, node, node.noise or noise, bonus, named, talk)
         articles += tag in ("article", "main")
     flush()
+    spare(root)
     return root
 
 
@@ -206,6 +248,11 @@ def best_containers(root: Node) -> list[Node]:
     if not scored:
         return []
     top, _, best = max(scored, key=lambda x: x[:2])
+    whole = best
+    while whole is not None and whole.tag != "article":
+        whole = whole.parent
+    if whole is not None:  # an article is read whole, its short sections too
+        best = whole
     if best.parent is None:
         return [best]
     value = {id(n): s for s, _, n in scored}

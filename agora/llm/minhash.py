@@ -39,9 +39,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField
 
-from agora.llm.common import byte_slices, id_text, map_batches, prepare, strings, with_blocks
+from agora.llm.common import byte_slices, id_text, map_batches, map_rows, prepare, strings, with_blocks
 from agora.llm.components import components
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -367,21 +367,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def representatives(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of ``documents``, all columns, of each class of near-duplicates.
 
-    Rows of the same id and words count as one; of texts without any id in
-    their class, one row stays.
+    Rows of the same id and words count as one, that of the smallest text; of
+    texts without any id in their class, one row stays.
     """
     kept = near_duplicates(documents, s=s).where("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("words").alias("kept_words"))
-    packed = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
     def make():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [digest(words_of(t)) for t in strings(batch.column("text"))]
-            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())],
-                                              names=["row", "doc_id", "words"])
+        def run(texts: list[str]) -> list[pa.Array]:
+            return [pa.array([digest(words_of(t)) for t in texts], pa.binary())]
         return run
-    schema = StructType([packed.schema["row"], packed.schema["doc_id"], StructField("words", BinaryType())])
-    rows = map_batches(packed, make, schema)
+    rows = map_rows(documents, make, [StructField("words", BinaryType())]).select(
+        "*", F.col("row.doc_id").cast("long").alias("doc_id"))
     same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["words"] == kept["kept_words"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "words"]).select("row.*")
+    first = F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row")))
+    return rows.join(kept, same, "left_semi").groupBy("doc_id", "words").agg(first.alias("row")).select("row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import WordCache, id_text, map_batches, prepare, strings
+from agora.llm.common import WordCache, bounded_batches, id_text, map_batches, prepare, strings
 
 SCHEMA = "doc_id long, score double"
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -56,12 +56,15 @@ def part_hashes(part: str) -> bytes:
                     for w in _WORD.findall(part) for x in (w, shape(w)))
 
 
-_PARTS = WordCache(part_hashes, 200_000)
+def part_cache() -> WordCache:
+    """One a task: a worker that goes on with other work does not keep it."""
+    return WordCache(part_hashes, 200_000)
 
 
-def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, bits: int, parts: WordCache | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(columns, values) of a text; column 0 is the bias."""
-    raw = b"".join(map(_PARTS.__getitem__, text.replace("\n", " ").split(" ")))
+    parts = part_cache() if parts is None else parts
+    raw = b"".join(map(parts.__getitem__, text.replace("\n", " ").split(" ")))
     words = np.frombuffer(raw, "<u4").reshape(-1, 2)
     if not len(words):
         return np.zeros(1, np.int64), np.ones(1)
@@ -122,8 +125,9 @@ def fit(documents: DataFrame, labels: DataFrame, admitted: Column, s: Settings =
             .select("text", "label", F.xxhash64("doc_id", F.lit(1)).alias("at")))
 
     def featurise(batches):
+        parts = part_cache()
         for batch in batches:
-            found = [features(t, s.bits) for t in strings(batch.column("text"))]
+            found = [features(t, s.bits, parts) for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), batch.column("at"),
                  pa.array([c.astype("<u4").tobytes() for c, _ in found], pa.binary()),
@@ -155,30 +159,32 @@ def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
     bits = (len(weights) - 1).bit_length() - 1
 
     def make():
-        w = model.value
+        w, parts = model.value, part_cache()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores(batch.column("text"), w, bits), pa.float64())],
+                [batch.column("doc_id"), pa.array(scores(batch.column("text"), w, bits, parts), pa.float64())],
                 names=["doc_id", "score"])
         return run
     return map_batches(id_text(documents, id_col, text_col), make, SCHEMA)
 
 
-def scores(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
-    sums = [float(weights[c] @ v) for c, v in (features(t, bits) for t in strings(texts))]
+def scores(texts: pa.Array, weights: np.ndarray, bits: int, parts: WordCache | None = None) -> np.ndarray:
+    parts = part_cache() if parts is None else parts
+    sums = [float(weights[c] @ v) for c, v in (features(t, bits, parts) for t in strings(texts))]
     return 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, float), -35.0, 35.0)))
 
 
 def keep(documents: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
     """The rows of ``documents``, all columns, whose text scores ``least`` or more."""
+    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
 
     def make():
-        w = model.value
+        w, parts = model.value, part_cache()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array(scores(batch.column("text"), w, bits) >= least))
+            return batch.filter(pa.array(scores(batch.column("text"), w, bits, parts) >= least))
         return run
     return map_batches(documents, make, documents.schema)

@@ -43,9 +43,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from agora.llm.common import map_batches, prepare, strings
+from agora.llm.common import map_batches, map_rows, prepare, strings
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = "#*$%&|<>"
@@ -293,18 +293,11 @@ def keep(documents: DataFrame, s: Settings = Settings(), min_words: int = 50, ma
     counts are taken twice, once for the estimates and once next to the row."""
     prepare(documents.sparkSession)
     estimates = fit(document_stats(documents).checkpoint(), s, min_words, max_repeat_pct)
-    packed = documents.select(F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"),
-                              F.col("source").cast("string").alias("source"),
-                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
     def make():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns = list(zip(*[text_stats(t) for t in strings(batch.column("text"))]))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("row", "lang", "source")] + [pa.array(c, pa.int64()) for c in columns],
-                names=["row", "lang", "source", *STATS])
+        def run(texts: list[str]) -> list[pa.Array]:
+            return [pa.array(c, pa.int64()) for c in zip(*[text_stats(t) for t in texts])] or [pa.array([], pa.int64())] * len(STATS)
         return run
-    schema = StructType([packed.schema["row"], packed.schema["lang"], packed.schema["source"],
-                         *[StructField(c, LongType()) for c in STATS]])
-    judged = with_verdict(map_batches(packed, make, schema), estimates, s, min_words, max_repeat_pct)
+    counted = map_rows(documents, make, [StructField(c, LongType()) for c in STATS]).select(
+        "*", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"))
+    judged = with_verdict(counted, estimates, s, min_words, max_repeat_pct)
     return judged.where("kept").select("row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -50,6 +52,15 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give what this worker has freed back to the system; workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 #: Bytes of an Arrow batch that leaves the JVM for a task that carries whole rows along.
 ROW_BATCH = 4 << 20
 
@@ -103,6 +114,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Arr
             row = batch.column("row")
             texts = strings(row.field("text").cast(pa.string()))
             yield pa.RecordBatch.from_arrays([row, *f(texts)], names=["row", *names])
+        del f
+        release()
     return packed.mapInArrow(run, StructType([packed.schema["row"], *fields]))
 
 

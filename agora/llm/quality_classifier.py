@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from agora.llm.common import WordCache, bounded_batches, id_text, map_batches, prepare, strings
+from agora.llm.common import WordCache, id_text, map_batches, map_rows, prepare, release, strings
 
 SCHEMA = "doc_id long, score double"
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -133,6 +134,8 @@ def fit(documents: DataFrame, labels: DataFrame, admitted: Column, s: Settings =
                  pa.array([c.astype("<u4").tobytes() for c, _ in found], pa.binary()),
                  pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
                 names=["label", "at", "columns", "vals"])
+        del parts
+        release()
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("at", "ascending"), ("label", "ascending")])
@@ -163,28 +166,28 @@ def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores(batch.column("text"), w, bits, parts), pa.float64())],
+                [batch.column("doc_id"), pa.array(scores(strings(batch.column("text")), w, bits, parts), pa.float64())],
                 names=["doc_id", "score"])
         return run
     return map_batches(id_text(documents, id_col, text_col), make, SCHEMA)
 
 
-def scores(texts: pa.Array, weights: np.ndarray, bits: int, parts: WordCache | None = None) -> np.ndarray:
+def scores(texts: list[str], weights: np.ndarray, bits: int, parts: WordCache | None = None) -> np.ndarray:
     parts = part_cache() if parts is None else parts
-    sums = [float(weights[c] @ v) for c, v in (features(t, bits, parts) for t in strings(texts))]
+    sums = [float(weights[c] @ v) for c, v in (features(t, bits, parts) for t in texts)]
     return 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, float), -35.0, 35.0)))
 
 
 def keep(documents: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
     """The rows of ``documents``, all columns, whose text scores ``least`` or more."""
-    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
 
     def make():
         w, parts = model.value, part_cache()
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array(scores(batch.column("text"), w, bits, parts) >= least))
+        def run(texts: list[str]) -> list[pa.Array]:
+            return [pa.array(scores(texts, w, bits, parts), pa.float64())]
         return run
-    return map_batches(documents, make, documents.schema)
+    scored = map_rows(documents, make, [StructField("score", DoubleType())])
+    return scored.where(F.col("score") >= least).select("row.*")

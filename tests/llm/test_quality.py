@@ -143,7 +143,7 @@ def test_sparse_scoring_is_the_dense_product():
     w = rng.normal(size=(1 << 10) + 1)
     import pyarrow as pa
     texts = [t or "" for _, t, *_ in odd_rows()]
-    for text, score in zip(texts, quality_classifier.scores(pa.array(texts), w, 10)):
+    for text, score in zip(texts, quality_classifier.scores(texts, w, 10)):
         dense = np.zeros(len(w))
         columns, values = quality_classifier.features(text, 10)
         dense[columns] = values

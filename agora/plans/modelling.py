@@ -285,7 +285,7 @@ def keywords_tfidf_all(spark, sf):
     return K.tfidf_keywords(_docs(spark, sf), "topic_id")
 
 
-@query("keywords_by_topic_lang", "M8 A21 dispatch (< 3 docs -> term frequency)")
+@query("keywords_by_topic_lang", "M8 A21 dispatch (< 3 docs -> term frequency), 500 features")
 def keywords_by_topic_lang(spark, sf):
     d = _docs(spark, sf).join(T.v_comment(spark, sf).select(
         F.col("comment_id").alias("doc_id"), "lang"), "doc_id")

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from agora.functions.scalar import half_up
 from agora.functions.text import is_blank, target_entities
-from agora.operators import cluster as CL
 from agora.operators.rollup import mean_of
 from agora.plans.analytics import _DAILY_SQL, _SIX_HOURS_SQL, _STANCE_DAYS_SQL
-from agora.plans.clustering import _SEEDS_SQL
 from agora.plans.registry import query
 from agora.plans.textops import _split_sql, _sql_term_hit
 from agora.sources import tables as T
@@ -219,26 +217,3 @@ def stream_upsert_stories(spark, sf):
     _arriving(spark, work, [once, again], lambda stream: V.upsert_stream(
         stream, tables, "stories", ["score", "target_terms"], "last_processed_utc", f"{work}/checkpoint"))
     return tables.read("stories")
-
-
-@query("clusters_replaced", "S10 Q12, clusters and assignments in one commit", with_views(f"""
-WITH {_SEEDS_SQL}
-SELECT topic_id, comment_id, CASE WHEN topic_id = 2 OR stance = 'SUPPORT' THEN stance END AS stance,
-  CASE WHEN topic_id = 2 OR stance = 'SUPPORT' THEN cluster END AS cluster,
-  CASE WHEN topic_id = 2 OR stance = 'SUPPORT' THEN CAST(size AS BIGINT) END AS size
-FROM asg JOIN upd USING (topic_id, stance, cluster)""", ["v_vector"]))
-def clusters_replaced(spark, sf):
-    """A second run over two of the three topics finds clusters of one stance only: the other stances' clusters go,
-    and their members are in none."""
-    work = S._workdir(spark, "clusters")
-    pts = CL.prepare(T.v_vector(spark, sf))
-    assigned = CL.assign(pts, CL.seed_centroids(pts)).select("topic_id", "comment_id", "stance", "cluster")
-    clusters = assigned.groupBy("topic_id", "stance", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    tables = V.Tables(spark, f"{work}/store", {"clusters": clusters.schema, "assignments": assigned.schema},
-                      {"clusters": ["topic_id"], "assignments": ["topic_id"]}, buckets=16)
-    topics = assigned.select("topic_id")
-    V.replace_clusters(tables, 0, topics, clusters, assigned)
-    support = F.col("stance") == "SUPPORT"
-    V.replace_clusters(tables, 1, topics.where(F.col("topic_id") < 2), clusters.where(support), assigned.where(support))
-    return tables.read("assignments").join(tables.read("clusters"), ["topic_id", "stance", "cluster"], "left").select(
-        "topic_id", "comment_id", "stance", "cluster", "size")

@@ -1,19 +1,12 @@
 """Per-(topic, stance) clustering and cluster reports (M6, M7, M9, M10,
 W2, W3, J3, J8, J9, A6, A7, A10, A23, E3, E6, E7).
 
-Grouped Lloyd k-means: every bucket is clustered in the same job. Each
-iteration joins the points with their bucket's centroids (at most k per
-bucket, packed into one array row per bucket - the join fan-out is one row
-per point, never all pairs), picks the nearest centroid with an array
-expression, and recomputes centroids with Spark ML's Summarizer (a partial
-aggregate, so a huge bucket is reduced map-side). The centroid table is
-small and is checkpointed to the session's checkpoint directory each
-iteration to cut lineage; points are persisted once.
-
-Seeding is deterministic: farthest-first traversal per bucket by default
-(spread like k-means++, but greedy instead of sampled), or the k lowest-id
-distinct vectors (used by the one-step queries that have an SQL oracle).
-Assignments are reproducible but differ from a seeded k-means++.
+The converged job (``kmeans``) runs on blocks of points with sampled seeds and
+bounds per point (``operators.kmeans``). One step in plain expressions
+(``assign``, ``update``) joins each point with its bucket's centroids, packed
+into one row (fan-out 1, never all pairs), and averages by Spark ML's
+Summarizer (a partial aggregate). The k lowest-id distinct vectors or a greedy
+farthest-first traversal can stand in for the sampled seeds.
 """
 
 from __future__ import annotations
@@ -25,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora import lexicon
+from agora.operators import kmeans as KM
 from agora.session import ensure_checkpoint_dir
 
 BUCKET = ["topic_id", "stance"]
@@ -135,34 +129,28 @@ def update(assigned: DataFrame) -> DataFrame:
 
 def kmeans(points: DataFrame, k: int = lexicon.N_CLUSTERS_PER_STANCE, max_iter: int = 20,
            tol: float = 1e-9, normalize: bool = False,
-           seeding: str = "farthest") -> tuple[DataFrame, DataFrame]:
+           seeding: str = "sampled") -> tuple[DataFrame, DataFrame]:
     """M6: grouped Lloyd iterations until no centroid moves more than tol.
 
-    Returns (centroids with size, assignments). ``normalize`` scales every
-    vector to unit length first (E7, cosine-style k-means).
+    Returns (centroids with size, assignments), both read from stored
+    assignments. ``normalize`` scales every vector to unit length first (E7,
+    cosine-style k-means). ``seeding``: "sampled" (k-means||), "farthest" or
+    "lowest" (ids). Steps, bounds and edge cases: see ``operators.kmeans``.
     """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    pts = prepare(points)
+    ensure_checkpoint_dir(points.sparkSession)
+    pts = KM.usable(prepare(points))
     if normalize:
         pts = pts.withColumn("vec", F.transform("vec", lambda x: F.coalesce(
             F.try_divide(x, norm(F.col("vec"))), F.lit(0.0))))
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    seeder = farthest_first_seeds if seeding == "farthest" else seed_centroids
-    cents = seeder(pts, k).checkpoint(eager=True)
-    for _ in range(max_iter):
-        upd = update(assign(pts, cents))
-        new = upd.coalesce(_small_parts(upd)).checkpoint(eager=True)
-        moved = (new.join(cents.select(*BUCKET, "cluster", F.col("vec").alias("old")),
-                          BUCKET + ["cluster"], "left")
-                 .agg(F.max(F.coalesce(sq_dist(F.col("vec"), F.col("old")), F.lit(1.0)))
-                      .alias("m")).first()["m"])
-        cents = new.select(*BUCKET, "cluster", "vec")
-        if moved is None or moved <= tol:
-            break
-    assigned = assign(pts, cents)
-    sized = update(assigned)
-    return sized, assigned.select(*BUCKET, "comment_id", "cluster")
+    packed = KM.blocks(pts)
+    if seeding == "sampled":
+        seeds = KM.sampled_seeds(packed, k)
+    else:
+        seeds = {"farthest": farthest_first_seeds, "lowest": seed_centroids}[seeding](pts, k)
+    clusters, assigned, _ = KM.lloyd(packed, seeds, max_iter, tol)
+    assigned = KM.stored(assigned)
+    packed.unpersist()
+    return clusters, assigned
 
 
 def size_gate(clusters: DataFrame, min_size: int = lexicon.MIN_CLUSTER_SIZE) -> DataFrame:

@@ -143,11 +143,38 @@ def split_terms(raw: Column) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def _boundary_regex(term: Column) -> Column:
-    left = F.when(term.rlike("^" + WORD),F.lit(f"(?:^|{NON_WORD})")).otherwise(F.lit(WORD))
-    right = F.when(term.rlike(WORD + "$"), F.lit(f"(?:{NON_WORD}|$)")).otherwise(F.lit(WORD))
-    literal = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(left, literal, right)
+def text_units(text: Column) -> Column:
+    """A text cut into its word runs and its single other characters."""
+    return F.regexp_extract_all(text, F.lit(f"{WORD}+|{NON_WORD}"), 0)
+
+
+def _is_word(unit: Column) -> Column:
+    return unit.rlike("^" + WORD)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once a row however often ``body`` names it.
+
+    An expression inside a lambda is computed anew for every element; a
+    lambda's own variable is not.
+    """
+    return F.exists(F.array(value), body)
+
+
+def _units_hit(units: Column, term: Column) -> Column:
+    """Do the units of a term follow each other somewhere among ``units``?
+
+    Word runs are whole on both sides, so a term that starts or ends with one
+    has its boundaries there. Next to another character at the term's edge a
+    word must stand, as ``\\b`` asks.
+    """
+    def at(t: Column, i: Column) -> Column:
+        left = _is_word(t[0]) | F.coalesce(_is_word(F.get(units, i - 1)), F.lit(False))
+        right = _is_word(F.element_at(t, -1)) | F.coalesce(_is_word(F.get(units, i + F.size(t))), F.lit(False))
+        return (F.slice(units, i + 1, F.size(t)) == t) & left & right
+
+    return _let(text_units(term), lambda t: F.exists(
+        F.sequence(F.lit(0), F.greatest(F.size(units) - F.size(t), F.lit(0))), lambda i: at(t, i)))
 
 
 def on_target(body: Column, terms: Column) -> Column:
@@ -155,17 +182,32 @@ def on_target(body: Column, terms: Column) -> Column:
 
     No usable terms -> True (cannot gate). Multi-word terms match as
     substrings, single words on word boundaries, case-insensitively.
+
+    A body is lowered once and first searched for the terms as plain
+    substrings. Only bodies that hold one are cut into words: terms of word
+    characters are then looked up among the words (a hash set per row), others
+    ('c++', 'node.js') compared unit by unit. No regex is built from a column,
+    and no row leaves its partition: the terms come with the comment's post,
+    so an index of terms joined to exploded tokens would shuffle every token
+    for the same answer.
     """
     cleaned = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")),
                                    py_strip), lambda t: t != "")
-    low_body = F.lower(F.coalesce(body, F.lit("")))
-
-    def hit(t: Column) -> Column:
-        lt = F.lower(t)
-        return F.when(lt.contains(" "), low_body.contains(lt)) \
-            .otherwise(F.rlike(low_body, _boundary_regex(lt)))
-
-    return (F.size(cleaned) == 0) | F.exists(cleaned, hit)
+    lowered = F.transform(cleaned, F.lower)
+
+    def hit(text: Column, found: Column) -> Column:
+        phrase = F.exists(found, lambda t: t.contains(" "))
+        words = F.filter(found, lambda t: ~t.rlike(NON_WORD))
+        mixed = F.filter(found, lambda t: t.rlike(NON_WORD) & ~t.contains(" "))
+        return (phrase
+                | ((F.size(words) > 0) & F.arrays_overlap(F.regexp_extract_all(text, F.lit(WORD + "+"), 0), words))
+                | ((F.size(mixed) > 0) & _let(text_units(text), lambda u: F.exists(
+                    mixed, lambda t: _units_hit(u, t)))))
+
+    mentioned = _let(F.lower(F.coalesce(body, F.lit(""))), lambda text: _let(
+        F.filter(lowered, lambda t: text.contains(t)),
+        lambda found: (F.size(found) > 0) & hit(text, found)))
+    return (F.size(cleaned) == 0) | mentioned
 
 
 def author_hash(author: Column) -> Column:

@@ -149,6 +149,10 @@ NEGATIVE_WORDS = [
     "worthless", "disgusting", "pathetic", "loser", "stupid", "clown",
 ]
 
+# Seeds of the learned sentiment lexicon (ours).
+POSITIVE_SEEDS = ["good", "great", "excellent", "love", "best"]
+NEGATIVE_SEEDS = ["bad", "awful", "terrible", "idiot", "scum"]
+
 
 # Spark ML's English stop words, the default list of the keyword operators (a
 # parameter; a scikit-learn user's list differs). Fixed values.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions.scalar import day_label, half_up, iso_utc, percent, round6
-from agora.operators import reports, rollup
+from agora.operators import paging, reports, rollup
 from agora.plans.registry import query
 from agora.sources import tables as T
 from agora.sources.tables import with_views
@@ -253,3 +253,13 @@ def stance_shares(spark, sf):
                                         F.count_if(F.col("stance") == "SUPPORT").alias("support"))
     return d.select(iso_utc(F.col("newest")).alias("newest_iso"), day_label(F.col("day")).alias("day_label"),
                     percent(F.col("support") / F.col("n")).alias("support_pct"), "n")
+
+
+@query("comments_deep_page", "K4, a page at three fifths of all comments, found without sorting them", with_views("""
+WITH r AS (SELECT comment_id, topic_id, score, created_utc,
+                  row_number() OVER (ORDER BY score DESC, comment_id) - 1 AS at, count(*) OVER () * 3 // 5 AS start
+           FROM v_comment)
+SELECT comment_id, topic_id, score, created_utc FROM r WHERE at >= start AND at < start + 50""", ["v_comment"]))
+def comments_deep_page(spark, sf):
+    c = T.v_comment(spark, sf).select("comment_id", "topic_id", "score", "created_utc")
+    return paging.page(c, [("score", True), ("comment_id", False)], c.count() * 3 // 5, 50, small=1000)

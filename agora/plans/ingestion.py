@@ -98,7 +98,7 @@ def thread_cycle_capped(spark, sf):
     return _capped(spark, sf, 300)
 
 
-@query("ingest_comments", "P6 P8 P9 P11 P12 S8", with_views("""
+_COMMENTS_SQL = """
 WITH RECURSIVE r(story_id, id, depth, path) AS (
   SELECT story_id, id, 0, lpad(CAST(id AS VARCHAR), 19, '0') FROM v_thread
   WHERE parent = story_id * 1048576
@@ -111,11 +111,17 @@ SELECT 'hackernews' AS platform, CAST(t.id AS VARCHAR) AS external_id, r.story_i
   t.score, t.time AS created_utc, CAST(nullif(t.parent, 0) AS VARCHAR) AS parent_comment_id,
   'https://news.ycombinator.com/item?id=' || CAST(t.id AS VARCHAR) AS permalink
 FROM r JOIN v_thread t USING (id)
-WHERE t.text IS NOT NULL AND NOT regexp_matches(t.text, '^[\\s\\p{Z}]*$')""", ["v_thread"]))
+WHERE t.text IS NOT NULL AND NOT regexp_matches(t.text, '^[\\s\\p{Z}]*$')"""
+
+
+@query("ingest_comments", "P6 P8 P9 P11 P12 S8", with_views(_COMMENTS_SQL, ["v_thread"]))
 def ingest_comments(spark, sf):
     items, roots = _thread_items(spark, sf)
-    ex = ingest.expand_threads(roots, items)
-    out = ingest.to_comments(items, ex)
+    return _comments(items, roots)
+
+
+def _comments(items, roots):
+    out = ingest.to_comments(items, ingest.expand_threads(roots, items))
     return out.select("platform", "external_id", "story_id", F.col("depth").cast("int"),
                       "body", "author_hash", "score", "created_utc", "parent_comment_id",
                       "permalink")

@@ -36,7 +36,7 @@ def query(name: str, operators: str, oracle: str | None = None):
     return deco
 
 
-MODULES = ("analytics", "clustering", "ingestion", "modelling", "streams", "textops")
+MODULES = ("analytics", "clustering", "ingestion", "learned", "modelling", "streams", "textops")
 
 
 def load_all() -> dict[str, Query]:

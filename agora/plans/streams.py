@@ -9,6 +9,7 @@ from agora.functions.scalar import half_up
 from agora.functions.text import is_blank, target_entities
 from agora.operators.rollup import mean_of
 from agora.plans.analytics import _DAILY_SQL, _SIX_HOURS_SQL, _STANCE_DAYS_SQL
+from agora.plans.ingestion import _COMMENTS_SQL, _comments, _thread_items
 from agora.plans.registry import query
 from agora.plans.textops import _split_sql, _sql_term_hit
 from agora.sources import tables as T
@@ -217,3 +218,36 @@ def stream_upsert_stories(spark, sf):
     _arriving(spark, work, [once, again], lambda stream: V.upsert_stream(
         stream, tables, "stories", ["score", "target_terms"], "last_processed_utc", f"{work}/checkpoint"))
     return tables.read("stories")
+
+
+def _item_files(spark, sf):
+    """Thread items arrive as JSON lines in three parts; the first also holds a cut-off copy of every 17th item's
+    line, and old versions (score -1) of items that
+    the last sends again."""
+    work = S._workdir(spark, "items")
+    items, roots = _thread_items(spark, sf)
+    line = F.to_json(F.struct(*items.columns))
+    old = F.to_json(F.struct(*[F.lit(-1).alias(c) if c == "score" else F.col(c) for c in items.columns]))
+    whole = [items.where(F.pmod("id", F.lit(3)) == a).select(line.alias("value")) for a in range(3)]
+    again = items.where((F.pmod("id", F.lit(3)) != 2) & (F.col("id") % 5 == 0))
+    cut = items.where(F.col("id") % 17 == 0).select(line.alias("line")).select(
+        F.expr("substring(line, 1, length(line) - 1)").alias("value"))
+    parts = [whole[0].unionByName(cut).unionByName(again.select(old.alias("value"))), whole[1],
+             whole[2].unionByName(again.select(line.alias("value")))]
+    for part in parts:
+        part.write.mode("append").text(f"{work}/in")
+        out = S.run_items(S.item_stream(spark, f"{work}/in", f"{work}/archive"), "items", f"{work}/run")
+    return out, roots
+
+
+@query("stream_items", "T1 S1 P6 P8 P9 P11, JSON lines", with_views(_COMMENTS_SQL, ["v_thread"]))
+def stream_items(spark, sf):
+    (items, _), roots = _item_files(spark, sf)
+    return _comments(S.latest_items(items), roots)
+
+
+@query("stream_broken_lines", "T1 S1, side table of unreadable lines", with_views("""
+SELECT id, 'unreadable' AS reason FROM v_thread WHERE id % 17 = 0""", ["v_thread"]))
+def stream_broken_lines(spark, sf):
+    (_, broken), _ = _item_files(spark, sf)
+    return broken.select(F.regexp_extract("line", r'"id":(\d+)', 1).cast("long").alias("id"), "reason")

@@ -17,10 +17,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from agora.functions.text import on_target, split_terms
 from agora.operators import rollup
+from agora.operators.common import last_per_key
+from agora.operators.ingest import ITEM_SCHEMA
 from agora.session import ensure_checkpoint_dir
 
 
@@ -112,6 +114,63 @@ def finish_rollup(partials: DataFrame, keys: list[str]) -> DataFrame:
     return rollup.combine(partials, keys)
 
 
+BROKEN = "_broken"
+
+
+def item_stream(spark: SparkSession, folder: str, archive: str | None = None,
+                max_files: int | None = None) -> DataFrame:
+    """Item dumps (JSON lines) that arrive in ``folder``, read with the declared schema.
+
+    A line that is not JSON, or whose fields have other types, comes with its
+    text in ``_broken``. With ``archive`` Spark moves a file there once a later
+    batch has committed the one that read it.
+    """
+    reader = (spark.readStream.schema(StructType([*ITEM_SCHEMA.fields, StructField(BROKEN, StringType())]))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.json(folder).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def run_items(items: DataFrame, name: str, work: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run an ``item_stream`` over what has arrived: (items, broken lines).
+
+    Both tables are one folder per batch, which a retry overwrites; ``batch_id``
+    tells the order of arrival. Lines that can't be read and items without an
+    id go to the side table (line, source_file, reason). Blank lines are no items.
+    """
+    spark = items.sparkSession
+    work = _workdir(spark, name, work)
+    reason = F.when(F.col(BROKEN).isNotNull(), "unreadable").when(F.col("id").isNull(), "no id")
+    fields = [f.name for f in ITEM_SCHEMA.fields]
+
+    def tables(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (batch.where(reason.isNull()).select(*fields, "source_file"),
+                batch.where(reason.isNotNull()).select(
+                    F.coalesce(BROKEN, F.to_json(F.struct(*fields))).alias("line"), "source_file", reason.alias("reason")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for table, rows in zip(("items", "broken"), tables(batch)):
+            rows.write.mode("overwrite").parquet(f"{work}/{table}/batch_id={batch_id}")
+        batch.unpersist()
+
+    write(spark.createDataFrame([], items.schema), -1)  # tables that exist before anything has arrived
+    q = (items.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{work}/items"), spark.read.parquet(f"{work}/broken")
+
+
+def latest_items(items: DataFrame) -> DataFrame:
+    """The newest version of every item of ``run_items``: by batch; within one by time, score and text."""
+    rows = items.select(*[f.name for f in ITEM_SCHEMA.fields], "batch_id")
+    order = [F.col("batch_id"), F.col("time"), F.col("score"), F.to_json(F.struct(*rows.columns))]
+    return last_per_key(rows, ["id"], order).drop("batch_id")
+
+
 def dedup_stream(items: DataFrame, key: list[str], event_time: str,
                  delay: str = "1 hour") -> DataFrame:
     """Idempotent re-ingest - an item seen again within the watermark

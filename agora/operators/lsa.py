@@ -35,9 +35,9 @@ from agora.functions.text import word_tokens
 BUCKETS = 1 << 13
 #: Entries of sparse rows multiplied at a time, and rows of a sum sent as one cell.
 CHUNK = 4096
-BLOCK = 64
+BLOCK = 256
 #: Sums added up in one task of the first level.
-FAN_IN = 256
+FAN_IN = 64
 
 
 @dataclass
@@ -136,7 +136,7 @@ def gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarra
 
 
 def fit(comments: DataFrame, dim: int = lexicon.EMBEDDING_DIM, oversample: int = 16, buckets: int = BUCKETS,
-        tolerance: float = 1e-3, max_passes: int = 12, seed: int = 42,
+        tolerance: float = 2e-3, max_passes: int = 6, seed: int = 42,
         key: str = "comment_id", body: str = "body") -> Space:
     """The space of ``comments``. Passes end when none of the ``dim`` singular values grows by more than
     ``tolerance`` of itself (they grow towards the true ones), or after ``max_passes``."""

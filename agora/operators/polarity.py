@@ -69,28 +69,31 @@ def seed_scores(spark, positive=None, negative=None) -> DataFrame:
     return spark.createDataFrame(rows, "word string, seed double")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-6,
-              max_rounds: int = 100) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-3,
+              max_rounds: int = 100, stride: int = 4) -> DataFrame:
     """(word, score) of all words of the graph and all seeds, after ``rounds`` rounds or, if not given, when no
-    score moves by ``tolerance`` any more (``max_rounds`` at most)."""
+    score moves by ``tolerance`` in ``stride`` rounds any more (``max_rounds`` at most). Scores are checkpointed
+    every ``stride`` rounds, as a round alone is a small job."""
     ensure_checkpoint_dir(edges.sparkSession)
     graph = edges.repartition("neighbour").checkpoint()
     words = graph.select("word").distinct()
     base = words.join(seeds, "word", "full_outer").select("word", "seed").checkpoint()
-    scores = base.select("word", F.coalesce("seed", F.lit(0.0)).alias("score"))
-    for _ in range(max_rounds if rounds is None else rounds):
+    scores = saved = base.select("word", F.coalesce("seed", F.lit(0.0)).alias("score"))
+    last = max_rounds if rounds is None else rounds
+    for done in range(1, last + 1):
         known = scores.where(F.col("score") != 0).select(F.col("word").alias("neighbour"), "score")
         means = (graph.join(known, "neighbour").groupBy("word")
                  .agg(F.sum(F.col("share") * F.col("score")).alias("mean")))
-        new = base.join(means, "word", "left").select("word", F.coalesce("seed", "mean", F.lit(0.0)).alias("score"))
-        new = new.checkpoint()
+        scores = base.join(means, "word", "left").select("word", F.coalesce("seed", "mean", F.lit(0.0)).alias("score"))
+        if done % stride and done < last:
+            continue
+        scores = scores.checkpoint()
         if rounds is None:
-            moved = (new.join(scores.withColumnRenamed("score", "old"), "word")
+            moved = (scores.join(saved.withColumnRenamed("score", "old"), "word")
                      .agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0])  # one number
-            scores = new
             if moved is None or moved < tolerance:
                 break
-        scores = new
+        saved = scores
     return scores
 
 

@@ -257,9 +257,9 @@ def stance_shares(spark, sf):
 
 @query("comments_deep_page", "K4, a page at three fifths of all comments, found without sorting them", with_views("""
 WITH r AS (SELECT comment_id, topic_id, score, created_utc,
-                  row_number() OVER (ORDER BY score DESC, comment_id) - 1 AS at, count(*) OVER () * 3 // 5 AS start
+                  row_number() OVER (ORDER BY score DESC, comment_id) - 1 AS pos, count(*) OVER () * 3 // 5 AS start
            FROM v_comment)
-SELECT comment_id, topic_id, score, created_utc FROM r WHERE at >= start AND at < start + 50""", ["v_comment"]))
+SELECT comment_id, topic_id, score, created_utc FROM r WHERE pos >= start AND pos < start + 50""", ["v_comment"]))
 def comments_deep_page(spark, sf):
     c = T.v_comment(spark, sf).select("comment_id", "topic_id", "score", "created_utc")
     return paging.page(c, [("score", True), ("comment_id", False)], c.count() * 3 // 5, 50, small=1000)

@@ -3,10 +3,12 @@
 The words of a comment are hashed into ``buckets`` columns, weighted by
 tf * idf and scaled to length one; that is a row of the matrix A. The leading
 right singular vectors of A come from a randomised range finder: a random
-basis Q of ``dim + oversample`` columns is multiplied by A'A and made
-orthonormal again, until the singular values settle. A comment's vector is its
-row times those singular vectors, scaled to length one, so comments that share
-no word are still near if their words occur with the same other words.
+basis of ``dim + oversample`` columns is multiplied by A'A, what is new in the
+product is the next basis, and the singular values are those of A within all
+bases so far (a block Krylov space, which settles in far fewer passes than the
+last basis alone). A comment's vector is its row times the singular vectors,
+scaled to length one, so comments that share no word are still near if their
+words occur with the same other words.
 
 What a pass over the comments costs does not grow with them beyond the pass
 itself: every task multiplies its rows by Q (sparse rows, a bounded number of
@@ -33,8 +35,9 @@ from agora import lexicon
 from agora.functions.text import word_tokens
 
 BUCKETS = 1 << 13
-#: Entries of sparse rows multiplied at a time, and rows of a sum sent as one cell.
-CHUNK = 4096
+#: Entries and rows of A multiplied at a time, and rows of a sum sent as one cell.
+CHUNK = 16384
+CHUNK_ROWS = 64
 BLOCK = 256
 #: Sums added up in one task of the first level.
 FAN_IN = 64
@@ -65,37 +68,31 @@ def inverse_frequencies(rows: DataFrame, buckets: int) -> np.ndarray:
     return np.log((n + 1.0) / (df + 1.0))
 
 
-def sparse_rows(words: pd.Series, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Unit rows of A in chunks: (positions in ``words``, starts, columns, values). Zero rows are left out."""
-    where, starts, columns, values, size = [], [], [], [], 0
+def chunks(words: pd.Series, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Unit rows of A in chunks: (positions in ``words``, columns that the chunk has, the rows in those columns).
+
+    Zero rows are left out. A chunk has at most CHUNK_ROWS rows, so it is small whatever the texts are."""
+    where, rows, size = [], [], 0
+
+    def block():
+        columns, at = np.unique(np.concatenate([c for c, _ in rows]), return_inverse=True)
+        part = np.zeros((len(rows), len(columns)))
+        part[np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows]), at] = np.concatenate([v for _, v in rows])
+        return np.array(where), columns, part
+
     for position, row in enumerate(words):
         column, count = np.unique(np.asarray(row if row is not None else [], dtype=np.int64), return_counts=True)
         value = count * idf[column]
         length = np.sqrt(value @ value)
         if length > 0:
             where.append(position)
-            starts.append(size)
-            columns.append(column)
-            values.append(value / length)
+            rows.append((column, value / length))
             size += len(column)
-        if size >= CHUNK:
-            yield np.array(where), np.array(starts), np.concatenate(columns), np.concatenate(values)
-            where, starts, columns, values, size = [], [], [], [], 0
-    if where:
-        yield np.array(where), np.array(starts), np.concatenate(columns), np.concatenate(values)
-
-
-def times(starts, columns, values, basis: np.ndarray) -> np.ndarray:
-    """A chunk of rows times the basis."""
-    return np.add.reduceat(basis[columns] * values[:, None], starts, axis=0)
-
-
-def add_transposed(total: np.ndarray, starts, columns, values, image: np.ndarray) -> None:
-    """total += (chunk of rows)' image."""
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(columns))))
-    order = np.argsort(columns, kind="stable")
-    hit, first = np.unique(columns[order], return_index=True)
-    total[hit] += np.add.reduceat(image[row[order]] * values[order, None], first, axis=0)
+        if size >= CHUNK or len(rows) >= CHUNK_ROWS:
+            yield block()
+            where, rows, size = [], [], 0
+    if rows:
+        yield block()
 
 
 def _summed(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -117,8 +114,8 @@ def gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarra
         weights, q = shared.value
         total, seen = np.zeros_like(q), False
         for frame in frames:
-            for _, starts, columns, values in sparse_rows(frame["words"], weights):
-                add_transposed(total, starts, columns, values, times(starts, columns, values, q))
+            for _, columns, part_rows in chunks(frame["words"], weights):
+                total[columns] += part_rows.T @ (part_rows @ q[columns])
                 seen = True
         if seen:
             part = TaskContext.get().partitionId()
@@ -135,8 +132,20 @@ def gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarra
     return out
 
 
+def _new_directions(space: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what ``image`` adds to ``space``; no columns if it adds nothing."""
+    size = np.abs(image).max(initial=0.0)
+    for _ in range(2):
+        image = image - space @ (space.T @ image)
+    basis, triangle = np.linalg.qr(image)
+    basis = basis[:, np.abs(np.diag(triangle)) > 1e-9 * size]
+    if basis.shape[1]:
+        basis, _ = np.linalg.qr(basis - space @ (space.T @ basis))
+    return basis
+
+
 def fit(comments: DataFrame, dim: int = lexicon.EMBEDDING_DIM, oversample: int = 16, buckets: int = BUCKETS,
-        tolerance: float = 2e-3, max_passes: int = 6, seed: int = 42,
+        tolerance: float = 2e-3, max_passes: int = 5, seed: int = 42,
         key: str = "comment_id", body: str = "body") -> Space:
     """The space of ``comments``. Passes end when none of the ``dim`` singular values grows by more than
     ``tolerance`` of itself (they grow towards the true ones), or after ``max_passes``."""
@@ -147,17 +156,21 @@ def fit(comments: DataFrame, dim: int = lexicon.EMBEDDING_DIM, oversample: int =
         idf = inverse_frequencies(rows, buckets)
         width = min(dim + oversample, buckets)
         basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((buckets, width)))
-        values = np.zeros(dim)
+        values, space, images = np.zeros(dim), np.empty((buckets, 0)), np.empty((buckets, 0))
         for _ in range(max_passes):
             image = gram_times(rows, idf, basis)
-            squares, turn = np.linalg.eigh(basis.T @ image)  # ascending
+            space, images = np.hstack([space, basis]), np.hstack([images, image])
+            within = space.T @ images
+            squares, turn = np.linalg.eigh((within + within.T) / 2)  # ascending
             squares, turn = squares[::-1], turn[:, ::-1]
             last, values = values, np.sqrt(np.maximum(squares[:dim], 0.0))
-            vectors = basis @ turn[:, :dim]
+            vectors = space @ turn[:, :dim]
             real = values > 1e-7 * max(values[0], 1e-300)
             if np.all(values[real] - last[real] <= tolerance * values[real]):
                 break
-            basis, _ = np.linalg.qr(image)
+            basis = _new_directions(space, image)
+            if not basis.shape[1]:
+                break
     finally:
         rows.unpersist()
     vectors = np.where(real, vectors, 0.0)  # directions that A doesn't have
@@ -177,8 +190,8 @@ def embed(comments: DataFrame, space: Space, key: str = "comment_id", body: str
         idf, vectors = shared.value
         for frame in frames:
             out = np.zeros((len(frame), vectors.shape[1]), dtype=np.float32)
-            for where, starts, columns, values in sparse_rows(frame["words"], idf):
-                image = times(starts, columns, values, vectors)
+            for where, columns, part in chunks(frame["words"], idf):
+                image = part @ vectors[columns]
                 length = np.linalg.norm(image, axis=1, keepdims=True)
                 out[where] = np.round(np.divide(image, length, out=np.zeros_like(image), where=length > 1e-9), 6)
             yield pd.DataFrame({key: frame[key], "embedding": list(out), "is_zero": ~out.any(axis=1)})

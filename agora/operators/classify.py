@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from agora import lexicon
 from agora.functions.scalar import sentiment_from_output, stance_from_index, toxicity_from_output
 from agora.functions.text import is_blank, on_target, split_terms, word_tokens
+from agora.operators.common import with_target_terms
 
 
 def _weights_map(weights: dict[str, float]) -> Column:
@@ -130,7 +131,7 @@ def classify(comments: DataFrame, posts: DataFrame, existing: DataFrame | None =
     todo = comments.where(F.col("body").isNotNull() & (F.col("body") != ""))
     if existing is not None:
         todo = todo.join(existing.select("comment_id"), "comment_id", "left_anti")
-    j = todo.join(posts.select("post_id", "target_terms"), "post_id", "left")
+    j = with_target_terms(todo, posts)
     j = j.withColumn("_gated", ~on_target(F.col("body"), split_terms(F.col("target_terms"))))
     # one pass: gated rows skip tokenising and scoring (cheap before expensive)
     scored = score_columns(j.select("comment_id", "topic_id", "post_id", "body", "_gated"),

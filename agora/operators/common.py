@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.session import ensure_checkpoint_dir
+
+#: Posts up to this count are broadcast; a post's terms come from a title of at most 255 characters.
+BROADCAST_POSTS = 100_000
+SALTS = 16
+
 
 def prior_running_sum(df: DataFrame, order_key: str, value: str, out: str,
                       block_size: int = 4096, levels: int = 3) -> DataFrame:
@@ -56,3 +62,21 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     packed = F.struct(*[F.col(c) for c in others])
     return (df.groupBy(*keys).agg(F.max_by(packed, F.struct(*order)).alias("_row"))
             .select(*keys, *[F.col("_row." + c).alias(c) for c in others]))
+
+
+def with_target_terms(comments: DataFrame, posts: DataFrame, row_key: str = "comment_id",
+                      limit: int = BROADCAST_POSTS) -> DataFrame:
+    """``comments`` with their post's ``target_terms`` (null without a post).
+
+    Comments carry whole texts, and one post may hold a third of them, so they
+    are not dealt by post. The posts' terms are written once and counted: up to
+    ``limit`` they are broadcast and no comment moves; beyond it both sides are
+    dealt by post and salt, every post once per salt.
+    """
+    ensure_checkpoint_dir(posts.sparkSession)
+    terms = posts.select("post_id", "target_terms").checkpoint()
+    if terms.count() <= limit:
+        return comments.join(F.broadcast(terms), "post_id", "left")
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = comments.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["post_id", "_salt"], "left").drop("_salt")

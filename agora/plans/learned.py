@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agora import lexicon
 from agora.functions.scalar import round6
 from agora.operators import embed, lsa, polarity, stance
+from agora.operators.common import with_target_terms
 from agora.plans.registry import query
 from agora.sources import tables as T
 from agora.sources.tables import with_views
@@ -61,8 +62,7 @@ def sentiment_learned(spark, sf):
 @query("stance_targeted", "M1, multinomial model of crossed text and target features")
 def stance_targeted(spark, sf):
     """Learned from the classified comments whose crc32 of the id is not 0 modulo 5, applied to all comments."""
-    posts = T.v_post(spark, sf).select("post_id", "target_terms")
-    comments = T.v_comment(spark, sf).select("comment_id", "post_id", "body").join(posts, "post_id", "left")
+    comments = with_target_terms(T.v_comment(spark, sf).select("comment_id", "post_id", "body"), T.v_post(spark, sf))
     held_out = F.crc32(F.col("comment_id").cast("string")) % 5 == 0
     known = comments.join(T.v_comment_class(spark, sf).select("comment_id", "stance"), "comment_id")
     model = stance.fit(known.where(~held_out))

@@ -10,6 +10,7 @@ from agora import lexicon
 from agora.functions import text as X
 from agora.functions.scalar import hypothesis_labels
 from agora.operators import ingest
+from agora.operators.common import with_target_terms
 from agora.plans.registry import query
 from agora.sources import tables as T
 from agora.sources.tables import _sql_list, sql_target_entities, with_views
@@ -106,9 +107,8 @@ SELECT comment_id, post_id, CAST(len(terms) AS INTEGER) AS n_terms,
       {_sql_term_hit("lower(coalesce(body, ''))", 'lower(t)')})) AS on_target
 FROM j""", ["v_comment", "v_post"]))
 def target_gate(spark, sf):
-    c = T.v_comment(spark, sf)
-    p = T.v_post(spark, sf).select("post_id", "target_terms")
-    j = c.join(p, "post_id", "left").withColumn("terms", X.split_terms(F.col("target_terms")))
+    j = with_target_terms(T.v_comment(spark, sf).select("comment_id", "post_id", "body"), T.v_post(spark, sf))
+    j = j.withColumn("terms", X.split_terms(F.col("target_terms")))
     return j.select("comment_id", "post_id", F.size("terms").alias("n_terms"),
                     X.on_target(F.col("body"), F.col("terms")).alias("on_target"))
 

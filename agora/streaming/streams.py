@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from agora.functions.text import on_target, split_terms
 from agora.operators import rollup
-from agora.operators.common import last_per_key
+from agora.operators.common import last_per_key, with_target_terms
 from agora.operators.ingest import ITEM_SCHEMA
 from agora.session import ensure_checkpoint_dir
 
@@ -180,7 +180,7 @@ def dedup_stream(items: DataFrame, key: list[str], event_time: str,
 
 def gate_stream(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Stream-static join with the posts' target terms, then the gate."""
-    j = comments.join(posts.select("post_id", "target_terms"), "post_id", "left")
+    j = with_target_terms(comments, posts)
     terms = split_terms(F.col("target_terms"))
     return j.select("comment_id", "post_id", F.size(terms).alias("n_terms"),
                     on_target(F.col("body"), terms).alias("on_target"))

@@ -43,3 +43,14 @@ def test_no_regex_is_built_from_a_column(spark):
     assert "Exchange" not in plan
     assert plan.count("RLIKE(") == 0 or "concat(" not in plan
     assert "\\Q" not in plan
+
+
+def test_terms_by_broadcast_or_salted_join(spark):
+    from agora.operators.common import with_target_terms
+    posts = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "post_id long, target_terms string")
+    rows = [(i, (1, 2, 4, None)[i % 4]) for i in range(40)] + [(7, 1), (7, 1)]
+    comments = spark.createDataFrame(rows, "comment_id long, post_id long")
+    want = sorted((i, p or 0, {1: "a"}.get(p, "")) for i, p in rows)
+    for limit in (10, 2):
+        got = with_target_terms(comments, posts, limit=limit).select("comment_id", "post_id", "target_terms").collect()
+        assert sorted((i, p or 0, t or "") for i, p, t in got) == want

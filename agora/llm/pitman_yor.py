@@ -69,6 +69,7 @@ class Settings:
     burn_in: int = 1
     exact: int = 64
     root_given: bool = False    # root tables given the root's other tables, not with a constant weight
+    add_one: bool = False       # base scores by (c+1) / (N+V+1), a type kept for unseen tokens, not (c+1) / ((N+1)(V+1))
     bigram_bits: int = 48       # of a bigram's key; words have 64
     chunk_bytes: int = 8 << 20
 
@@ -408,7 +409,7 @@ class Model:
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2,
-          s: Settings = Settings(root_given=True)) -> DataFrame:
+          s: Settings = Settings(root_given=True, add_one=True)) -> DataFrame:
     """One row per document (SCHEMA); training texts are those whose crc32(id) mod ``mod`` is not ``rest``."""
     prepare(df.sparkSession)
     documents = id_text(df, id_col, text_col)
@@ -453,7 +454,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
         n, types = model.answers.total(WORD)
         starts = int(model.word[chunk.start])  # the start of texts is a context, not a token
         n, types = n - starts, types - (starts > 0)
-        by_word = np.log10((model.word + 1.0) / ((n + 1.0) * (types + 1.0)))
+        by_word = np.log10((model.word + 1.0) / (n + types + 1.0 if s.add_one else (n + 1.0) * (types + 1.0)))
         log_p = np.log10(total / (s.sweeps - s.burn_in))
         add = lambda v: np.add.reduceat(v, chunk.starts)
         return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held_out), pa.array(chunk.sizes),

@@ -75,6 +75,19 @@ def test_scores_are_the_slow_models(spark):
         assert fast_scores(odd(spark), s) == slow_scores(rows, s)
 
 
+def test_base_score_of_the_query(spark, tmp_path):
+    """c + 1 over N + 1 * (V + 1): the chances of the training types and of one unseen add up to 1."""
+    odd(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(i, tokens(t)) for i, t, *_ in odd_rows()]
+    c = Counter(w for i, t in texts if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for w in t)
+    n, v = sum(c.values()), len(c)
+    assert abs(sum((k + 1) / (n + 1 * (v + 1)) for k in [*c.values(), 0]) - 1) < 1e-9
+    want = [(str(i), len(t), sum(c[w] > 0 for w in t), n,
+             round(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in t), 6)) for i, t in texts]
+    got = queries.op7_pitman_yor(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     out = [r for r in queries.op7_pitman_yor(spark, SF).collect() if r.held_out]
     assert len(out) > 15

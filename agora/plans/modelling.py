@@ -287,10 +287,9 @@ def keywords_tfidf_all(spark, sf):
 
 @query("keywords_by_topic_lang", "M8 A21 dispatch (< 3 docs -> term frequency), 500 features")
 def keywords_by_topic_lang(spark, sf):
-    d = _docs(spark, sf).join(T.v_comment(spark, sf).select(
-        F.col("comment_id").alias("doc_id"), "lang"), "doc_id")
-    d = d.withColumn("group_key", F.concat_ws("/", F.col("topic_id").cast("string"), "lang"))
-    return K.keywords(d.select("group_key", "doc_id", "text"), "group_key",
+    d = T.v_comment(spark, sf).select(F.concat_ws("/", F.col("topic_id").cast("string"), "lang").alias("group_key"),
+                                      F.col("comment_id").alias("doc_id"), F.col("body").alias("text"))
+    return K.keywords(d, "group_key",
                       max_features=lexicon.TFIDF_MAX_FEATURES)
 
 

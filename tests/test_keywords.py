@@ -71,3 +71,24 @@ def test_a_document_sends_one_row_to_a_bucket(spark, monkeypatch):
     assert sum(len(r.terms.split("\n")) for r in out) == 3 * (200 + 199)
     where = {}
     assert all(where.setdefault(t, r.bucket) == r.bucket for r in out for t in r.terms.split("\n"))
+
+
+def test_cluster_keywords_do_not_hang_on_the_bucket_size(spark, monkeypatch):
+    """The clustering job takes every term of a cluster, in buckets however large the cluster is."""
+    from agora.operators import cluster as CL
+    rng = random.Random(2)
+    comments = spark.createDataFrame(
+        [(i, 1, " ".join(rng.choices(["rust", "python", "java", "compiler", "types"], k=30)), i) for i in range(40)],
+        "comment_id long, topic_id long, body string, score int")
+    classes = comments.selectExpr("comment_id", "'SUPPORT' as stance")
+    vectors = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2, i / 1000]) for i in range(40)],
+                                    "comment_id long, embedding array<double>")
+    seen, calls = [], []
+    split = K.postings
+    monkeypatch.setattr(K, "postings", lambda *a, **b: calls.append(split(*a, **b)) or calls[-1])
+    for block in (1 << 24, 500):
+        monkeypatch.setattr(K, "BLOCK_BYTES", block)
+        out = CL.cluster_job(comments, classes, vectors, k=2)["clusters"]
+        seen.append(sorted((r["cluster"], r["keywords"]) for r in out.collect()))
+    assert len(seen[0]) == 2 and all(k for _, k in seen[0]) and seen[0] == seen[1]
+    assert calls[0].agg({"bucket": "max"}).first()[0] == 0 and calls[1].agg({"bucket": "max"}).first()[0] > 3

@@ -44,20 +44,27 @@ def features(df: DataFrame, window: int = 5, body: str = "body", target: str = "
     t = t.withColumn("_hit", F.transform("_words", lambda w: F.array_contains("_target", w)))
 
     def mentioned(start: Column, length: Column) -> Column:
-        return F.exists(F.slice("_hit", start, length), lambda hit: hit)
+        return F.array_contains(F.slice("_hit", start, length), True).cast("int")
 
-    def crossed(word: Column, i: Column) -> Column:
+    def side(hit: Column, i: Column) -> Column:
+        """4 for a mention; else 1 if a mention stands before the word, plus 2 if one stands after it."""
         first = F.greatest(i - window, F.lit(0))
-        after = mentioned(first + 1, i - first)  # a mention stands before the word
-        before = mentioned(i + 2, F.lit(window))
-        near = F.concat(F.lit("near "), word)
-        return (F.when(F.get("_hit", i), F.array(F.lit("mention")))
-                .when(after & before, F.array(near, F.concat(F.lit("after "), word), F.concat(F.lit("before "), word)))
-                .when(after, F.array(near, F.concat(F.lit("after "), word)))
-                .when(before, F.array(near, F.concat(F.lit("before "), word)))
-                .otherwise(F.array(F.concat(F.lit("far "), word))))
-
-    return t.withColumn("features", F.flatten(F.transform("_words", crossed))).drop("_words", "_target", "_hit")
+        return F.when(hit, F.lit(4)).otherwise(
+            mentioned(first + 1, i - first) + F.lit(2) * mentioned(i + 2, F.lit(window)))
+
+    def crossed(word: Column, at: Column) -> Column:
+        near, after, before = (F.concat(F.lit(kind), word) for kind in ("near ", "after ", "before "))
+        return (F.when(at == 0, F.array(F.concat(F.lit("far "), word)))
+                .when(at == 4, F.array(F.lit("mention")))
+                .when(at == 3, F.array(near, after, before))
+                .when(at == 1, F.array(near, after))
+                .otherwise(F.array(near, before)))
+
+    # a word's side is found once, as a number; without a mention all words are far
+    t = t.withColumn("_side", F.when(F.array_contains("_hit", True), F.transform("_hit", side)))
+    far = F.transform("_words", lambda w: F.concat(F.lit("far "), w))
+    crossing = F.when(F.col("_side").isNull(), far).otherwise(F.flatten(F.zip_with("_words", "_side", crossed)))
+    return t.withColumn("features", crossing).drop("_words", "_target", "_hit", "_side")
 
 
 @dataclass

@@ -65,3 +65,22 @@ def test_blank_and_unknown_labels(spark):
     assert {r["stance"] for r in model.predict(blank).collect()} == {"NEUTRAL"}
     with pytest.raises(ValueError):
         stance.fit(df.where("stance = 'whatever'"))
+
+
+def test_features_are_the_plain_ones_and_each_side_is_looked_for_once(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["rust", "java", "a", "b", "c", "d", "e"], weights=[1, 1, 9, 9, 9, 9, 9], k=n)), "Rust, Java")
+            for i, n in enumerate([0, 1, 2, 5, 6, 40, 200])] + [(90, None, "Rust"), (91, "rust on", None), (92, "no mention", "Go")]
+    for window in (1, 5):
+        out = stance.features(spark.createDataFrame(rows, "id long, body string, target_terms string"), window=window)
+        for r in out.collect():
+            words = (r.body or "").lower().split()
+            hit = [w in (r.target_terms or "").lower().split(", ") for w in words]
+            want = []
+            for i, w in enumerate(words):
+                after, before = any(hit[max(i - window, 0):i]), any(hit[i + 1:i + 1 + window])
+                want += (["mention"] if hit[i] else [f"near {w}"] * (after or before) + [f"after {w}"] * after
+                         + [f"before {w}"] * before or [f"far {w}"])
+            assert r.features == want
+        assert out._jdf.queryExecution().analyzed().toString().count("slice(") == 2

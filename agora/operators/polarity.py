@@ -14,7 +14,7 @@ any other scorer.
 
 Scale: pairs are counted with partial aggregation beside the scan, so only
 distinct pairs of a task are shuffled; the graph is as large as the vocabulary
-allows, not as the corpus. It is checkpointed once, dealt by the neighbour; a
+allows, not as the corpus. It is cached once, dealt by the neighbour, and stays where it is; a
 round is one join of the scores with it and one sum per word. A word that
 meets a third of all others is one key of that join, which Spark splits at
 runtime, and its scores are summed before the shuffle.
@@ -26,12 +26,14 @@ gives the seeds alone.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora import lexicon
 from agora.functions.scalar import sentiment_from_output
 from agora.functions.text import is_blank, word_tokens
+from agora.operators.kmeans import stored
 from agora.session import ensure_checkpoint_dir
 
 
@@ -47,17 +49,27 @@ def cooccurrences(comments: DataFrame, window: int = 2, min_pairs: int = 2, body
             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs))
 
 
+def ppmi_weights(pairs: DataFrame) -> DataFrame:
+    """(word, neighbour, weight): both directions of every pair of positive PMI.
+
+    A pair's weight is the same in both directions, so it is found on the pair, before the rows are doubled. Pairs
+    and their words are read several times, so both are written once."""
+    pairs = stored(pairs)
+    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("word"), "n")
+                 .groupBy("word").agg(F.sum("n").alias("met")))
+    total = met.agg(F.sum("met")).scalar()
+    side = lambda k: met.select(F.col("word").alias(k), F.col("met").alias(f"met_{k}"))
+    weight = F.log(F.col("n").cast("double") * total / (F.col("met_a").cast("double") * F.col("met_b")))
+    weighted = (pairs.join(side("a"), "a").join(side("b"), "b")
+                .select("a", "b", weight.alias("weight")).where(F.col("weight") > 0))
+    return weighted.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("neighbour"), "weight"),
+                                             F.struct(F.col("b").alias("word"), F.col("a").alias("neighbour"), "weight")))
+                           .alias("e")).select("e.*")
+
+
 def ppmi_edges(pairs: DataFrame) -> DataFrame:
     """(word, neighbour, share): both directions of every pair of positive PMI; a word's shares add up to 1."""
-    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("neighbour"), "n"),
-                                          F.struct(F.col("b").alias("word"), F.col("a").alias("neighbour"), "n")))
-                        .alias("e")).select("e.*")
-    met = ways.groupBy("word").agg(F.sum("n").alias("met"))
-    total = met.agg(F.sum("met")).scalar()
-    other = met.select(F.col("word").alias("neighbour"), F.col("met").alias("other_met"))
-    weight = F.log(F.col("n").cast("double") * total / (F.col("met").cast("double") * F.col("other_met")))
-    weighted = (ways.join(met, "word").join(other, "neighbour")
-                .select("word", "neighbour", weight.alias("weight")).where(F.col("weight") > 0))
+    weighted = ppmi_weights(pairs)
     sums = weighted.groupBy("word").agg(F.sum("weight").alias("sum"))
     return weighted.join(sums, "word").select("word", "neighbour", (F.col("weight") / F.col("sum")).alias("share"))
 
@@ -73,18 +85,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tol
               max_rounds: int = 100, stride: int = 4) -> DataFrame:
     """(word, score) of all words of the graph and all seeds, after ``rounds`` rounds or, if not given, when no
     score moves by ``tolerance`` in ``stride`` rounds any more (``max_rounds`` at most). Scores are checkpointed
-    every ``stride`` rounds, as a round alone is a small job."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    graph = edges.repartition("neighbour").checkpoint()
-    words = graph.select("word").distinct()
-    base = words.join(seeds, "word", "full_outer").select("word", "seed").checkpoint()
+    every ``stride`` rounds, as a round alone is a small job. ``edges`` has shares, or weights whose sum per word
+    divides."""
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    size = "share" if "share" in edges.columns else "weight"
+    # a stated number of partitions, so that every join on the neighbour finds the graph in place
+    graph = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "neighbour").persist(StorageLevel.MEMORY_AND_DISK)
+    words = graph.groupBy("word").agg((F.sum(size) if size == "weight" else F.first(F.lit(1.0))).alias("whole"))
+    base = words.join(seeds, "word", "full_outer").select("word", "seed", "whole").checkpoint()
     scores = saved = base.select("word", F.coalesce("seed", F.lit(0.0)).alias("score"))
     last = max_rounds if rounds is None else rounds
     for done in range(1, last + 1):
         known = scores.where(F.col("score") != 0).select(F.col("word").alias("neighbour"), "score")
         means = (graph.join(known, "neighbour").groupBy("word")
-                 .agg(F.sum(F.col("share") * F.col("score")).alias("mean")))
-        scores = base.join(means, "word", "left").select("word", F.coalesce("seed", "mean", F.lit(0.0)).alias("score"))
+                 .agg(F.sum(F.col(size) * F.col("score")).alias("sum")))
+        scores = base.join(means, "word", "left").select(
+            "word", F.coalesce("seed", F.col("sum") / F.col("whole"), F.lit(0.0)).alias("score"))
         if done % stride and done < last:
             continue
         scores = scores.checkpoint()
@@ -94,13 +111,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tol
             if moved is None or moved < tolerance:
                 break
         saved = scores
+    graph.unpersist()  # the scores are written
     return scores
 
 
 def learn(comments: DataFrame, positive=None, negative=None, window: int = 2, min_pairs: int = 2,
           rounds: int | None = None, body: str = "body") -> DataFrame:
     """(word, score) in [-1, 1], learned from ``comments``."""
-    edges = ppmi_edges(cooccurrences(comments, window, min_pairs, body))
+    edges = ppmi_weights(cooccurrences(comments, window, min_pairs, body))
     return propagate(edges, seed_scores(comments.sparkSession, positive, negative), rounds)
 
 

@@ -79,3 +79,14 @@ def test_comments_without_seed_words(spark):
 def test_empty_table_leaves_the_seeds(spark):
     got = dict(polarity.learn(frame(spark, ["x"]).where("false"), ["up"], ["down"], rounds=2).collect())
     assert got == {"up": 1.0, "down": -1.0}
+
+
+def test_texts_are_read_once_and_the_graph_stays_in_place(spark):
+    """Weights and shares settle alike, and the plan of the weights holds no second count of the pairs."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("good bad a b c d e f g h".split(), k=rng.randint(0, 9))) for _ in range(150)]
+    pairs = polarity.cooccurrences(frame(spark, texts))
+    weights, seeds = polarity.ppmi_weights(pairs), polarity.seed_scores(spark, ["good"], ["bad"])
+    by_weight, by_share = (dict(polarity.propagate(e, seeds, rounds=4).collect()) for e in (weights, polarity.ppmi_edges(pairs)))
+    assert by_weight.keys() == by_share.keys() and all(abs(by_weight[w] - by_share[w]) < 1e-12 for w in by_share)
+    assert "regexp_extract_all" not in weights._jdf.queryExecution().analyzed().toString()

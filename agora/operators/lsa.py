@@ -11,8 +11,8 @@ scaled to length one, so comments that share no word are still near if their
 words occur with the same other words.
 
 What a pass over the comments costs does not grow with them beyond the pass
-itself: every task multiplies its rows by Q (sparse rows, a bounded number of
-entries at a time) and returns one buckets x columns sum, and those sums are
+itself: every task multiplies its rows by Q (a bounded number of entries at a
+time, common columns as a dense matrix and the others entry by entry) and returns one buckets x columns sum, and those sums are
 added up by Spark in two levels. Q and the sums have a size fixed by the
 parameters (8,192 x 400 doubles are 26 MB), whatever the corpus; only they pass
 through the driver, where the small QR and eigenvalue steps are done.
@@ -35,9 +35,11 @@ from agora import lexicon
 from agora.functions.text import word_tokens
 
 BUCKETS = 1 << 13
-#: Entries and rows of A multiplied at a time, and rows of a sum sent as one cell.
-CHUNK = 16384
-CHUNK_ROWS = 64
+#: Entries and rows of A multiplied at a time, and (BLOCK) rows of a sum sent as one cell.
+CHUNK = 1 << 19
+CHUNK_ROWS = 1024
+#: A column that one in so many rows has is multiplied as dense.
+COMMON = 12
 BLOCK = 256
 #: Sums added up in one task of the first level.
 FAN_IN = 64
@@ -68,17 +70,15 @@ def inverse_frequencies(rows: DataFrame, buckets: int) -> np.ndarray:
     return np.log((n + 1.0) / (df + 1.0))
 
 
-def chunks(words: pd.Series, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Unit rows of A in chunks: (positions in ``words``, columns that the chunk has, the rows in those columns).
-
-    Zero rows are left out. A chunk has at most CHUNK_ROWS rows, so it is small whatever the texts are."""
+def chunks(words: pd.Series, idf: np.ndarray) -> Iterator[tuple[np.ndarray, Chunk]]:
+    """Unit rows of A in chunks of at most CHUNK_ROWS rows and about CHUNK entries, and their positions in ``words``.
+    Zero rows are left out."""
     where, rows, size = [], [], 0
+    common = np.flatnonzero(idf < np.log(COMMON))
 
     def block():
-        columns, at = np.unique(np.concatenate([c for c, _ in rows]), return_inverse=True)
-        part = np.zeros((len(rows), len(columns)))
-        part[np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows]), at] = np.concatenate([v for _, v in rows])
-        return np.array(where), columns, part
+        return np.array(where), Chunk(np.cumsum([0, *(len(c) for c, _ in rows)]), np.concatenate([c for c, _ in rows]),
+                                      np.concatenate([v for _, v in rows]), common, len(idf))
 
     for position, row in enumerate(words):
         column, count = np.unique(np.asarray(row if row is not None else [], dtype=np.int64), return_counts=True)
@@ -95,6 +95,42 @@ def chunks(words: pd.Series, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield block()
 
 
+def sums_of(begins: np.ndarray, at: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Per run of entries, the sum of its values times the rows ``at`` of ``dense``. Zeros are neither stored nor
+    multiplied, as they would be in a dense chunk whose columns are those of all its rows."""
+    out = np.empty((len(begins) - 1, dense.shape[1]))
+    part = np.empty((max(np.diff(begins).max(initial=0), 1), dense.shape[1]))
+    for k, (i, j) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+        taken = np.take(dense, at[i:j], axis=0, out=part[:j - i], mode="clip")
+        np.dot(value[i:j], taken, out=out[k])
+    return out
+
+
+class Chunk:
+    """Rows of A: columns that many rows have as a dense matrix, the entries of the others one by one."""
+
+    def __init__(self, begins: np.ndarray, column: np.ndarray, value: np.ndarray, common: np.ndarray, buckets: int):
+        slot = np.full(buckets, -1)
+        slot[common] = np.arange(len(common))
+        row, at = np.repeat(np.arange(len(begins) - 1), np.diff(begins)), slot[column]
+        dense, rare = at >= 0, at < 0
+        self.common, self.dense = common, np.zeros((len(begins) - 1, len(common)))
+        self.dense[row[dense], at[dense]] = value[dense]
+        self.row, self.column, self.value = row[rare], column[rare], value[rare]
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        begins = np.searchsorted(self.row, np.arange(len(self.dense) + 1))
+        return self.dense @ basis[self.common] + sums_of(begins, self.column, self.value, basis)
+
+    def add_gram(self, total: np.ndarray, basis: np.ndarray) -> None:
+        """``total`` += B'B basis for the rows B: row by row, then column by column."""
+        image = self.times(basis)
+        total[self.common] += self.dense.T @ image
+        order = np.argsort(self.column, kind="stable")
+        first = np.flatnonzero(np.diff(self.column[order], prepend=-1))
+        total[self.column[order[first]]] += sums_of(np.append(first, len(order)), self.row[order], self.value[order], image)
+
+
 def _summed(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One cell of the sum; parts are added in their own order, so a rerun agrees."""
     frame = frame.sort_values("part")
@@ -114,8 +150,8 @@ def gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarra
         weights, q = shared.value
         total, seen = np.zeros_like(q), False
         for frame in frames:
-            for _, columns, part_rows in chunks(frame["words"], weights):
-                total[columns] += part_rows.T @ (part_rows @ q[columns])
+            for _, chunk in chunks(frame["words"], weights):
+                chunk.add_gram(total, q)
                 seen = True
         if seen:
             part = TaskContext.get().partitionId()
@@ -190,8 +226,8 @@ def embed(comments: DataFrame, space: Space, key: str = "comment_id", body: str
         idf, vectors = shared.value
         for frame in frames:
             out = np.zeros((len(frame), vectors.shape[1]), dtype=np.float32)
-            for where, columns, part in chunks(frame["words"], idf):
-                image = part @ vectors[columns]
+            for where, chunk in chunks(frame["words"], idf):
+                image = chunk.times(vectors)
                 length = np.linalg.norm(image, axis=1, keepdims=True)
                 out[where] = np.round(np.divide(image, length, out=np.zeros_like(image), where=length > 1e-9), 6)
             yield pd.DataFrame({key: frame[key], "embedding": list(out), "is_zero": ~out.any(axis=1)})

@@ -76,3 +76,22 @@ def test_empty_null_and_repeated_rows(spark):
     assert not space.values.any() and lsa.embed(none, space).count() == 0
     with pytest.raises(ValueError):
         lsa.fit(none, dim=65, buckets=64)
+
+
+def test_chunks_multiply_common_and_rare_columns_as_the_whole_matrix():
+    """Common columns are dense, entries of the others are multiplied one by one; zero rows are left out."""
+    rng = np.random.default_rng(6)
+    idf = np.r_[np.full(5, 0.1), np.full(58, 4.0), 0.0]
+    words = [rng.choice(64, n).tolist() for n in (3, 40, 1, 0, 200)] + [None, [63, 63], [7]]
+    basis, total, whole = rng.standard_normal((64, 9)), np.zeros((64, 9)), np.zeros((len(words), 64))
+    for k, w in enumerate(words):
+        np.add.at(whole[k], w or [], 1)
+    whole *= idf
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-300)
+    seen = []
+    for where, chunk in lsa.chunks(words, idf):
+        seen += where.tolist()
+        assert chunk.dense.shape[1] == 6 and not np.isin(chunk.column, chunk.common).any()
+        assert np.allclose(chunk.times(basis), whole[where] @ basis)
+        chunk.add_gram(total, basis)
+    assert seen == [0, 1, 2, 4, 7] and np.allclose(total, whole.T @ whole @ basis)

@@ -24,12 +24,15 @@ sweep), so any task draws the same tables for a bigram without asking. After
 each sweep the tables are summed per context and per word over the corpus;
 probabilities are averaged over the sweeps behind ``burn_in``.
 
-Scale. Documents are dealt into chunks (see ``exchange``). Distinct words of a
+Scale. Each task cuts its documents into chunks and turns their texts into word
+numbers once; a chunk crosses to its place once, as its words' keys and those
+numbers, and is read from there in every sweep. Distinct words of a
 chunk ask for their training counts, its distinct bigrams for theirs (the
 first chunk that holds a bigram in training is told that it counts it), and
-each sweep's sums go the same way; all counts come from the whole training
+each sweep's sums go the same way (see ``exchange``); all counts come from the whole training
 corpus and grow with it, and no table is held by the driver or broadcast. A
-common word sends one key per chunk.
+common word sends one key per chunk. Every chunk asks every shard, so it hears every shard's totals.
+Answers of all sweeps are dealt by chunk as the chunks are, so none is shuffled again for a later sweep.
 
 Null or empty text: the end token alone. A null id counts as the text ''.
 Repeated rows count and are scored as often as they come; without training
@@ -39,23 +42,22 @@ texts the score is the uniform one over the single type end. An empty table give
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from agora.llm.common import id_text, prepare
-from agora.llm.exchange import chunk_count, chunked, cuts, pack, unpack
+from agora.llm.common import byte_slices, id_text, prepare
+from agora.llm.exchange import chunk_count, cuts, pack, unpack
 
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 START, END = (xxhash.xxh64_intdigest(x, 1) for x in (b"start", b"end"))
 
 
@@ -81,17 +83,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Numbers(dict):
-    """word -> its number in order of appearance."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order, ASCII letters lower-cased, coded by their distinct values, and each text's number of words.
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
-def words_of(text: str) -> list[bytes]:
-    """A text's words, ASCII letters lower-cased."""
-    return _WORDS(text.encode().lower())
+    Arrow's ASCII white space is \\x20 and \\x09 to \\x0D."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty string
+    if not some.all():
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        words, sizes = words.filter(pa.array(some)), np.bincount(row[some], minlength=len(sizes))
+    return words.dictionary_encode(), sizes
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,43 +116,79 @@ def is_held_out(doc_id: int | None, mod: int, rest: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == rest
 
 
+STATE = "chunk long, ids array<long>, sizes binary, words binary, target binary"
+STATE_OUT = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()),
+                       ("target", pa.binary())])
+
+
+def parsed(documents: DataFrame, chunk_bytes: int) -> DataFrame:
+    """A row (STATE) per chunk of about ``chunk_bytes`` bytes of text: its ids, tokens by text, the sorted
+    keys of its distinct words, the end and the start, and the tokens as positions among them. Chunks are cut within a task's rows."""
+    def run(batches):
+        first, n, waiting, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for batch in batches:
+            for piece in byte_slices(batch, "text", max(chunk_bytes - size, 1)):
+                waiting.append(piece)
+                size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+                if size >= chunk_bytes:
+                    yield _state(first + n, waiting)
+                    n, waiting, size = n + 1, [], 0
+        if waiting:
+            yield _state(first + n, waiting)
+    return documents.mapInArrow(run, STATE)
+
+
+def _state(number: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(pieces).combine_chunks()
+    coded, sizes = words_of(pa.concat_arrays(table["text"].chunks))
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    keys = mix(np.fromiter((*map(xxhash.xxh64_intdigest, names), START, END), np.uint64, len(names) + 2))
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.uint32)
+    rank[order] = np.arange(len(keys), dtype=np.uint32)
+    ends = np.cumsum(sizes + 1) - 1
+    target = np.full(int((sizes + 1).sum()), rank[-1])
+    is_word = np.ones(len(target), bool)
+    is_word[ends] = False
+    target[is_word] = rank[coded.indices.to_numpy()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
+         *(pa.array([x], pa.binary()) for x in (pack((sizes + 1).astype(np.uint64)), pack(keys[order], True), pack(target)))],
+        schema=STATE_OUT)
+
+
 class Chunk:
-    """A chunk's tokens as indices of its distinct words and bigrams, with training counts of its own."""
-
-    def __init__(self, table: pa.Table, mod: int, rest: int, bits: int):
-        self.ids = table["doc_id"].to_pylist()
-        numbers = Numbers()
-        get, parts = numbers.__getitem__, []
-        for text in table["text"].to_pylist():
-            words = words_of(text or "")
-            parts.append(np.fromiter(map(get, words), np.int64, len(words)))
-        self.held_out = np.array([is_held_out(i, mod, rest) for i in self.ids], bool)
-        self.sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    """A chunk's tokens as indices of its distinct words and bigrams."""
+
+    def __init__(self, state: pa.Table, mod: int, rest: int, bits: int):
+        self.ids = state["ids"][0].as_py()
+        self.words, self.target, self.sizes = (unpack(state[c][0].as_py(), kind, c == "words") for c, kind in
+                                               (("words", np.uint64), ("target", np.uint32), ("sizes", np.uint64)))
+        self.target, self.sizes = self.target.astype(np.int64), self.sizes.astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        keys = mix(np.fromiter((*map(xxhash.xxh64_intdigest, numbers), START, END), np.uint64, len(numbers) + 2))
-        order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        self.words, self.start = keys[order], rank[-2]
-        last = np.array([len(keys) - 1])
-        self.target = rank[np.concatenate([x for p in parts for x in (p, last)])]
+        self.held_out = np.array([is_held_out(i, mod, rest) for i in self.ids], bool)
+        self.start = int(np.searchsorted(self.words, mix(np.array([START], np.uint64)))[0])
         self.context = np.empty_like(self.target)
         self.context[1:] = self.target[:-1]
         self.context[self.starts] = self.start
-        training = np.repeat(~self.held_out, self.sizes)
-        self.word_count = np.bincount(self.target[training], minlength=len(self.words))
-        self.word_count[self.start] = (~self.held_out).sum()
         self.bigrams, at, self.bigram = distinct(bigram_keys(self.words[self.context], self.words[self.target], bits))
-        self.bigram_count = np.bincount(self.bigram[training], minlength=len(self.bigrams))
         self.left, self.right = self.context[at], self.target[at]
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the words, texts for the start, and of the bigrams."""
+        training = np.repeat(~self.held_out, self.sizes)
+        of_word = np.bincount(self.target[training], minlength=len(self.words))
+        of_word[self.start] = (~self.held_out).sum()
+        return of_word, np.bincount(self.bigram[training], minlength=len(self.bigrams))
+
 
-QUESTION = "shard int, kind int, chunk int, keys binary, x binary, y binary, z binary, a long, b long"
-ANSWER = "shard int, kind int, chunk int, x binary, y binary, a long, b long"
+QUESTION = "shard int, kind int, chunk long, keys binary, x binary, y binary, z binary, a long, b long"
+ANSWER = "shard int, kind int, chunk long, x binary, y binary, z binary, a long, b long"
 QUESTION_NAMES = [c.split(" ")[0] for c in QUESTION.split(", ")]
 ANSWER_NAMES = [c.split(" ")[0] for c in ANSWER.split(", ")]
-WORD, BIGRAM, SWEEP, TOTAL = 0, 1, 2, 100    # sweep s has kind SWEEP + s, totals of kind k TOTAL + k
-_KIND = {"keys": pa.binary(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+WORD, BIGRAM, SWEEP = 0, 1, 2    # sweep s has kind SWEEP + s
+_KIND = {"keys": pa.binary(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary(), "a": pa.int64(), "b": pa.int64(),
+         "chunk": pa.int64()}
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -164,8 +202,7 @@ def _ask(kind: int, chunk: int, shards: int, keys: np.ndarray, x: np.ndarray, y:
     packed = lambda v, i, j: None if v is None else pack(v[i:j].astype(np.uint64))
     for shard in range(shards):
         i, j = ends[shard], ends[shard + 1]
-        if i < j:
-            out.append((shard, kind, chunk, pack(keys[i:j], True), packed(x, i, j), packed(y, i, j), packed(z, i, j), a, b))
+        out.append((shard, kind, chunk, pack(keys[i:j], True), packed(x, i, j), packed(y, i, j), packed(z, i, j), a, b))
     return _table(out, QUESTION_NAMES)
 
 
@@ -175,7 +212,7 @@ def _reply(table: pa.Table, s: Settings) -> pa.Table:
     Words: x the training count. Bigrams: x twice the training count, plus 1
     for the first chunk that has it in training. Sweeps: x the tables of a
     context, y those of a word (with z a word's root tables of the sweep before, a
-    their sum over all words and b the types). One more row per kind has totals over the
+    their sum over all words and b the types) and z the word's root tables. a and b are totals over the
     shard: of x and of types with x > 0, or of y and of the root's tables.
     """
     out, rows = [], sorted(table.to_pylist(), key=lambda r: (r["kind"], r["chunk"]))
@@ -196,7 +233,8 @@ def _reply(table: pa.Table, s: Settings) -> pa.Table:
                 before = np.zeros(len(distinct), np.int64)
                 before[index] = np.concatenate([unpack(r["z"], np.uint64) for r in own]).astype(np.int64)
                 given = own[0]["a"] - before, own[0]["b"]
-            a, b, answer = sum_y.sum(), root_tables(sum_y, distinct, kind - SWEEP, s, given).sum(), sum_x[index]
+            root = root_tables(sum_y, distinct, kind - SWEEP, s, given)
+            a, b, answer = sum_y.sum(), root.sum(), sum_x[index]
         else:
             sum_y, a, b, answer = None, sum_x.sum(), (sum_x > 0).sum(), sum_x[index]
         if kind == BIGRAM:
@@ -205,9 +243,8 @@ def _reply(table: pa.Table, s: Settings) -> pa.Table:
             np.minimum.at(first, index[has], has)
             answer = 2 * answer + (first[index] == np.arange(len(x)))
         for r, n, e in zip(own, map(len, keys), ends):
-            out.append((shard, kind, r["chunk"], pack(answer[e - n:e]),
-                        pack(sum_y[index[e - n:e]]) if sum_y is not None else None, None, None))
-        out.append((shard, TOTAL + kind, -1, None, None, int(a), int(b)))
+            of_word = (None, None) if sum_y is None else [pack(v[index[e - n:e]].astype(np.int64)) for v in (sum_y, root)]
+            out.append((shard, kind, r["chunk"], pack(answer[e - n:e]), *of_word, int(a), int(b)))
     return _table(out, ANSWER_NAMES)
 
 
@@ -224,8 +261,8 @@ class Answers:
         return np.concatenate([unpack(r[column], np.int64) for r in rows]) if rows else np.zeros(n, np.int64)
 
     def total(self, kind: int) -> tuple[int, int]:
-        row = self.rows.get(TOTAL + kind, [{"a": 0, "b": 0}])[0]
-        return row["a"] or 0, row["b"] or 0
+        rows = self.rows.get(kind, [])
+        return sum(r["a"] for r in rows), sum(r["b"] for r in rows)
 
 
 @lru_cache(maxsize=4)
@@ -258,16 +295,30 @@ def log_ways(discount: float, size: int) -> np.ndarray:
         return np.log(out)
 
 
+@lru_cache(maxsize=4)
+def ways_by_tables(discount: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``log_ways`` with a row per number of tables, so that sums run over whole rows, and their exponentials."""
+    logs = np.ascontiguousarray(log_ways(discount, size).T)
+    return logs, np.exp(logs)
+
+
 def _window(c: np.ndarray, others: np.ndarray, base: np.ndarray, u: np.ndarray, strength: float, discount: float,
-            size: int) -> np.ndarray:
+            size: int, few: bool = False) -> np.ndarray:
     """Draws from the weights of 1 to ``size`` tables. Beyond ROWS customers, what a
-    logarithm of ``log_ways`` lacks to 0 falls with the customers' power -discount."""
-    t = np.arange(1, size)
-    ways = log_ways(discount, size)[np.minimum(c, ROWS)] * (np.maximum(c / ROWS, 1.0) ** -discount)[:, None]
-    opens = (strength + discount * (others[:, None] + t)) * base[:, None] / (discount * t)
-    ways[:, 1:] += np.cumsum(np.log(opens), 1)
-    chance = np.cumsum(np.exp(ways - ways.max(1, keepdims=True)), 1)
-    return 1 + (chance < u[:, None] * chance[:, -1:]).sum(1)
+    logarithm of ``log_ways`` lacks to 0 falls with the customers' power -discount.
+    With ``few`` tables to be expected and ROWS customers at most, weights are multiplied without logarithms."""
+    t = np.arange(1, size)[:, None]
+    opens = (strength + discount * (others + t)) * base / (discount * t)
+    logs, plain = ways_by_tables(discount, size)
+    if few:
+        chance = plain[:, c]
+        chance[1:] *= np.cumprod(opens, 0)
+    else:
+        ways = logs[:, np.minimum(c, ROWS)] * np.maximum(c / ROWS, 1.0) ** -discount
+        ways[1:] += np.cumsum(np.log(opens), 0)
+        chance = np.exp(ways - ways.max(0))
+    chance = np.cumsum(chance, 0)
+    return 1 + (chance < u * chance[-1]).sum(0)
 
 
 _Z = np.linspace(-8.5, 8.5, 6801)
@@ -314,9 +365,14 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
     for c in range(2, SMALL + 1):
         for i in range(ends[c - 2], ends[c - 1], (1 << 18) // c):
             at = order[i:min(i + (1 << 18) // c, ends[c - 1])]
-            chance = (strength + discount * (others[at][:, None] + np.arange(c))) * base[at][:, None]
-            chance = np.cumsum(np.cumprod(chance, 1) * ways[c, 1:c + 1], 1)
-            tables[at] = 1 + (chance < u[at][:, None] * chance[:, -1:]).sum(1)
+            others_at, base_at = others[at], base[at]
+            opens, total, chance = 1.0, 0.0, []
+            for t in range(c):  # whole columns: rows of a few numbers are slow
+                opens = opens * ((strength + discount * (others_at + t)) * base_at)
+                total = total + opens * ways[c, t + 1]
+                chance.append(total)
+            least = u[at] * total
+            tables[at] = 1 + sum((x < least).astype(tables.dtype) for x in chance)
     rows = order[ends[-1]:]
     if not len(rows):
         return tables
@@ -324,11 +380,14 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, u:
     exact = max(exact, 64)
     left = np.maximum(1 - base[rows], 1e-9)
     mean = (strength / discount + others[rows] + 1) * base[rows] / left
-    near = (customers[rows] <= exact) | (mean + 7 * np.sqrt(mean / left + 1) < exact)
-    far, rows = rows[~near], rows[near]
-    for i in range(0, len(rows), (1 << 18) // exact):
-        at = rows[i:i + (1 << 18) // exact]
-        tables[at] = _window(customers[at], others[at], base[at], u[at], strength, discount, exact)
+    reach = mean + 7 * np.sqrt(mean / left + 1)
+    near = (customers[rows] <= exact) | (reach < exact)
+    few = (customers[rows] <= ROWS) & (reach < 64)  # products of 64 such chances stay in range
+    far = rows[~near]
+    for part, plain in ((rows[near & few], True), (rows[near & ~few], False)):
+        for i in range(0, len(part), (1 << 18) // exact):
+            at = part[i:i + (1 << 18) // exact]
+            tables[at] = _window(customers[at], others[at], base[at], u[at], strength, discount, exact, plain)
     if len(far):
         tables[far] = _large(customers[far].astype(float), others[far], base[far], u[far], strength, discount)
     return tables
@@ -383,8 +442,7 @@ class Model:
         by_context = self.answers.get(SWEEP + sweep, "x", n)
         by_word = self.answers.get(SWEEP + sweep, "y", n)
         customers, tables = self.answers.total(SWEEP + sweep)
-        given = (self.own_total - self.own, self.types) if s.root_given else None
-        self.own, self.own_total = root_tables(by_word, self.chunk.words, sweep, s, given), tables
+        self.own, self.own_total = self.answers.get(SWEEP + sweep, "z", n), tables
         root = by_word - s.root_discount * self.own + (s.root_strength + s.root_discount * tables) / (self.types + 1)
         return by_context, by_word, root / (s.root_strength + customers)
 
@@ -415,12 +473,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
     documents = id_text(df, id_col, text_col)
     chunks = chunk_count(documents, s.chunk_bytes)
     shards = max(12, chunks // 2)
-    by_chunk = chunked(documents, chunks).groupBy("chunk")
+    # a stated number of partitions, the same for chunks and answers: both lie in place for every sweep
+    dealt = lambda rows: rows.repartition(chunks, "chunk")
+    by_chunk = dealt(parsed(documents, s.chunk_bytes)).groupBy("chunk")
 
     def ask_counts(table: pa.Table) -> pa.Table:
         number, chunk = table["chunk"][0].as_py(), Chunk(table, mod, rest, s.bigram_bits)
-        return pa.concat_tables([_ask(WORD, number, shards, chunk.words, chunk.word_count),
-                                 _ask(BIGRAM, number, shards, chunk.bigrams, chunk.bigram_count)])
+        of_word, of_bigram = chunk.counts()
+        return pa.concat_tables([_ask(WORD, number, shards, chunk.words, of_word),
+                                 _ask(BIGRAM, number, shards, chunk.bigrams, of_bigram)])
 
     def state(table: pa.Table, answers: pa.Table, sweep: int, own_only: bool) -> tuple[Chunk, Model]:
         chunk = Chunk(table, mod, rest, s.bigram_bits)
@@ -463,12 +524,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: in
                          pa.array(add(by_word[chunk.target])), pa.array(add(log_p[chunk.bigram]))], schema=OUT)
 
     def answered(questions: DataFrame) -> DataFrame:
-        """Answers by chunk, and the totals, one row of which goes to every chunk."""
-        replies = questions.groupBy("shard").applyInArrow(lambda table: _reply(table, s), ANSWER)
-        totals = (replies.where(F.col("kind") >= TOTAL).groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-                  .select(F.lit(0).alias("shard"), "kind", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-                          F.lit(None).cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"), "a", "b"))
-        return replies.where(F.col("kind") < TOTAL).unionByName(totals)
+        return dealt(questions.groupBy("shard").applyInArrow(lambda table: _reply(table, s), ANSWER))
 
     known = answered(by_chunk.applyInArrow(ask_counts, QUESTION))
     for sweep in range(1, s.sweeps + 1):

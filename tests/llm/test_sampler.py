@@ -1,8 +1,10 @@
 """The language model's sampler: draws of many customers, and the root given its own tables."""
 
+import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import test_model
 from helpers import odd, odd_rows
@@ -85,3 +87,31 @@ def test_root_is_drawn_given_its_other_tables(spark, monkeypatch):
     for chunk in (1 << 23, 900):
         assert test_model.fast_scores(odd(spark), pitman_yor.Settings(root_given=True, chunk_bytes=chunk)) == want
     assert want != test_model.slow_scores(rows, pitman_yor.Settings())
+
+
+def test_texts_are_parsed_once_and_answers_stay_in_place(spark):
+    """One pass over the texts builds the chunks; every exchange by chunk and every shard's answers are made once."""
+    out = pitman_yor.score(odd(spark), s=pitman_yor.Settings(root_given=True, chunk_bytes=900))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = [x for x in plan.split("\n") if "Exchange" in x and "Reused" not in x]
+    sweeps = pitman_yor.Settings().sweeps
+    assert sum("hashpartitioning(chunk" in x for x in lines) == 2 + sweeps  # the chunks, the counts, each sweep's answers
+    assert sum("hashpartitioning(shard" in x for x in lines) == 1 + sweeps
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", " \t", "A b\x0bC\x0c\x1c d\r\n", "É\xa0x\x85y z", "\x00 a ", " lead", "the  two", None]
+    coded, sizes = pitman_yor.words_of(pa.array(texts, pa.string()))
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    assert [w.encode() for w in coded.to_pylist()] == [w for ws in want for w in ws]
+    assert sizes.tolist() == [len(ws) for ws in want]
+
+
+def test_draws_without_logarithms_are_those_with():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    c, others, base, u = rng.integers(17, 4096, n), rng.integers(0, 5000, n).astype(float), rng.random(n) * 1e-3, rng.random(n)
+    args = (c, others, base, u, 1.0, 0.75, 64)
+    few, plain = pitman_yor._window(*args, True), pitman_yor._window(*args)
+    assert (few == plain).all() and few.max() > 5

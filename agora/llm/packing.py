@@ -19,6 +19,8 @@ of any length is encoded whole.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,12 +33,30 @@ SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
 
 
+def _ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if out.itemsize != 4 or sys.byteorder != "little":
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+    return out.tobytes()
+
+
+def _byte_level(text: str) -> str:
+    """A text's UTF-8 bytes as the characters byte-level vocabularies write them with."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return "".join(chr(b) if b in own else chr(256 + rest.index(b)) for b in text.encode())
+
+
 class WordEncoder:
     """Ids of a text under a tokenizers file whose words end at white space and are lower-cased.
 
     ASCII letters are lower-cased and the text is cut at ASCII white space
     first, which that vocabulary does anyhow; the library then encodes each
-    distinct part once per worker. A text that could hold a special token, or
+    distinct part once per worker. A part of Latin-1 letters and trailing ASCII
+    marks is one word and one run of marks there: letters go straight to the
+    library's merges, spelled as its byte-level characters (checked when it is loaded).
+    A text that could hold a special token, or
     a vocabulary of another make, is encoded whole.
     """
 
@@ -50,24 +70,36 @@ class WordEncoder:
         ids = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probe]
         self.by_word = (ids[0] == ids[1] + ids[2] and ids[3] == ids[4] + ids[5] + ids[2]
                         and ids[6] == ids[1] + ids[7])
-        self.tokenize = self.tokenizer.model.tokenize
-        self.plain_word = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.tokenize = self.tokenizer.model.tokenize  # its letters are byte-level characters
+        self.spelled = {c: _byte_level(chr(c)) for c in range(0xDF, 0x100) if chr(c).islower()}
+        sample = "".join(map(chr, self.spelled))
+        words = [*sample, sample, "a" + sample[::-1] + "z", *(x + y for x, y in zip(sample, sample.upper().replace("SS", "")))]
+        if any(self._letters(w.lower()) != self._whole(w) for w in words):
+            self.spelled = {}
+        letters = "a-z" + ("\xc0-\xd6\xd8-\xde" + re.escape("".join(map(chr, self.spelled))) if self.spelled else "")
+        self.plain_word = re.compile(f"([{letters}]+)([!-&(-/:-@\\[-`{{-~]*)").fullmatch
         self.special = [t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = WordCache(self._part, 250_000)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of one lower-case word of plain letters."""
+        return _ids([t.id for t in self.tokenize(word if word.isascii() else word.translate(self.spelled))])
 
     def _part(self, part: bytes) -> bytes:
         if not part:
             return b""
-        if hit := self.plain_word(part):
+        text = part.decode()
+        if hit := self.plain_word(text):
             word, marks = hit.groups()
             if not marks:
-                return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word.decode())])
-            return self.cache[word] + (self._whole(marks.decode()))
-        return self._whole(part.decode())
+                return self._letters(word if part.isascii() else word.lower())
+            key, cache = part[:-len(marks)], self.cache
+            known = cache.get(key) or cache.old.get(key)  # not stored for its own sake: most such words come once
+            return (known or self._letters(word if part.isascii() else word.lower())) + cache[marks.encode()]
+        return self._whole(text)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""

@@ -132,3 +132,16 @@ def test_queries_on_the_small_table(spark):
     want = [(i, words.encode(t, add_special_tokens=False).ids + [2]) for i, t in docs.items()]
     padding, total = check_packing(queries.op5_packing(spark, sf).collect(), want, 4096)
     assert padding <= 0.01 * total
+
+
+def test_words_of_latin_letters_skip_the_whole_encoder(monkeypatch):
+    """Words of Latin-1 letters with trailing marks are the library's without a call of its whole pipeline for each."""
+    mine, library = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    rng, letters = random.Random(9), "abcxyzßàéñöøÿÀÉÑÖØÞ"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 8))) + rng.choice(["", "", ",", "###", ".$$$"]) for _ in range(3000)]
+    words += ["µ", "ª", "×÷", "Ÿ", "İx", "é", "ña,", "ſ", "don't", "é's", "\xad", "É́", "ñ1", "a​é"]
+    calls, whole = [], mine._whole
+    monkeypatch.setattr(mine, "_whole", lambda text: calls.append(text) or whole(text))
+    for word in words:
+        assert np.frombuffer(mine(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, repr(word)
+    assert len(calls) < 30

@@ -370,14 +370,16 @@ def representatives(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     Rows of the same id and words count as one, that of the smallest hash; of
     texts without any id in their class, one row stays.
     """
-    kept = near_duplicates(documents, s=s).where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("words").alias("kept_words"))
+    # keys without nulls, so that the join's own dealing serves the choice among equal rows and texts move once
+    key = [F.coalesce("doc_id", F.lit(0)).alias("kept_id"), F.col("doc_id").isNull().alias("no_id"), F.col("words").alias("kept_words")]
+    names = ["kept_id", "no_id", "kept_words"]
+    kept = near_duplicates(documents, s=s).where("kept").select(*key)
+
     def make():
         def run(texts: list[str]) -> list[pa.Array]:
             return [pa.array([digest(words_of(t)) for t in texts], pa.binary())]
         return run
     rows = map_rows(documents, make, [StructField("words", BinaryType())]).select(
         "*", F.col("row.doc_id").cast("long").alias("doc_id"))
-    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["words"] == kept["kept_words"])
     first = F.min_by("row", F.xxhash64("row"))  # the same one whenever a task runs again
-    return rows.join(kept, same, "left_semi").groupBy("doc_id", "words").agg(first.alias("row")).select("row.*")
+    return rows.select("row", *key).join(kept, names, "left_semi").groupBy(*names).agg(first.alias("row")).select("row.*")

@@ -87,6 +87,22 @@ def test_representatives_and_empty(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_representatives_move_texts_once(spark):
+    """The choice among rows of one id and text happens where the join with the kept ids put them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.representatives(odd(spark))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and "Exchange" not in plan.split("LeftSemi")[0]
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(repr, rows)) == sorted(map(repr, minhash.representatives(odd(spark)).collect()))
+    assert len({(r.doc_id, r.text) for r in rows}) == len(rows) and 2 not in {r.doc_id for r in rows}
+    assert any(r.doc_id is None for r in rows)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(60)] + [(None, 1), (7, 7)]

@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -43,6 +44,7 @@ from pyspark.sql.types import BinaryType, StructField
 
 from agora.llm.common import byte_slices, id_text, map_batches, map_rows, prepare, strings, with_blocks
 from agora.llm.components import components
+from agora.session import ensure_checkpoint_dir
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -250,6 +252,14 @@ def verified(pairs: DataFrame, documents: DataFrame, shared, threshold: float) -
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _meeting(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the texts that share a bucket, one per id. All texts are dealt for this once; those that
+    meet are written, and both the leaders' test and the one across components read them there."""
+    folder = f"{ensure_checkpoint_dir(documents.sparkSession)}/minhash-{uuid.uuid4().hex}"
+    documents.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).write.parquet(folder)
+    return documents.sparkSession.read.schema("doc_id long, text string").parquet(folder)
+
+
 def _row_similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weighted Jaccard similarity of one weight vector to each of several."""
     shingle, weight = (np.concatenate([o[k] for o in others]) for k in (0, 1))
@@ -341,7 +351,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = (banded.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"))
            .where(F.col("n") > 1).select("key", "a"))
     first = banded.join(led, "key").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
-    links = verified(_loose(first, texts, s).checkpoint(), documents, shared, s.threshold).checkpoint()
+    meeting = _meeting(documents, banded.join(led, "key").select(F.col("rep").alias("doc_id")).distinct())
+    links = verified(_loose(first, texts, s).checkpoint(), meeting, shared, s.threshold).checkpoint()
     classes = components(links).checkpoint()
 
     open_ = (banded.join(led, "key").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
@@ -349,8 +360,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = (open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
     members = open_.join(mixed, "key", "left_semi").checkpoint()
-    found = documents.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(texts, "rep")
+    found = meeting.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = found.select(F.col("doc_id").alias("rep"), "text").join(texts, "rep")
     more = _across(members, found, shared, s)
     edges = more.unionByName(classes.where(F.col("node") != F.col("component"))
                              .select(F.col("component").alias("a"), F.col("node").alias("b")))

@@ -103,6 +103,18 @@ def test_representatives_move_texts_once(spark):
     assert any(r.doc_id is None for r in rows)
 
 
+def test_texts_are_dealt_once_for_both_tests(spark, monkeypatch):
+    """Texts that share a bucket are written once; the leaders' test and the one across components read them there."""
+    made, given = [], []
+    meeting, verified = minhash._meeting, minhash.verified
+    monkeypatch.setattr(minhash, "_meeting", lambda *a: made.append(meeting(*a)) or made[-1])
+    monkeypatch.setattr(minhash, "verified", lambda pairs, documents, *a: given.append(documents) or verified(pairs, documents, *a))
+    minhash.near_duplicates(odd(spark)).collect()
+    assert len(made) == 1 and given == made
+    ids = [r.doc_id for r in made[0].collect()]
+    assert len(set(ids)) == len(ids) and {1, 3} <= set(ids) and not {4, 5, 6, 7, 10, 11, 14} & set(ids)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(60)] + [(None, 1), (7, 7)]

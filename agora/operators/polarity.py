@@ -14,10 +14,9 @@ any other scorer.
 
 Scale: pairs are counted with partial aggregation beside the scan, so only
 distinct pairs of a task are shuffled; the graph is as large as the vocabulary
-allows, not as the corpus. It is cached once, dealt by the neighbour, and stays where it is; a
-round is one join of the scores with it and one sum per word. A word that
-meets a third of all others is one key of that join, which Spark splits at
-runtime, and its scores are summed before the shuffle.
+allows, not as the corpus. It is packed into blocks that are cached once and stay
+where they are (``wordgraph``); a round sends a block the scores it needs as
+packed numbers, and sums over arrays.
 
 Null and empty texts have no words. A word next to itself makes no edge. Seeds
 absent from the texts have no edges; they stay in the lexicon. An empty table
@@ -26,7 +25,6 @@ gives the seeds alone.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,7 @@ from agora import lexicon
 from agora.functions.scalar import sentiment_from_output
 from agora.functions.text import is_blank, word_tokens
 from agora.operators.kmeans import stored
-from agora.session import ensure_checkpoint_dir
+from agora.operators.wordgraph import Graph
 
 
 def cooccurrences(comments: DataFrame, window: int = 2, min_pairs: int = 2, body: str = "body") -> DataFrame:
@@ -84,34 +82,20 @@ def seed_scores(spark, positive=None, negative=None) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-3,
               max_rounds: int = 100, stride: int = 4) -> DataFrame:
     """(word, score) of all words of the graph and all seeds, after ``rounds`` rounds or, if not given, when no
-    score moves by ``tolerance`` in ``stride`` rounds any more (``max_rounds`` at most). Scores are checkpointed
+    score moves by ``tolerance`` in ``stride`` rounds any more (``max_rounds`` at most). Scores are written
     every ``stride`` rounds, as a round alone is a small job. ``edges`` has shares, or weights whose sum per word
     divides."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    size = "share" if "share" in edges.columns else "weight"
-    # a stated number of partitions, so that every join on the neighbour finds the graph in place
-    graph = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "neighbour").persist(StorageLevel.MEMORY_AND_DISK)
-    words = graph.groupBy("word").agg((F.sum(size) if size == "weight" else F.first(F.lit(1.0))).alias("whole"))
-    base = words.join(seeds, "word", "full_outer").select("word", "seed", "whole").checkpoint()
-    scores = saved = base.select("word", F.coalesce("seed", F.lit(0.0)).alias("score"))
-    last = max_rounds if rounds is None else rounds
-    for done in range(1, last + 1):
-        known = scores.where(F.col("score") != 0).select(F.col("word").alias("neighbour"), "score")
-        means = (graph.join(known, "neighbour").groupBy("word")
-                 .agg(F.sum(F.col(size) * F.col("score")).alias("sum")))
-        scores = base.join(means, "word", "left").select(
-            "word", F.coalesce("seed", F.col("sum") / F.col("whole"), F.lit(0.0)).alias("score"))
-        if done % stride and done < last:
-            continue
-        scores = scores.checkpoint()
+    graph = Graph(edges, seeds)
+    state, done, last = None, 0, max_rounds if rounds is None else rounds
+    while done < last:
+        state = graph.advance(state, min(stride, last - done))
+        done += stride
         if rounds is None:
-            moved = (scores.join(saved.withColumnRenamed("score", "old"), "word")
-                     .agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0])  # one number
+            moved = state.agg(F.max("moved")).first()[0]  # one number
             if moved is None or moved < tolerance:
                 break
-        saved = scores
-    graph.unpersist()  # the scores are written
+    scores = stored(graph.scores(state))
+    graph.release()
     return scores
 
 

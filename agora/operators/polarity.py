@@ -12,8 +12,9 @@ its words' scores over the sum of their sizes, the label is x's sign and the
 confidence 0.5 + |x| / 2, so the threshold and the NEUTRAL default apply as for
 any other scorer.
 
-Scale: pairs are counted with partial aggregation beside the scan, so only
-distinct pairs of a task are shuffled; the graph is as large as the vocabulary
+Scale: texts are read once into chunks of numbered words (``wordtexts``); a
+chunk's distinct pairs are sorted, packed and dealt to buckets that add them
+up; the graph is as large as the vocabulary
 allows, not as the corpus. It is packed into blocks that are cached once and stay
 where they are (``wordgraph``); a round sends a block the scores it needs as
 packed numbers, and sums over arrays.
@@ -30,29 +31,29 @@ from pyspark.sql import functions as F
 
 from agora import lexicon
 from agora.functions.scalar import sentiment_from_output
-from agora.functions.text import is_blank, word_tokens
 from agora.operators.kmeans import stored
 from agora.operators.wordgraph import Graph
+from agora.operators.wordtexts import Texts
 
 
-def cooccurrences(comments: DataFrame, window: int = 2, min_pairs: int = 2, body: str = "body") -> DataFrame:
+def cooccurrences(comments: DataFrame | Texts, window: int = 2, min_pairs: int = 2, body: str = "body") -> DataFrame:
     """(a, b, n) with a < b: how often two different words stand within ``window`` words of each other, if
-    ``min_pairs`` times or more."""
-    words = comments.select(word_tokens(F.col(body)).alias("words"))
-    near = words.select(F.explode(F.transform("words", lambda w, i: F.struct(
-        w.alias("word"), F.slice("words", i + 2, window).alias("following")))).alias("at"))
-    pairs = near.select(F.col("at.word").alias("word"), F.explode("at.following").alias("other"))
-    return (pairs.where(F.col("word") != F.col("other"))
-            .groupBy(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs))
+    ``min_pairs`` times or more. Of ``Texts``, a and b are the words' numbers."""
+    if isinstance(comments, Texts):
+        return comments.pairs(window, min_pairs)
+    texts = Texts(comments, body=body)
+    words = texts.vocabulary()
+    named = (texts.pairs(window, min_pairs).join(words.select(F.col("id").alias("a"), F.col("word").alias("x")), "a")
+             .join(words.select(F.col("id").alias("b"), F.col("word").alias("y")), "b"))
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n")
 
 
-def ppmi_weights(pairs: DataFrame) -> DataFrame:
+def ppmi_weights(pairs: DataFrame, written: bool = False) -> DataFrame:
     """(word, neighbour, weight): both directions of every pair of positive PMI.
 
     A pair's weight is the same in both directions, so it is found on the pair, before the rows are doubled. Pairs
-    and their words are read several times, so both are written once."""
-    pairs = stored(pairs)
+    (unless ``written``) and their words are read several times, so both are written once."""
+    pairs = pairs if written else stored(pairs)
     met = stored(pairs.select(F.explode(F.array("a", "b")).alias("word"), "n")
                  .groupBy("word").agg(F.sum("n").alias("met")))
     total = met.agg(F.sum("met")).scalar()
@@ -80,12 +81,12 @@ def seed_scores(spark, positive=None, negative=None) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-3,
-              max_rounds: int = 100, stride: int = 4) -> DataFrame:
+              max_rounds: int = 100, stride: int = 4, most: int | None = None) -> DataFrame:
     """(word, score) of all words of the graph and all seeds, after ``rounds`` rounds or, if not given, when no
     score moves by ``tolerance`` in ``stride`` rounds any more (``max_rounds`` at most). Scores are written
     every ``stride`` rounds, as a round alone is a small job. ``edges`` has shares, or weights whose sum per word
-    divides."""
-    graph = Graph(edges, seeds)
+    divides; they are ``most`` in number (they are written and counted if that is not given)."""
+    graph = Graph(edges, seeds, most)
     state, done, last = None, 0, max_rounds if rounds is None else rounds
     while done < last:
         state = graph.advance(state, min(stride, last - done))
@@ -99,11 +100,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tol
     return scores
 
 
-def learn(comments: DataFrame, positive=None, negative=None, window: int = 2, min_pairs: int = 2,
+def learn(comments: DataFrame | Texts, positive=None, negative=None, window: int = 2, min_pairs: int = 2,
           rounds: int | None = None, body: str = "body") -> DataFrame:
-    """(word, score) in [-1, 1], learned from ``comments``."""
-    edges = ppmi_weights(cooccurrences(comments, window, min_pairs, body))
-    return propagate(edges, seed_scores(comments.sparkSession, positive, negative), rounds)
+    """(word, score) in [-1, 1], learned from ``comments``. Between texts and lexicon, words are numbers."""
+    texts = comments if isinstance(comments, Texts) else Texts(comments, body=body)
+    pairs = stored(cooccurrences(texts, window, min_pairs))
+    seeds = seed_scores(texts.spark, positive, negative)
+    known = stored(seeds.join(texts.vocabulary(), "word", "left"))
+    scores = propagate(ppmi_weights(pairs, written=True), known.where("id IS NOT NULL").select(F.col("id").alias("word"), "seed"),
+                       rounds, most=2 * pairs.count())
+    named = scores.withColumnRenamed("word", "id").join(texts.vocabulary(), "id").select("word", "score")
+    return stored(named.unionAll(known.where("id IS NULL").select("word", F.col("seed").alias("score"))))
 
 
 def raw_output(total: Column, size: Column) -> tuple[Column, Column]:
@@ -113,18 +120,15 @@ def raw_output(total: Column, size: Column) -> tuple[Column, Column]:
     return label, F.coalesce(F.lit(0.5) + F.abs(x) / 2, F.lit(0.0))
 
 
-def score(comments: DataFrame, learned: DataFrame, least: float = 0.05, key: str = "comment_id",
+def score(comments: DataFrame | Texts, learned: DataFrame, least: float = 0.05, key: str = "comment_id",
           body: str = "body") -> DataFrame:
     """M2: (key, sentiment) of every comment. Words whose score is below ``least`` in size don't count.
 
-    A lexicon small enough for Spark to broadcast is looked up beside the scan;
-    a larger one is joined by word, where Spark splits the words that most
-    comments hold.
+    A chunk of comments looks up each of its distinct words once, at the shard of the lexicon that holds it; the
+    comments' own words are neither joined nor shuffled.
     """
-    words = comments.select(key, word_tokens(F.col(body)).alias("words"))
-    counted = (words.select(key, F.explode("words").alias("word"))
-               .join(learned.where(F.abs("score") >= least), "word")
-               .groupBy(key).agg(F.sum("score").alias("total"), F.sum(F.abs("score")).alias("size")))
+    texts = comments if isinstance(comments, Texts) else Texts(comments, key, body)
     label, confidence = raw_output(F.col("total"), F.col("size"))
-    return comments.select(key, is_blank(F.col(body)).alias("blank")).join(counted, key, "left").select(
-        key, F.when(F.col("blank"), "NEUTRAL").otherwise(sentiment_from_output(label, confidence)).alias("sentiment"))
+    return texts.sums(learned.where(F.abs("score") >= least)).select(
+        F.col("key").alias(key),
+        F.when(F.col("blank"), "NEUTRAL").otherwise(sentiment_from_output(label, confidence)).alias("sentiment"))

@@ -166,9 +166,10 @@ def unpacker(schema: pa.Schema):
 
 
 class Graph:
-    """Packed blocks of ``edges`` (word, neighbour, share or weight), with the scores of ``seeds`` (word, seed)."""
+    """Packed blocks of ``edges`` (word, neighbour, share or weight), ``most`` in number if known, with the scores of
+    ``seeds`` (word, seed)."""
 
-    def __init__(self, edges: DataFrame, seeds: DataFrame) -> None:
+    def __init__(self, edges: DataFrame, seeds: DataFrame, most: int | None = None) -> None:
         from pyspark.sql.pandas.types import to_arrow_schema  # noqa: PLC0415
 
         self.spark, self.arrow = edges.sparkSession, to_arrow_schema
@@ -176,8 +177,8 @@ class Graph:
         self.shares = "share" in edges.columns
         size = F.col("share" if self.shares else "weight").cast("double").alias("size")
         self.kind = edges.schema["word"].dataType
-        edges = stored(edges)  # counted before they are dealt
-        n = edges.count()
+        edges = stored(edges) if most is None else edges  # counted before they are dealt
+        n = edges.count() if most is None else most
         self.count = max(1, math.ceil(n / BLOCK), min(SPREAD, math.ceil(n / SPREAD_BLOCK)))
         keys = F.array(*[F.lit(k) for k in block_keys(self.spark, self.count)])
 

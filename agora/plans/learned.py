@@ -55,7 +55,7 @@ def sentiment_lexicon(spark, sf):
 
 @query("sentiment_learned", "M2, lexicon learned until it settles, over all comments")
 def sentiment_learned(spark, sf):
-    comments = T.v_comment(spark, sf).select("comment_id", "body")
+    comments = polarity.Texts(T.v_comment(spark, sf).select("comment_id", "body"), "comment_id")
     return polarity.score(comments, polarity.learn(comments))
 
 

@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from agora import lexicon
 from agora.functions.scalar import sentiment_from_output
-from agora.operators.kmeans import stored
 from agora.operators.wordgraph import Graph
-from agora.operators.wordtexts import Texts
+from agora.operators.wordtexts import Texts, kept
 
 
 def cooccurrences(comments: DataFrame | Texts, window: int = 2, min_pairs: int = 2, body: str = "body") -> DataFrame:
@@ -53,8 +52,8 @@ def ppmi_weights(pairs: DataFrame, written: bool = False) -> DataFrame:
 
     A pair's weight is the same in both directions, so it is found on the pair, before the rows are doubled. Pairs
     (unless ``written``) and their words are read several times, so both are written once."""
-    pairs = pairs if written else stored(pairs)
-    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("word"), "n")
+    pairs = pairs if written else kept(pairs)
+    met = kept(pairs.select(F.explode(F.array("a", "b")).alias("word"), "n")
                  .groupBy("word").agg(F.sum("n").alias("met")))
     total = met.agg(F.sum("met")).scalar()
     side = lambda k: met.select(F.col("word").alias(k), F.col("met").alias(f"met_{k}"))
@@ -95,7 +94,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tol
             moved = state.agg(F.max("moved")).first()[0]  # one number
             if moved is None or moved < tolerance:
                 break
-    scores = stored(graph.scores(state))
+    scores = kept(graph.scores(state))
     graph.release()
     return scores
 
@@ -104,13 +103,13 @@ def learn(comments: DataFrame | Texts, positive=None, negative=None, window: int
           rounds: int | None = None, body: str = "body") -> DataFrame:
     """(word, score) in [-1, 1], learned from ``comments``. Between texts and lexicon, words are numbers."""
     texts = comments if isinstance(comments, Texts) else Texts(comments, body=body)
-    pairs = stored(cooccurrences(texts, window, min_pairs))
+    pairs = kept(cooccurrences(texts, window, min_pairs))
     seeds = seed_scores(texts.spark, positive, negative)
-    known = stored(seeds.join(texts.vocabulary(), "word", "left"))
+    known = kept(seeds.join(texts.vocabulary(), "word", "left"))
     scores = propagate(ppmi_weights(pairs, written=True), known.where("id IS NOT NULL").select(F.col("id").alias("word"), "seed"),
                        rounds, most=2 * pairs.count())
     named = scores.withColumnRenamed("word", "id").join(texts.vocabulary(), "id").select("word", "score")
-    return stored(named.unionAll(known.where("id IS NULL").select("word", F.col("seed").alias("score"))))
+    return kept(named.unionAll(known.where("id IS NULL").select("word", F.col("seed").alias("score"))))
 
 
 def raw_output(total: Column, size: Column) -> tuple[Column, Column]:

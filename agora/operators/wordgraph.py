@@ -21,23 +21,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.common import prepare
-from agora.operators.kmeans import stored
+from agora.llm.common import prepare, release
+from agora.operators.wordtexts import kept
 
 OWN, EDGES, ASK, SEND = range(4)
-#: A block has up to BLOCK edges on average; small graphs are dealt to up to SPREAD blocks.
-BLOCK, SPREAD, SPREAD_BLOCK = 1 << 22, 16, 1 << 18
+#: A block has up to BLOCK edges on average; small graphs are dealt to up to SPREAD blocks. Beyond SPREAD tasks, a task
+#: has two blocks, which it takes one after the other.
+BLOCK, SPREAD, SPREAD_BLOCK = 1 << 21, 16, 1 << 18
 #: Edges of a row, so that no row is large.
 SLICE = 1 << 18
 MAIL = "block int, far int, values binary, moved double"
 
 
-def block_keys(spark, count: int) -> list[int]:
-    """``count`` integers that Spark's hash deals to as many different partitions of ``count``."""
-    dealt = spark.range(count * (8 + 2 * count.bit_length())).select(F.col("id").cast("int").alias("key"))
-    found = dealt.groupBy(F.pmod(F.hash("key"), F.lit(count)).alias("at")).agg(F.min("key").alias("key")).collect()
-    keys = {r["key"] for r in found}
-    spare = (k for k in range(2 * count) if k not in keys)
+def block_keys(spark, count: int, tasks: int) -> list[int]:
+    """``count`` different integers that Spark's hash deals evenly to ``tasks`` partitions."""
+    turns = math.ceil(count / tasks)
+    some = spark.range(tasks * (8 * turns + 2 * tasks.bit_length())).select(F.col("id").cast("int").alias("key"))
+    found = (some.groupBy(F.pmod(F.hash("key"), F.lit(tasks)).alias("at"))
+             .agg(F.slice(F.sort_array(F.collect_list("key")), 1, turns).alias("keys")).collect())
+    keys = [r["keys"][turn] for turn in range(turns) for r in sorted(found) if len(r["keys"]) > turn][:count]
+    taken = set(keys)
+    spare = (k for k in range(2 * count) if k not in taken)
     return sorted([*keys, *(next(spare) for _ in range(count - len(keys)))])
 
 
@@ -48,8 +52,8 @@ def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     column = pa.chunked_array(column.chunks, type=column.type).combine_chunks()
     found = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
     order = pc.sort_indices(found.dictionary)
-    place = np.empty(len(order), np.int64)
-    place[order.to_numpy()] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
     return place[found.indices.to_numpy()], found.dictionary.take(order)
 
 
@@ -75,13 +79,14 @@ def packer(schema: pa.Schema):
         seed[at[edges.num_rows:]] = seeds.column("seed").to_numpy()
         size = edges.column("size").to_numpy()
         near, others = coded(edges.column("neighbour"))
-        far = np.zeros(len(others), np.int64)
+        far = np.zeros(len(others), np.int32)
         far[near] = edges.column("far").to_numpy()
         by_far = np.argsort(far, kind="stable")  # the answers come block by block, each in the words' order
-        place = np.empty(len(others), np.int64)
-        place[by_far] = np.arange(len(others))
+        place = np.empty(len(others), np.int32)
+        place[by_far] = np.arange(len(others), dtype=np.int32)
         col = place[near]
-        order = np.argsort(row * (len(others) + 1) + col, kind="stable")
+        del both, near, place
+        order = np.argsort(row.astype(np.int64) * (len(others) + 1) + col, kind="stable")
         counts = np.bincount(row, minlength=n)
         whole = np.bincount(row[order], weights=size[order], minlength=n)
         rows = [(key, OWN, 0, seed.tobytes(), whole.tobytes(), counts.astype("<u4").tobytes(), words)]
@@ -91,7 +96,10 @@ def packer(schema: pa.Schema):
         others, ends = others.take(pa.array(by_far)), np.flatnonzero(np.diff(far[by_far], append=-1, prepend=-1))
         for i, j in zip(ends[:-1], ends[1:]):
             rows.append((key, ASK, int(far[by_far[i]]), None, None, None, others.slice(i, j - i)))
-        return table(rows, schema)
+        found = table(rows, schema)
+        del rows, row, col, order, size
+        release()
+        return found
     return pack
 
 
@@ -177,10 +185,11 @@ class Graph:
         self.shares = "share" in edges.columns
         size = F.col("share" if self.shares else "weight").cast("double").alias("size")
         self.kind = edges.schema["word"].dataType
-        edges = stored(edges) if most is None else edges  # counted before they are dealt
+        edges = kept(edges) if most is None else edges  # counted before they are dealt
         n = edges.count() if most is None else most
         self.count = max(1, math.ceil(n / BLOCK), min(SPREAD, math.ceil(n / SPREAD_BLOCK)))
-        keys = F.array(*[F.lit(k) for k in block_keys(self.spark, self.count)])
+        self.tasks = min(self.count, max(SPREAD, math.ceil(self.count / 2)))
+        keys = F.array(*[F.lit(k) for k in block_keys(self.spark, self.count, self.tasks)])
 
         def block(word: Column) -> Column:
             return F.element_at(keys, (F.pmod(F.xxhash64(word), F.lit(self.count)) + 1).cast("int"))
@@ -188,17 +197,18 @@ class Graph:
         binaries = [T.StructField(k, T.BinaryType()) for k in "abc"]
         head = [T.StructField(k, T.IntegerType()) for k in ("block", "kind", "at")]
         parts = T.StructType([*head, *binaries, T.StructField("words", T.ArrayType(self.kind))])
-        dealt = edges.select(block(F.col("word")).alias("block"), block(F.col("neighbour")).alias("far"), "word", "neighbour", size)
+        dealt = (edges.select(block(F.col("word")).alias("block"), "word", "neighbour", size).repartition(self.tasks, "block")
+                 .select("block", block(F.col("neighbour")).alias("far"), "word", "neighbour", "size"))
         known = seeds.select(F.col("word").cast(self.kind).alias("word"), "seed").select(
             block(F.col("word")).alias("block"), "word", F.col("seed").cast("double").alias("seed"))
-        self.parts = stored(dealt.repartition(self.count, "block").groupBy("block").cogroup(known.groupBy("block"))
+        self.parts = kept(dealt.groupBy("block").cogroup(known.groupBy("block"))
                             .applyInArrow(packer(to_arrow_schema(parts)), parts))
         self.own = self.parts.where(F.col("kind") == OWN).select("block", "a", "words")
         asks = self.parts.where(F.col("kind") == ASK).select(F.col("at").alias("block"), F.col("block").alias("far"), "words")
         rows = T.StructType([*head, *binaries])
         sends = self.own.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(finder(to_arrow_schema(rows)), rows)
         self.blocks = (self.parts.where(F.col("kind") != ASK).drop("words").union(sends)
-                       .repartition(self.count, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK))
+                       .repartition(self.tasks, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK))
         self.mail = self.spark.createDataFrame([], MAIL)
 
     def advance(self, state: DataFrame | None, rounds: int) -> DataFrame:
@@ -210,7 +220,7 @@ class Graph:
             blocks = self.blocks.where(F.col("kind") != (EDGES if first else SEND)) if first or last else self.blocks
             mail = (blocks.groupBy("block").cogroup(mail.groupBy("block"))
                     .applyInArrow(advancer(arrow, first, last, self.shares), self.mail.schema))
-        return stored(mail)
+        return kept(mail)
 
     def scores(self, state: DataFrame | None) -> DataFrame:
         """(word, score) of all words of the graph and all seeds."""

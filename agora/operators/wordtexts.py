@@ -9,6 +9,7 @@ row per word of a comment is never shuffled.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agora.functions.text import is_blank, word_tokens
-from agora.llm.common import bounded_batches, prepare
+from agora.llm.common import bounded_batches, prepare, release
 from agora.llm.exchange import pack, unpack
 from agora.operators.kmeans import stored
 
@@ -30,6 +31,15 @@ SHARDS = 8  # at least, so that a small vocabulary has several tasks
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written once. The driver then looks which shuffles nothing refers to any more: their files go now and do
+    not add up until its next collection."""
+    rows = stored(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return rows
+
+
 def joined(words: list[str]) -> bytes:
     """Words (which hold no line breaks), compressed."""
     raw = "\n".join(words).encode()
@@ -41,6 +51,13 @@ def parted(blob: bytes) -> list[str]:
     return pa.decompress(blob[8:], n, codec="zstd", asbytes=True).decode().split("\n") if n else []
 
 
+def released(make, *args) -> pa.Table:
+    """What ``make`` gives, after its own memory has gone back to the system."""
+    made = make(*args)
+    release()
+    return made
+
+
 def shard_ends(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Ends of the shards' runs in ascending crc32 values: shards + 1 positions."""
     return np.searchsorted(hashes.astype(np.uint64) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
@@ -188,7 +205,8 @@ class Texts:
 
         def run(batches, size=CHUNK):
             yield from _chunks(batches, size, arrow)
-        self.chunks = stored(read.mapInArrow(run, schema))
+            release()
+        self.chunks = kept(read.mapInArrow(run, schema))
         words, self.n = self.chunks.agg(F.sum("n_words"), F.sum("n")).first()
         self.shards, self._numbers = max(SHARDS, math.ceil((words or 0) / SHARD)), None
 
@@ -216,7 +234,7 @@ class Texts:
         """(chunk, shard, answer): the numbers of a chunk's words in a shard; without a chunk, the shard's words."""
         if self._numbers is None:
             shards, arrow = self.shards, self.arrow(self.answers)
-            self._numbers = stored(self.asks().groupBy("shard").applyInArrow(lambda asks: _number(asks, shards, arrow), self.answers))
+            self._numbers = kept(self.asks().groupBy("shard").applyInArrow(lambda asks: released(_number, asks, shards, arrow), self.answers))
         return self._numbers
 
     def vocabulary(self) -> DataFrame:
@@ -240,8 +258,8 @@ class Texts:
         arrow, found = self.arrow(parts), self.arrow(schema)
         numbers = self.numbers().where(F.col("chunk").isNotNull())
         counted = (self.chunks.select("chunk", "codes", "lengths").groupBy("chunk").cogroup(numbers.groupBy("chunk"))
-                   .applyInArrow(lambda c, a: _pair_counts(c, a, window, buckets, arrow), parts))
-        return counted.groupBy("bucket").applyInArrow(lambda p: _pair_sums(p, least, found), schema)
+                   .applyInArrow(lambda c, a: released(_pair_counts, c, a, window, buckets, arrow), parts))
+        return counted.groupBy("bucket").applyInArrow(lambda p: released(_pair_sums, p, least, found), schema)
 
     def sums(self, learned: DataFrame) -> DataFrame:
         """(key, blank, total, size) of every comment, from the scores of ``learned`` (word, score)."""
@@ -251,6 +269,6 @@ class Texts:
                                T.StructField("total", T.DoubleType()), T.StructField("size", T.DoubleType())])
         arrow, found = self.arrow(self.answers), self.arrow(schema)
         answers = (self.asks().groupBy("shard").cogroup(scored.groupBy("shard"))
-                   .applyInArrow(lambda asks, s: _shard_scores(asks, s, arrow), self.answers))
+                   .applyInArrow(lambda asks, s: released(_shard_scores, asks, s, arrow), self.answers))
         return (self.chunks.select("chunk", "codes", "lengths", "key", "blank").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-                .applyInArrow(lambda c, a: _comment_sums(c, a, found), schema))
+                .applyInArrow(lambda c, a: released(_comment_sums, c, a, found), schema))

@@ -220,7 +220,7 @@ class Graph:
             blocks = self.blocks.where(F.col("kind") != (EDGES if first else SEND)) if first or last else self.blocks
             mail = (blocks.groupBy("block").cogroup(mail.groupBy("block"))
                     .applyInArrow(advancer(arrow, first, last, self.shares), self.mail.schema))
-        return kept(mail)
+        return kept(mail, at_once=False)
 
     def scores(self, state: DataFrame | None) -> DataFrame:
         """(word, score) of all words of the graph and all seeds."""

@@ -31,12 +31,15 @@ SHARDS = 8  # at least, so that a small vocabulary has several tasks
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, written once. The driver then looks which shuffles nothing refers to any more: their files go now and do
-    not add up until its next collection."""
-    rows = stored(df)
+def kept(df: DataFrame, at_once: bool = True) -> DataFrame:
+    """``df``, written once. The driver then looks which shuffles nothing refers to any more, so that their files go
+    now and do not add up: ``at_once`` those of this write too (Spark holds the last job's until the next), or with
+    the next write."""
+    spark, rows = df.sparkSession, stored(df)
+    if at_once:
+        spark.range(1).count()
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return rows
 
 

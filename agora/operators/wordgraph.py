@@ -27,7 +27,7 @@ from agora.operators.wordtexts import kept
 OWN, EDGES, ASK, SEND = range(4)
 #: A block has up to BLOCK edges on average; small graphs are dealt to up to SPREAD blocks. Beyond SPREAD tasks, a task
 #: has two blocks, which it takes one after the other.
-BLOCK, SPREAD, SPREAD_BLOCK = 1 << 21, 16, 1 << 18
+BLOCK, SPREAD, SPREAD_BLOCK = 1 << 20, 16, 1 << 18
 #: Edges of a row, so that no row is large.
 SLICE = 1 << 18
 MAIL = "block int, far int, values binary, moved double"

@@ -27,6 +27,7 @@ def test_blocks_of_any_size_give_the_same_rounds(spark, monkeypatch):
     known = spark.createDataFrame(list(seeds.items()), "word string, seed double")
     for block in (1 << 18, 20, 3):
         monkeypatch.setattr(wordgraph, "SPREAD_BLOCK", block)
+        monkeypatch.setattr(wordgraph, "BLOCK", max(block, 8))
         monkeypatch.setattr(wordgraph, "SLICE", block)
         got = dict(polarity.propagate(frame, known, rounds=6).collect())
         assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-12 for w in want)
